@@ -65,37 +65,38 @@ def denan(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _line(conc: Column, segment: tuple[float, float, float, float]) -> Column:
-    low, high, floor, ceiling = segment
-    return F.lit((ceiling - floor) / (high - low)) * (conc - F.lit(float(low))) + F.lit(float(floor))
-
-
-def score(conc: Column, pollutant: str, scale: str = "rounded") -> Column:
-    """Index of one concentration; null for a missing (or, except ``continuous``, negative) input."""
+def score_text(arg: str, pollutant: str, scale: str = "rounded") -> str:
+    """The index of the SQL expression ``arg`` as one CASE expression in Spark SQL."""
     if scale not in SCALES:
         raise ValueError(f"unknown scale {scale!r}, expected one of {SCALES}")
-    conc = denan(conc.cast("double"))
     rows = segments(scale, pollutant)
-    if scale == "continuous":
-        chain = F.when(conc <= F.lit(float(rows[0][1])), _line(conc, rows[0]))
-        for row in rows[1:-1]:
-            chain = chain.when(conc <= F.lit(float(row[1])), _line(conc, row))
-        return F.when(conc.isNotNull(), chain.otherwise(_line(conc, rows[-1])))
+    value = f"CAST({arg} AS DOUBLE)"
+    if scale == "rounded" and pollutant in GAS_FACTORS:
+        value = f"({value} * {GAS_FACTORS[pollutant]}D)"
     if scale == "gapped":
         # Half-even on the decimal text, as every engine we compare with does; others drop the fraction.
-        conc = F.bround(conc, 1) if pollutant in ("pm25", "pm10", "co") else conc.cast("long").cast("double")
-        chain = None
-        for row in rows:
-            inside = (conc >= F.lit(float(row[0]))) & (conc <= F.lit(float(row[1])))
-            piece = F.bround(_line(conc, row), 0)
-            chain = F.when(inside, piece) if chain is None else chain.when(inside, piece)
-        return chain
-    if scale == "rounded":
-        conc = to_ppm(conc, pollutant)
-    chain = F.when(conc < 0, F.lit(None).cast("double")).when(conc > F.lit(float(rows[-1][1])), F.lit(500.0))
-    for row in rows:
-        chain = chain.when(conc <= F.lit(float(row[1])), F.bround(_line(conc, row), 0))
-    return chain
+        tenths = pollutant in ("pm25", "pm10", "co")
+        value = f"bround({value}, 1)" if tenths else f"CAST(CAST({value} AS BIGINT) AS DOUBLE)"
+
+    def line(row: tuple[float, float, float, float]) -> str:
+        low, high, floor, ceiling = row
+        return f"{(ceiling - floor) / (high - low)!r}D * ({value} - {float(low)}D) + {float(floor)}D"
+
+    if scale == "continuous":
+        whens = " ".join(f"WHEN {value} <= {float(r[1])}D THEN {line(r)}" for r in rows[:-1])
+        return f"CASE WHEN {arg} IS NULL OR isnan({arg}) THEN NULL {whens} ELSE {line(rows[-1])} END"
+    if scale == "gapped":
+        whens = " ".join(
+            f"WHEN {value} >= {float(r[0])}D AND {value} <= {float(r[1])}D THEN bround({line(r)}, 0)" for r in rows
+        )
+        return f"CASE WHEN isnan({arg}) THEN NULL {whens} END"
+    whens = " ".join(f"WHEN {value} <= {float(r[1])}D THEN bround({line(r)}, 0)" for r in rows)
+    return f"CASE WHEN isnan({arg}) OR {arg} < 0 THEN NULL WHEN {value} > {float(rows[-1][1])}D THEN 500D {whens} END"
+
+
+def score(column: str, pollutant: str, scale: str = "rounded") -> Column:
+    """Index of a concentration column; null for a missing (or, except ``continuous``, negative) input."""
+    return F.expr(score_text(f"`{column}`", pollutant, scale))
 
 
 def overall(values: Iterable[Column]) -> Column:
@@ -123,6 +124,6 @@ def add_index_columns(df: DataFrame, columns: dict[str, str], scale: str = "roun
 
     ``columns`` maps pollutant -> concentration column.
     """
-    scored = df.withColumns({f"aqi_{p}": score(F.col(f"`{c}`"), p, scale) for p, c in columns.items()})
+    scored = df.withColumns({f"aqi_{p}": score(c, p, scale) for p, c in columns.items()})
     with_max = scored.withColumn("overall_aqi", overall([F.col(f"aqi_{p}") for p in columns]))
     return with_max.withColumn("aqi_category", category(F.col("overall_aqi")))

@@ -4,24 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from airgrid.functions.scales import BANDS, BREAKS, GAS_FACTORS, segments
-
-
-def score_sql(pollutant: str, scale: str = "rounded", arg: str = "c") -> str:
-    """CASE text of one index scale (``rounded`` or ``unconverted``) in Spark SQL."""
-    factor = GAS_FACTORS.get(pollutant) if scale == "rounded" else None
-    c = arg if factor is None else f"({arg} * {factor}D)"
-    rows = segments(scale, pollutant)
-    whens = " ".join(
-        f"WHEN {c} <= {float(hi)}D THEN bround({(top - low_i) / (hi - lo)!r}D * ({c} - {float(lo)}D) + {float(low_i)}D, 0)"
-        for lo, hi, low_i, top in rows
-    )
-    return f"CASE WHEN {c} < 0 THEN NULL WHEN {c} > {float(rows[-1][1])}D THEN 500D {whens} END"
+from airgrid.functions.scales import BANDS, BREAKS, score_text
 
 
 def register(spark: SparkSession) -> list[str]:
     """Create ``aqi_<pollutant>``, ``aqi_category``, ``parse_wind_kmh``, ``parse_celsius`` and friends."""
-    bodies = {f"aqi_{p}(c DOUBLE) RETURNS DOUBLE": score_sql(p) for p in BREAKS}
+    bodies = {f"aqi_{p}(c DOUBLE) RETURNS DOUBLE": score_text("c", p) for p in BREAKS}
     bands = " ".join(f"WHEN i <= {top} THEN '{name}'" for top, name, _ in BANDS[:-1])
     bodies["aqi_category(i DOUBLE) RETURNS STRING"] = (
         f"CASE WHEN i IS NULL OR isnan(i) THEN 'Unknown' {bands} ELSE '{BANDS[-1][1]}' END"

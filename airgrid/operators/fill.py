@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions.clock import epoch_micros
 from airgrid.operators.quantiles import exact_mode, quantile_row
-from airgrid.operators.scalars import as_struct
+from airgrid.operators.scalars import with_row
 
 
 def _windows(key: str | None, time: str):
@@ -76,16 +76,16 @@ def interpolate(
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fill with the exact global median of each column."""
-    medians = as_struct(quantile_row(df, columns, {"med": 0.5}))
-    return df.withColumns({c: F.coalesce(F.col(c), medians.getField(f"{c}_med")) for c in columns})
+    joined = with_row(df, quantile_row(df, columns, {"med": 0.5}), "_mid")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col("_mid")[f"{c}_med"]) for c in columns}).drop("_mid")
 
 
 def fill_mean_mode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """Fill numbers with the global mean and categories with the global mode."""
     out = df
     if numeric:
-        means = as_struct(df.agg(*[F.avg(c).alias(c) for c in numeric]))
-        out = out.withColumns({c: F.coalesce(F.col(c), means.getField(c)) for c in numeric})
+        out = with_row(out, df.agg(*[F.avg(c).alias(c) for c in numeric]), "_means")
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col("_means")[c]) for c in numeric}).drop("_means")
     for c in categorical:
         out = out.withColumn(c, F.coalesce(F.col(c), exact_mode(df, c, name="m").scalar()))
     return out
@@ -93,14 +93,11 @@ def fill_mean_mode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[
 
 def fill_key_mode(df: DataFrame, column: str, key: str = "station", max_null_share: float | None = None) -> DataFrame:
     """Fill a category with its key's mode; above ``max_null_share`` the whole key's column is nulled."""
-    modes = exact_mode(df, column, [key], "_mode")
-    out = df.join(modes, key, "left")
-    value = F.coalesce(F.col(column), F.col("_mode"))
+    by_key = W.partitionBy(key)
+    value = F.coalesce(F.col(column), F.mode(column, True).over(by_key))
     if max_null_share is not None:
-        share = df.groupBy(key).agg(F.avg(F.col(column).isNull().cast("int")).alias("_share"))
-        out = out.join(share, key, "left")
-        value = F.when(F.col("_share") <= max_null_share, value)
-    return out.withColumn(column, value).select(*df.columns)
+        value = F.when(F.avg(F.col(column).isNull().cast("int")).over(by_key) <= max_null_share, value)
+    return df.withColumn(column, value)
 
 
 def fill_by_tier(
@@ -109,40 +106,38 @@ def fill_by_tier(
 ) -> DataFrame:
     """Per (key, column): null share over ``many`` -> all null, from ``few`` up -> mean, below -> time
     interpolation with flat edges."""
-    interpolated = interpolate(
-        df.withColumns({f"_raw_{c}": F.col(c) for c in columns}), columns, key, time, by="time", edges="both"
+    by_key = W.partitionBy(key)
+    known = df.withColumns(
+        {f"_share_{c}": F.avg(F.col(c).isNull().cast("int")).over(by_key) for c in columns}
+        | {f"_mean_{c}": F.coalesce(F.col(c), F.avg(c).over(by_key)) for c in columns}
     )
-    stats = df.groupBy(key).agg(
-        *[F.avg(F.col(c).isNull().cast("int")).alias(f"_share_{c}") for c in columns],
-        *[F.avg(c).alias(f"_mean_{c}") for c in columns],
-    )
-    joined = interpolated.join(stats, key, "left")
+    joined = interpolate(known, columns, key, time, by="time", edges="both")
 
     def pick(c: str) -> Column:
         share = F.col(f"_share_{c}")
-        mean = F.coalesce(F.col(f"_raw_{c}"), F.col(f"_mean_{c}"))
-        return F.when(share > many, F.lit(None).cast("double")).when(share >= few, mean).otherwise(F.col(c))
+        return F.when(share > many, F.lit(None).cast("double")).when(share >= few, F.col(f"_mean_{c}")).otherwise(F.col(c))
 
     return joined.withColumns({c: pick(c) for c in columns}).select(*df.columns)
 
 
 def fill_cascade(df: DataFrame, columns: Sequence[str], key: str = "station") -> DataFrame:
     """Own value, else the key's mean, else the global mean, else zero."""
-    per_key = df.groupBy(key).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    overall = as_struct(df.agg(*[F.avg(c).alias(c) for c in columns]))
-    joined = df.join(per_key, key, "left")
+    by_key = W.partitionBy(key)
+    joined = with_row(df, df.agg(*[F.avg(c).alias(c) for c in columns]), "_all")
     return joined.withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"_mean_{c}"), overall.getField(c), F.lit(0.0)) for c in columns}
-    ).select(*df.columns)
+        {c: F.coalesce(F.col(c), F.avg(c).over(by_key), F.col("_all")[c], F.lit(0.0)) for c in columns}
+    ).drop("_all")
 
 
 def fill_weather(
     df: DataFrame, numeric: Sequence[str], icon: str, key: str | None = None, time: str = "time"
 ) -> DataFrame:
-    """Continuous weather: interpolate numbers both ways, carry the icon both ways, then mean / mode."""
-    smooth = interpolate(df, numeric, key, time, edges="both")
-    carried = carry(smooth, [icon], key, time)
-    return fill_mean_mode(carried, numeric, [icon])
+    """Continuous weather: interpolate numbers both ways, carry the icon both ways.
+
+    What is still null then belongs to a series without any value, whose mean and mode are null too, so
+    no further fill can change anything.
+    """
+    return carry(interpolate(df, numeric, key, time, edges="both"), [icon], key, time)
 
 
 def fill_features(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.clock import local_to_utc
-from airgrid.operators.scalars import as_struct
+from airgrid.operators.scalars import with_row
 
 
 def max_time(df: DataFrame, time: str = "time") -> Column:
@@ -47,7 +47,7 @@ def incremental_bounds(merged: DataFrame, time: str = "time") -> dict[str, Colum
 
 def newer_than(df: DataFrame, bound: Column, time: str = "time") -> DataFrame:
     """``time > bound``; a null bound keeps everything."""
-    return df.where(bound.isNull() | (F.col(time) > bound))
+    return df.where(F.col(time) > F.coalesce(bound, F.lit("0001-01-01").cast("timestamp_ntz")))
 
 
 def valid_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -85,5 +85,4 @@ def distinct_text(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Every column of a one-row frame next to every row."""
-    row = as_struct(stats)
-    return df.withColumns({c: row.getField(c) for c in stats.columns})
+    return with_row(df, stats).withColumns({c: F.col("_row")[c] for c in stats.columns}).drop("_row")

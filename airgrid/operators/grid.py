@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airgrid.functions.clock import floor_to
@@ -33,8 +34,18 @@ def joint_hours(left: DataFrame, right: DataFrame, time: str = "time") -> DataFr
 
 
 def expose_gaps(df: DataFrame, key: str = "station", time: str = "time") -> DataFrame:
-    """The hourly frame with its missing hours as rows of nulls."""
-    return hour_grid(df, key, time).join(df, [key, time], "left")
+    """The hourly frame (one row per key and hour) with its missing hours as rows of nulls.
+
+    Each row produces itself and the missing hours up to the next row, so the frame is read once and
+    stays partitioned and sorted for the windows that follow.
+    """
+    hour = F.expr("INTERVAL 1 HOUR")
+    following = F.lead(time).over(W.partitionBy(key).orderBy(time))
+    rest = [c for c in df.columns if c not in (key, time)]
+    spread = df.withColumn("_next", following).select(
+        key, F.col(time).alias("_at"), F.explode(F.sequence(F.col(time), F.coalesce(F.col("_next") - hour, F.col(time)), hour)).alias(time), *rest
+    )
+    return spread.select(*[F.when(F.col(time) == F.col("_at"), F.col(c)).alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def resample_hourly(

@@ -104,9 +104,10 @@ def expanding_folds(df: DataFrame, folds: int = 5, time: str = "time", key: str
     per_hour = df.groupBy(time).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy(time).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = per_hour.select(time, before.alias("_before"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    joined = df.join(offsets, time).withColumn("_total", df.agg(F.count("*").alias("n")).scalar())
+    total = F.col("_total")
     size = F.floor(total / F.lit(folds + 1))
     position = F.col("_before") + F.row_number().over(W.partitionBy(time).orderBy(key)) - 1
     start = total - size * F.lit(folds)
     fold = F.when(position < start, F.lit(0)).otherwise(F.floor((position - start) / size) + 1)
-    return df.join(offsets, time).withColumn("fold", fold.cast("int")).drop("_before")
+    return joined.withColumn("fold", fold.cast("int")).drop("_before", "_total")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions.rows import clip, finite
 from airgrid.operators.quantiles import quantile_row
-from airgrid.operators.scalars import as_struct
+from airgrid.operators.scalars import with_row
 
 # Columns whose lower cap is skipped when the bound is negative.
 MAY_BE_NEGATIVE = ("temperature", "wind_direction", "pressure")
@@ -21,25 +21,26 @@ def winsorize_global(
 ) -> DataFrame:
     """Cap each column at its own q(low) - f*spread and q(high) + f*spread; quantiles are exact."""
     clean = df.withColumns({c: finite(F.col(c)) for c in columns})
-    cuts = as_struct(quantile_row(clean, columns, {"lo": low, "hi": high}))
+    fenced = with_row(clean, quantile_row(clean, columns, {"lo": low, "hi": high}), "_cuts")
     capped = {}
     for c in columns:
-        lo, hi = cuts.getField(f"{c}_lo"), cuts.getField(f"{c}_hi")
+        lo, hi = F.col("_cuts")[f"{c}_lo"], F.col("_cuts")[f"{c}_hi"]
         capped[c] = clip(F.col(c), lo - factor * (hi - lo), hi + factor * (hi - lo))
-    return clean.withColumns(capped)
+    return fenced.withColumns(capped).drop("_cuts")
 
 
-def iqr_fences(df: DataFrame, columns: Sequence[str], key: str, factor: float = 1.5) -> DataFrame:
-    """One row per key with ``<column>_low`` and ``<column>_high``; the input is an hourly series,
-    so a key holds at most one row per hour and ``percentile`` may keep its values."""
-    quart = df.groupBy(key).agg(
-        *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in columns]
+def with_iqr_fences(df: DataFrame, columns: Sequence[str], key: str, factor: float = 1.5) -> DataFrame:
+    """Add ``<column>_low`` and ``<column>_high`` of each row's key; the input is an hourly series, so a
+    key holds at most one row per hour and ``percentile`` may keep its values."""
+    by_key = W.partitionBy(key)
+    quart = df.withColumns(
+        {f"_q_{c}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).over(by_key) for c in columns}
     )
-    out = []
+    out = {}
     for c in columns:
-        q1, q3 = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
-        out += [(q1 - factor * (q3 - q1)).alias(f"{c}_low"), (q3 + factor * (q3 - q1)).alias(f"{c}_high")]
-    return quart.select(key, *out)
+        q1, q3 = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        out |= {f"{c}_low": q1 - factor * (q3 - q1), f"{c}_high": q3 + factor * (q3 - q1)}
+    return quart.withColumns(out).drop(*[f"_q_{c}" for c in columns])
 
 
 def cap_to_fences(column: str) -> Column:
@@ -49,13 +50,13 @@ def cap_to_fences(column: str) -> Column:
 
 
 def winsorize_iqr(df: DataFrame, columns: Sequence[str], key: str = "station", factor: float = 1.5) -> DataFrame:
-    fenced = df.join(iqr_fences(df, columns, key, factor), key, "left")
+    fenced = with_iqr_fences(df, columns, key, factor)
     return fenced.withColumns({c: cap_to_fences(c) for c in columns}).select(*df.columns)
 
 
 def outlier_report(df: DataFrame, columns: Sequence[str], key: str = "station", factor: float = 1.5) -> DataFrame:
     """(key, column, n_outliers, pct, min/max before and after capping) in one aggregate."""
-    fenced = df.join(iqr_fences(df, columns, key, factor), key, "left")
+    fenced = with_iqr_fences(df, columns, key, factor)
     aggs = [F.count("*").alias("_n")]
     for c in columns:
         out = (F.col(c) > F.col(f"{c}_high")) | (F.col(c) < F.col(f"{c}_low"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airgrid.operators.quantiles import exact_quantiles, to_long
-from airgrid.operators.scalars import as_struct
+from airgrid.operators.scalars import with_row
 
 
 def unfold(row: DataFrame, entries: dict[str, dict[str, Column]], label: str = "column") -> DataFrame:
@@ -88,20 +88,21 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str, top:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n) for equal-width bins; the right edge counts into the last bin, empty bins stay."""
-    span = as_struct(df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")))
-    width = (span.getField("hi") - span.getField("lo")) / F.lit(float(bins))
-    at = F.least(F.floor((F.col(column) - span.getField("lo")) / width), F.lit(bins - 1)).cast("int")
+    edges = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    low = F.col("_row")["lo"]
+    width = (F.col("_row")["hi"] - low) / F.lit(float(bins))
+    at = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).cast("int")
     counted = (
-        df.where(F.col(column).isNotNull())
+        with_row(df.where(F.col(column).isNotNull()), edges)
         .select(F.coalesce(at, F.lit(0)).alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))
     )
-    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    every = with_row(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")), edges)
     return every.join(counted, "bin", "left").select(
         "bin",
-        (span.getField("lo") + F.col("bin") * width).alias("low"),
-        (span.getField("lo") + (F.col("bin") + 1) * width).alias("high"),
+        (low + F.col("bin") * width).alias("low"),
+        (low + (F.col("bin") + 1) * width).alias("high"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
@@ -111,18 +112,16 @@ def box_summary(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
     One group holds at most one row per hour, so the quartiles may use Spark's own ``percentile``.
     """
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    box = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    by = W.partitionBy(*keys)
+    quart = df.withColumn("_q", F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(by))
+    box = quart.withColumns({"q1": F.col("_q")[0], "median": F.col("_q")[1], "q3": F.col("_q")[2]})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return (
-        df.join(box, list(keys))
-        .groupBy(*keys, "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col(value))).alias("whisker_low"),
-            F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-            F.count_if(F.col(value).isNotNull() & ~inside).alias("n_outside"),
-        )
+    return box.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("q1", "median", "q3")],
+        F.min(F.when(inside, F.col(value))).alias("whisker_low"),
+        F.max(F.when(inside, F.col(value))).alias("whisker_high"),
+        F.count_if(F.col(value).isNotNull() & ~inside).alias("n_outside"),
     )
 
 

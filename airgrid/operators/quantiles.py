@@ -36,36 +36,33 @@ def quantiles_of_counts(
     span = counts.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(n).alias("total"))
     share = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
     bin_id = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    binned = counts.join(span.select(*by, "lo", "hi"), by).withColumn("bin", bin_id.cast("int")).drop("lo", "hi")
-
-    running = W.partitionBy(*by).orderBy("bin")  # at most BINS rows per group
-    totals = (
-        binned.groupBy(*by, "bin")
-        .agg(F.sum(n).alias("held"))
-        .withColumn("upto", F.sum("held").over(running.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("before", F.col("upto") - F.col("held"))
+    binned = counts.join(span, by).withColumn("bin", bin_id.cast("int")).drop("lo", "hi")
+
+    # Small table: at most BINS rows per group, each with the wanted ranks that fall into it.
+    running = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    totals = binned.groupBy(*by, "bin").agg(F.sum(n).alias("held"), F.max("total").alias("total"))
+    totals = totals.withColumn("upto", F.sum("held").over(running)).withColumn("before", F.col("upto") - F.col("held"))
+    targets = []
+    for p in probs:
+        position = F.lit(float(p)) * (F.col("total") - 1)
+        frac = position - F.floor(position)
+        targets += [
+            F.struct(F.lit(float(p)).alias("prob"), frac.alias("frac"), rank.alias("rank"))
+            for rank in (F.floor(position), F.ceil(position))
+        ]
+    hits = totals.select(
+        *by, "bin", "before",
+        F.filter(F.array(*targets), lambda t: (t["rank"] >= F.col("before")) & (t["rank"] < F.col("upto"))).alias("wanted"),
+    ).where(F.size("wanted") > 0)
+
+    inside = W.partitionBy(*by, "bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = binned.join(hits, [*by, "bin"]).withColumn("last", F.col("before") + F.sum(n).over(inside))
+    at = F.filter(
+        F.col("wanted"), lambda t: (t["rank"] >= F.col("last") - F.col(n)) & (t["rank"] < F.col("last"))
     )
-    position = F.col("prob") * (F.col("total") - 1)
-    wanted = (
-        span.select(*by, "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-        .withColumn("frac", position - F.floor(position))
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))))
-    )
-    # Which bin holds each wanted rank: both sides are small (groups x bins, groups x probabilities).
-    hits = wanted.join(totals, by).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
-    hit_bins = hits.select(*by, "bin", "before").distinct()
-    inside = W.partitionBy(*by, "bin").orderBy(value)
-    ranked = (
-        binned.join(hit_bins, [*by, "bin"])
-        .withColumn("last", F.col("before") + F.sum(n).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("first", F.col("last") - F.col(n))
-        .select(*by, "bin", value, "first", "last")
-    )
-    found = hits.select(*by, "bin", "prob", "frac", "rank").join(ranked, [*by, "bin"]).where(
-        (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
-    )
-    return found.groupBy(*by, "prob").agg(
-        (F.min(value) + (F.max(value) - F.min(value)) * F.max("frac")).alias("quantile")
+    found = ranked.select(*by, F.col(value).alias("_v"), F.explode(at).alias("t"))
+    return found.groupBy(*by, F.col("t.prob").alias("prob")).agg(
+        (F.min("_v") + (F.max("_v") - F.min("_v")) * F.max("t.frac")).alias("quantile")
     )
 
 

@@ -13,3 +13,9 @@ def as_struct(stats: DataFrame) -> Column:
     neither shuffled nor joined.
     """
     return stats.select(F.struct(*[F.col(f"`{c}`") for c in stats.columns]).alias("s")).scalar()
+
+
+def with_row(df: DataFrame, stats: DataFrame, name: str = "_row") -> DataFrame:
+    """The one row of ``stats`` as a struct column. Reading its fields afterwards keeps a single copy of
+    the subquery in the plan, however many fields are used."""
+    return df.withColumn(name, as_struct(stats))

@@ -14,6 +14,7 @@ from airgrid.operators.buckets import hourly_weather
 from airgrid.operators.dedup import keep_most_complete
 from airgrid.operators.filters import incremental_bounds, newer_than
 from airgrid.operators.grid import joint_hours
+from airgrid.session import cut_lineage
 from airgrid.schema import KEY, POLLUTANTS, WEATHER, WEATHER_NUMERIC
 
 
@@ -53,12 +54,12 @@ def carry_raw(
 
 def score_then_average(raw: DataFrame, time: str = "time", scale: str = "rounded") -> DataFrame:
     """Score every raw value, then average the scores per (time, station) hour."""
-    scored = raw.withColumns({p: score(F.col(p), p, scale) for p in POLLUTANTS})
+    scored = raw.withColumns({p: score(p, p, scale) for p in POLLUTANTS})
     return scored.groupBy(floor_to(F.col(time)).alias("time"), "station").agg(*[F.avg(p).alias(p) for p in POLLUTANTS])
 
 
 def average_then_score(hourly: DataFrame, scale: str = "rounded") -> DataFrame:
-    return hourly.withColumns({p: score(F.col(p), p, scale) for p in POLLUTANTS})
+    return hourly.withColumns({p: score(p, p, scale) for p in POLLUTANTS})
 
 
 def raw_source_hourly(raw: DataFrame, lookup: DataFrame, utc_time: str = "utc_time", place: str = "location_name") -> DataFrame:
@@ -96,7 +97,9 @@ def merge_sources(
         weather = newer_than(weather, bounds["weather"])
         raw = newer_than(raw, bounds["utc"], "utc_time")
     readings = scored.select(floor_to(F.col("time")).alias("time"), "station", *POLLUTANTS)
-    hub_hourly = weather_source_hourly(weather.where(F.col("station") == hub), weather_order)
+    # One station's hours: small however large the sources are, and used three times below, so it is
+    # written once instead of being planned three times.
+    hub_hourly = cut_lineage(weather_source_hourly(weather.where(F.col("station") == hub), weather_order))
     with_weather = joins.with_city_weather(readings, city_weather(hub_hourly, readings))
     hub_rows = hub_hourly if merged is None else newer_than(hub_hourly, bounds["readings"])
     rows = with_weather.withColumn("_source", F.lit(0)).unionByName(hub_rows.withColumn("_source", F.lit(1)))
@@ -118,6 +121,6 @@ def stat_else_published(rows: DataFrame, order: list[str]) -> DataFrame:
     )
     scored = wide.select(
         "station", "time",
-        *[F.coalesce(score(F.col(f"_stat_{p}"), p), F.col(f"_aqi_{p}")).alias(f"aqi_{p}") for p in POLLUTANTS],
+        *[F.coalesce(score(f"_stat_{p}", p), F.col(f"_aqi_{p}")).alias(f"aqi_{p}") for p in POLLUTANTS],
     ).withColumn("overall_aqi", overall([F.col(f"aqi_{p}") for p in POLLUTANTS]))
     return scored.withColumn("aqi_category", category(F.col("overall_aqi")))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from airgrid.queries.registry import REGISTRY, Query
 
-MODULES = ["scores", "reporting"]
+MODULES = ["scores", "reporting", "gaps", "merging"]
 
 for _name in MODULES:
     import_module(f"airgrid.queries.{_name}")

@@ -6,7 +6,6 @@ from airgrid.functions.clock import floor_to
 from airgrid.functions.scales import category
 from airgrid.operators import buckets, dedup, filters, profile
 from airgrid.operators.quantiles import exact_mode, quantile_row
-from airgrid.operators.scalars import as_struct
 from airgrid.plans import feeds, reports
 from airgrid.plans.features import with_overall
 from airgrid.plans.merge import average_then_score
@@ -186,13 +185,13 @@ def _(spark, d):
 
 @query(
     "target_correlation", "D18",
-    s.cte("model_gaps") + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, overall_aqi) AS corr FROM model_gaps" for c in WEATHER_NUMERIC)
+    s.cte("model_gaps") + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, overall_aqi) AS corr FROM model_gaps" for c in WEATHER_NUMERIC if c != "dew")
     + ") ORDER BY corr DESC, feature LIMIT 4", "corr",
 )
 def _(spark, d):
     wide = scored_hourly(spark, d).select("station", "time", "overall_aqi")
     joined = wide.join(feeds.hourly_weather_station(spark, d), ["station", "time"], "left")
-    return profile.target_correlation(joined, WEATHER_NUMERIC, "overall_aqi", 4)
+    return profile.target_correlation(joined, [c for c in WEATHER_NUMERIC if c != "dew"], "overall_aqi", 4)
 
 
 @query(

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "airgrid", master: str | None = None, cores: int = 8, **conf: str) -> SparkSession:
     """Create a session; ``master`` is only given for local runs, a cluster supplies its own."""
-    builder = SparkSession.builder.appName(app)
+    # Call-site capture costs several driver round trips per Column call.
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = (
             builder.master(master)
@@ -46,8 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and carry on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and carry on from that table.
+
+    Unlike a checkpoint the plan runs once, and the table keeps sizes Catalyst can plan joins with.
+    """
+    place = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
