@@ -12,6 +12,7 @@ from airgrid.functions.scales import overall
 from airgrid.operators import fill, lagging, outliers, reshape
 from airgrid.operators.season import decompose
 from airgrid.schema import POLLUTANTS
+from airgrid.session import cut_lineage
 
 TARGET = "overall_aqi"
 LAGS = [1, 2, 3, 6, 12, 24]
@@ -26,8 +27,12 @@ def with_overall(df: DataFrame, pollutants: Sequence[str] = tuple(POLLUTANTS)) -
 
 
 def prepare(df: DataFrame, numeric: Sequence[str], icon: str = "weather_icon") -> DataFrame:
-    """Cap extremes, interpolate by time per station, fill the rest by the cascade and the icon by mode."""
-    capped = outliers.winsorize_global(df, numeric)
+    """Cap extremes, interpolate by time per station, fill the rest by the cascade and the icon by mode.
+
+    The hourly frame is read several times (quantiles, global means), so it is written once first; it is
+    small next to the readings it comes from.
+    """
+    capped = outliers.winsorize_global(cut_lineage(df), numeric)
     smooth = fill.interpolate(capped, numeric, by="time", edges="both")
     return fill.fill_key_mode(fill.fill_cascade(smooth, numeric), icon)
 
