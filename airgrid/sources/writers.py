@@ -15,12 +15,14 @@ from airgrid.operators.reshape import widen
 from airgrid.session import cut_lineage
 
 DAY = "date"
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path`` with all columns any of its files has, or None when nothing is there."""
+def stored(spark: SparkSession, path: str, widened: bool = False) -> DataFrame | None:
+    """The table at ``path``, or None when nothing is there. ``widened`` looks at every file for columns
+    added over time, which costs a pass over all footers."""
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return spark.read.option("mergeSchema", str(widened).lower()).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
@@ -39,8 +41,8 @@ def write_by_day(df: DataFrame, path: str, mode: str = "append", time: str = "ti
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    """Append as CSV part files, each with its header."""
-    df.write.mode("append").option("header", True).csv(path)
+    """Append as CSV part files, each with its header; times keep their microseconds."""
+    df.write.mode("append").options(header=True, timestampFormat=CSV_TIME, timestampNTZFormat=CSV_TIME).csv(path)
 
 
 def replace_all(df: DataFrame, path: str) -> None:
@@ -48,18 +50,22 @@ def replace_all(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def create_table(df: DataFrame, name: str, mode: str = "overwrite", by_day: str | None = None) -> None:
+def create_table(
+    df: DataFrame, name: str, mode: str = "overwrite", by_day: str | None = None, path: str | None = None
+) -> None:
+    """Catalog table from a frame; with ``path`` the data lies there instead of in the warehouse."""
     rows = with_day(df, by_day) if by_day else df
     writer = rows.write.mode(mode).format("parquet")
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(DAY) if by_day else writer).saveAsTable(name)
 
 
 def append_widening(df: DataFrame, path: str) -> DataFrame:
     """Append rows whose columns may differ from the table's; new columns are added, missing are null."""
-    old = stored(df.sparkSession, path)
+    old = stored(df.sparkSession, path, widened=True)
     rows = df if old is None else widen(old.schema, df)
     rows.write.mode("append").parquet(path)
-    return stored(df.sparkSession, path)
+    return stored(df.sparkSession, path, widened=True)
 
 
 def insert_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:

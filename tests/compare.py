@@ -41,7 +41,7 @@ def kind(dtype: str) -> str:
 
 
 def cell(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, pd.Timestamp):
         return v.isoformat()
