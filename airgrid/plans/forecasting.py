@@ -91,6 +91,28 @@ def station_state(history: DataFrame, steps: int, weather: Sequence[str], foreca
     )
 
 
+def _features_of_step(state: DataFrame, step: int, columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str) -> DataFrame:
+    """The state with the model's columns of hour ``step`` added, in the model's order; unknown ones are 0."""
+    row = state.withColumn("time", (F.col("_last") + F.make_interval(hours=F.lit(step))).cast("timestamp_ntz"))
+    t = F.col("time")
+    made = clock.calendar(t) | clock.cyclic_calendar(t) | clock.period_flags(t)
+    made |= serving_features(F.col("_history"), F.lit(step), weather, target)
+    if "wind_direction" in weather:
+        made["wind_direction_sin"], made["wind_direction_cos"] = clock.cyclic(made["wind_direction"], 360)
+    made |= {f"station_{s}": (F.col("station") == s).cast("int") for s in stations}
+    return row.withColumns({c: F.coalesce(made[c].cast("double"), F.lit(0.0)) if c in made else F.lit(0.0) for c in columns})
+
+
+def next_hour_features(
+    history: DataFrame, columns: Sequence[str], stations: Sequence[str] = (), weather: Sequence[str] = tuple(WEATHER_NUMERIC),
+    forecast: DataFrame | None = None, target: str = TARGET,
+) -> DataFrame:
+    """What a model is served for the first hour after each station's history."""
+    weather = [w for w in weather if w in history.columns]
+    state = station_state(history, 1, weather, forecast, target)
+    return _features_of_step(state, 1, columns, stations, weather, target).select("station", "time", *columns)
+
+
 def recursive_forecast(
     model: PipelineModel, history: DataFrame, columns: Sequence[str], steps: int = 24, stations: Sequence[str] = (),
     weather: Sequence[str] = tuple(WEATHER_NUMERIC), forecast: DataFrame | None = None, target: str = TARGET, cut_every: int = 6,
@@ -98,22 +120,13 @@ def recursive_forecast(
     """Forecast ``steps`` hours for all stations: each step predicts from history and earlier predictions.
 
     The state is one row per station with short arrays, so a step is a projection plus the model's
-    transform, without a shuffle. Lineage is cut every few steps in the checkpoint folder.
+    transform, without a shuffle. Lineage is cut every few steps in the shared folder.
     """
     weather = [w for w in weather if w in history.columns]
-    state = station_state(history, steps, weather, forecast, target)
+    state = cut_lineage(station_state(history, steps, weather, forecast, target))
     kept = state.columns
     for step in range(1, steps + 1):
-        time = F.col("_last") + F.make_interval(hours=F.lit(step))
-        row = state.withColumn("time", time.cast("timestamp_ntz"))
-        t = F.col("time")
-        made = clock.calendar(t) | clock.cyclic_calendar(t) | clock.period_flags(t)
-        made |= serving_features(F.col("_history"), F.lit(step), weather, target)
-        if "wind_direction" in weather:
-            made["wind_direction_sin"], made["wind_direction_cos"] = clock.cyclic(made["wind_direction"], 360)
-        made |= {f"station_{s}": (F.col("station") == s).cast("int") for s in stations}
-        row = row.withColumns({c: F.coalesce(made[c].cast("double"), F.lit(0.0)) if c in made else F.lit(0.0) for c in columns})
-        scored = predict(model, row, columns, kept)
+        scored = predict(model, _features_of_step(state, step, columns, stations, weather, target), columns, kept)
         state = scored.select(
             *[c for c in kept if c not in ("_history", "_made")],
             F.concat(F.slice(F.col("_history"), 1 - HISTORY, HISTORY - 1), F.array("prediction")).alias("_history"),
