@@ -33,7 +33,7 @@ def prepare(df: DataFrame, numeric: Sequence[str], icon: str = "weather_icon") -
     small next to the readings it comes from.
     """
     capped = outliers.winsorize_global(cut_lineage(df), numeric)
-    smooth = fill.interpolate(capped, numeric, by="time", edges="both")
+    smooth = cut_lineage(fill.interpolate(capped, numeric, by="time", edges="both"))
     return fill.fill_key_mode(fill.fill_cascade(smooth, numeric), icon)
 
 

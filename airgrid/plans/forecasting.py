@@ -14,7 +14,6 @@ from airgrid.functions import clock
 from airgrid.operators.grid import future_hours
 from airgrid.operators.lagging import last_rows
 from airgrid.plans.features import LAGS, ROLLS, TARGET, WEATHER_LAGGED
-from airgrid.plans.training import predict
 from airgrid.schema import WEATHER_NUMERIC
 from airgrid.session import cut_lineage
 
@@ -91,16 +90,16 @@ def station_state(history: DataFrame, steps: int, weather: Sequence[str], foreca
     )
 
 
-def _features_of_step(state: DataFrame, step: int, columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str) -> DataFrame:
-    """The state with the model's columns of hour ``step`` added, in the model's order; unknown ones are 0."""
-    row = state.withColumn("time", (F.col("_last") + F.make_interval(hours=F.lit(step))).cast("timestamp_ntz"))
-    t = F.col("time")
+def step_columns(columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str) -> dict[str, Column]:
+    """The model's columns of the hour ``_step`` hours after the history, in the model's order; a column
+    that cannot be known ahead is 0. They refer to the state only, so they are built once for all steps."""
+    t = (F.col("_last") + F.make_interval(hours=F.col("_step"))).cast("timestamp_ntz")
     made = clock.calendar(t) | clock.cyclic_calendar(t) | clock.period_flags(t)
-    made |= serving_features(F.col("_history"), F.lit(step), weather, target)
+    made |= serving_features(F.col("_history"), F.col("_step"), weather, target)
     if "wind_direction" in weather:
         made["wind_direction_sin"], made["wind_direction_cos"] = clock.cyclic(made["wind_direction"], 360)
     made |= {f"station_{s}": (F.col("station") == s).cast("int") for s in stations}
-    return row.withColumns({c: F.coalesce(made[c].cast("double"), F.lit(0.0)) if c in made else F.lit(0.0) for c in columns})
+    return {c: made[c].cast("double") if c in made else F.lit(0.0) for c in columns}
 
 
 def next_hour_features(
@@ -109,8 +108,10 @@ def next_hour_features(
 ) -> DataFrame:
     """What a model is served for the first hour after each station's history."""
     weather = [w for w in weather if w in history.columns]
-    state = station_state(history, 1, weather, forecast, target)
-    return _features_of_step(state, 1, columns, stations, weather, target).select("station", "time", *columns)
+    state = station_state(history, 1, weather, forecast, target).withColumn("_step", F.lit(1))
+    made = step_columns(columns, stations, weather, target)
+    time = (F.col("_last") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz")
+    return state.select("station", time.alias("time"), *[F.coalesce(v, F.lit(0.0)).alias(c) for c, v in made.items()])
 
 
 def recursive_forecast(
@@ -120,18 +121,27 @@ def recursive_forecast(
     """Forecast ``steps`` hours for all stations: each step predicts from history and earlier predictions.
 
     The state is one row per station with short arrays, so a step is a projection plus the model's
-    transform, without a shuffle. Lineage is cut every few steps in the shared folder.
+    transform, without a shuffle. Lineage is cut every few steps in the shared folder. ``model`` is a
+    pipeline that starts with the imputer of ``training.preparation``; its means are read once.
     """
     weather = [w for w in weather if w in history.columns]
-    state = cut_lineage(station_state(history, steps, weather, forecast, target))
-    kept = state.columns
+    imputer, rest = model.stages[0], PipelineModel(stages=model.stages[1:])
+    means = imputer.surrogateDF.first().asDict()
+    made = step_columns(columns, stations, weather, target)
+    inputs = [F.coalesce(v, F.lit(float(means[c]))).alias(f"_f_{c}") for c, v in made.items()]
+
+    start = station_state(history, steps, weather, forecast, target).withColumn("_step", F.lit(1))
+    fixed = ["station", "_last", *[f"_w_{w}" for w in weather]]
+    value = F.greatest(F.col("raw_prediction"), F.lit(0.0))
+    moved = [
+        *[F.col(c) for c in fixed],
+        F.concat(F.slice(F.col("_history"), 1 - HISTORY, HISTORY - 1), F.array(value)).alias("_history"),
+        F.concat(F.col("_made"), F.array(value)).alias("_made"),
+        (F.col("_step") + 1).alias("_step"),
+    ]
+    state = cut_lineage(start)
     for step in range(1, steps + 1):
-        scored = predict(model, _features_of_step(state, step, columns, stations, weather, target), columns, kept)
-        state = scored.select(
-            *[c for c in kept if c not in ("_history", "_made")],
-            F.concat(F.slice(F.col("_history"), 1 - HISTORY, HISTORY - 1), F.array("prediction")).alias("_history"),
-            F.concat(F.col("_made"), F.array("prediction")).alias("_made"),
-        ).select(*kept)
+        state = rest.transform(state.select("*", *inputs)).select(*moved)
         if step % cut_every == 0 and step < steps:
             state = cut_lineage(state)
     result = state.select("station", "_last", F.posexplode("_made").alias("_pos", "forecast"))

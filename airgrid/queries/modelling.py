@@ -51,17 +51,17 @@ def _(spark, d):
 
 @query("grid_search", "J10 L12")
 def _(spark, d):
-    """A boosted model tuned over expanding time folds."""
+    """A random forest tuned over expanding time folds."""
     frame, columns, _, _ = dataset(spark, d)
 
-    def make(maxDepth, stepSize):
-        return GBTRegressor(
-            labelCol=Y, featuresCol="features", predictionCol="raw_prediction", maxIter=20, maxDepth=maxDepth, stepSize=stepSize, seed=training.SEED
+    def make(maxDepth, numTrees):
+        return RandomForestRegressor(
+            labelCol=Y, featuresCol="features", predictionCol="raw_prediction", maxDepth=maxDepth, numTrees=numTrees, seed=training.SEED
         )
 
-    results = training.grid_search(frame.where("is_train"), columns, make, {"maxDepth": [3, 5], "stepSize": [0.1, 0.3]})
-    rows = [(r["params"]["maxDepth"], r["params"]["stepSize"], r["rmse"], i + 1) for i, r in enumerate(results)]
-    return spark.createDataFrame(rows, "max_depth INT, step_size DOUBLE, rmse DOUBLE, rank INT")
+    results = training.grid_search(frame.where("is_train"), columns, make, {"maxDepth": [5, 10], "numTrees": [20, 50]})
+    rows = [(r["params"]["maxDepth"], r["params"]["numTrees"], r["rmse"], i + 1) for i, r in enumerate(results)]
+    return spark.createDataFrame(rows, "max_depth INT, num_trees INT, rmse DOUBLE, rank INT")
 
 
 @query("recursive_forecast", "K1 K2 K9 J12")
