@@ -71,7 +71,7 @@ def raw_source_hourly(raw: DataFrame, lookup: DataFrame, utc_time: str = "utc_ti
 
 def weather_source_hourly(weather: DataFrame, order: list[str]) -> DataFrame:
     """Fill raw weather per station, then hourly means and the most common icon."""
-    filled = fill.fill_mean_mode(carry_raw(weather, WEATHER_NUMERIC, order), [], ["weather_icon"])
+    filled = carry_raw(fill.fill_mean_mode(weather, [], ["weather_icon"]), WEATHER_NUMERIC, order)
     return hourly_weather(filled, [*WEATHER_NUMERIC, *POLLUTANTS], "weather_icon")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.operators.evaluate import metrics
+from airgrid.operators.filters import attach
 from airgrid.operators.lagging import expanding_folds, lags
 from airgrid.plans.features import TARGET
 
@@ -220,7 +221,7 @@ def guard(pred: DataFrame, train: DataFrame, label: str, keys: Sequence[str] = (
         F.avg("prediction").alias("mean_pred"), F.stddev_pop("prediction").alias("sd_pred"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
     )
-    both = seen.join(fitted, list(keys)) if keys else seen.join(F.broadcast(fitted))
+    both = seen.join(fitted, list(keys)) if keys else attach(seen, fitted)
     bad = (F.abs("mean_pred") > 5 * F.abs("_mean")) | (F.col("sd_pred") > 5 * F.col("_sd")) | (F.col("rmse") > 5 * F.col("_sd"))
     return both.withColumn("accepted", ~bad).drop("_mean", "_sd")
 

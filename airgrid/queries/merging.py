@@ -28,6 +28,11 @@ def raw_utc(spark, d):
     )
 
 
+def scored_table(spark, d):
+    """First source: hourly index values, as a stored table (it is read for its rows and its time range)."""
+    return cut_lineage(average_then_score(feeds.hourly_wide(spark, d)))
+
+
 def hub_weather(spark, d):
     """Third source: weather rows with the pollutants the hub publishes itself."""
     w = feeds.weather(spark, d)
@@ -60,7 +65,7 @@ _MERGE_PARTS = {
     s.cte("scored", "weather", **_MERGE_PARTS) + f"SELECT time, station, {s.P}, {s.WN}, weather_icon FROM applied", " ".join(NUM),
 )
 def _(spark, d):
-    scored = average_then_score(feeds.hourly_wide(spark, d))
+    scored = scored_table(spark, d)
     hub = cut_lineage(weather_source_hourly(hub_weather(spark, d).where(F.col("station") == feeds.HUB), ["event_id"]))
     return joins.with_city_weather(scored, city_weather(hub, scored)).select("time", "station", *NUM, "weather_icon")
 
@@ -92,7 +97,7 @@ def _reconciled(old: str, new: str, keep: str) -> str:
 )
 def _(spark, d):
     merged = merge_sources(
-        average_then_score(feeds.hourly_wide(spark, d)), raw_utc(spark, d), hub_weather(spark, d), lookup(spark), feeds.HUB, ["event_id"]
+        scored_table(spark, d), raw_utc(spark, d), hub_weather(spark, d), lookup(spark), feeds.HUB, ["event_id"]
     )
     return merged.select("time", "station", *POLLUTANTS, *WEATHER_NUMERIC, "weather_icon")
 
@@ -130,10 +135,10 @@ def _(spark, d):
     " ".join(NUM),
 )
 def _(spark, d):
-    hourly = feeds.hourly_wide(spark, d)
+    hourly = scored_table(spark, d)
     stored = hourly.where(F.col("time") < F.lit("2024-01-25 06:00:00").cast("timestamp_ntz"))
     merged = merge_sources(
-        average_then_score(hourly), raw_utc(spark, d), hub_weather(spark, d), lookup(spark), feeds.HUB, ["event_id"], merged=stored
+        hourly, raw_utc(spark, d), hub_weather(spark, d), lookup(spark), feeds.HUB, ["event_id"], merged=stored
     )
     return merged.select("time", "station", *POLLUTANTS, *WEATHER_NUMERIC, "weather_icon")
 
@@ -229,13 +234,13 @@ def _(spark, d):
 
 
 @query(
-    "customers_without_orders", "C5",
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orders_without_lines", "C5",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 )
 def _(spark, d):
-    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"), "c_name")
-    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("key"))
-    return joins.only_new(customers, orders, ["key"]).withColumnRenamed("key", "c_custkey")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), "o_orderstatus", "o_totalprice")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("key"))
+    return joins.only_new(orders, lines, ["key"]).withColumnRenamed("key", "o_orderkey")
 
 
 @query(

@@ -205,3 +205,98 @@ def _(spark, d):
     before = training.predict(model, test, columns, ["station", "time"])
     after = training.predict(training.load_model(place), test, columns, ["station", "time"]).withColumnRenamed("prediction", "reloaded")
     return before.join(after, ["station", "time"])
+
+
+_LAGGED = (
+    f"SELECT station, time, {Y} AS y, lag({Y}) OVER (PARTITION BY station ORDER BY time) AS x, row_number() OVER (PARTITION BY station ORDER BY time) AS rn, "
+    "count(*) OVER (PARTITION BY station) - 24 AS n FROM target"
+)
+_TRAIN = "SELECT * FROM lagged WHERE rn > 24 AND rn - 24 <= floor(n * 0.8e0)"
+_TEST = "SELECT * FROM lagged WHERE rn > 24 AND rn - 24 > floor(n * 0.8e0)"
+
+
+def _one_feature(spark, d):
+    """Training and test rows with the previous hour as the only feature."""
+    frame = lagging.split_per_key(plan.pooled(target(spark, d)))
+    return _split(cut_lineage(frame.select("station", "time", Y, f"{Y}_lag_1h", "is_train")))
+
+
+@query(
+    "linear_model", "J2 J3 J8",
+    s.cte("target", lagged=_LAGGED, train=_TRAIN, test=_TEST, m="SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM train")
+    + "SELECT station, time, greatest(0, a + b * x) AS prediction FROM test, m", "prediction",
+)
+def _(spark, d):
+    train, test = _one_feature(spark, d)
+    columns = [f"{Y}_lag_1h"]
+    model = training.fit_models(train, columns, ["linear"], with_ridge=False)["linear"]
+    return training.predict(model, test, columns, ["station", "time"])
+
+
+@query(
+    "ridge_model", "J2 J4",
+    s.cte("target", lagged=_LAGGED, train=_TRAIN, test=_TEST,
+          m="SELECT avg(x) AS mx, avg(y) AS my, stddev_samp(x) AS sx, regr_sxy(y, x) / stddev_samp(x) / (regr_sxx(y, x) / (stddev_samp(x) * stddev_samp(x)) + 0.5e0) AS b FROM train WHERE x IS NOT NULL")
+    + "SELECT station, time, greatest(0, my + b * (x - mx) / sx) AS prediction FROM test, m", "prediction",
+)
+def _(spark, d):
+    train, test = _one_feature(spark, d)
+    columns = [f"{Y}_lag_1h"]
+    model = training.fit_models(train, columns, [], with_ridge=True)["ridge"]
+    return training.predict(model, test, columns, ["station", "time"])
+
+
+@query(
+    "train_mean_impute", "H11 J2",
+    s.cte("model_gaps", r="SELECT *, row_number() OVER (PARTITION BY station ORDER BY time) <= floor(count(*) OVER (PARTITION BY station) * 0.8e0) AS is_train FROM model_gaps",
+          m="SELECT avg(wind_speed) AS mean FROM r WHERE is_train", f="SELECT station, time, is_train, coalesce(wind_speed, mean) AS w FROM r, m",
+          sc="SELECT avg(w) AS mu, stddev_samp(w) AS sd FROM f WHERE is_train")
+    + "SELECT station, time, w AS wind_speed, (w - mu) / sd AS scaled FROM f, sc WHERE NOT is_train", "wind_speed scaled",
+)
+def _(spark, d):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = lagging.split_per_key(cut_lineage(model_gaps(spark, d).select("station", "time", "wind_speed")))
+    train, test = _split(rows)
+    fitted = Pipeline(stages=training.preparation(["wind_speed"])).fit(train).transform(test)
+    return fitted.select("station", "time", F.col("_f_wind_speed").alias("wind_speed"), vector_to_array("features")[0].alias("scaled"))
+
+
+@query(
+    "cluster_profile", "D24",
+    s.cte("wx") + "SELECT weather_icon AS cluster, count(*) AS n, avg(humidity) AS humidity, avg(wind_speed) AS wind_speed FROM wx GROUP BY 1", "humidity wind_speed",
+)
+def _(spark, d):
+    """Profile of given groups (here the icon), without the arbitrary ids of a clustering."""
+    wx = feeds.hourly_weather_station(spark, d).withColumnRenamed("weather_icon", "cluster")
+    return clusters.profile(wx, ["humidity", "wind_speed"])
+
+
+_SERVED = {f"{Y}_lag_1h": "y1", f"{Y}_lag_24h": "y24", f"{Y}_diff_24h": "y1 - y25", f"{Y}_rolling_mean_6h": "m6", f"{Y}_rolling_std_24h": "s24", f"{Y}_rolling_max_12h": "x12"}
+
+
+@query(
+    "serving_features", "K3 G8",
+    s.cte("target", r=f"SELECT station, time, {Y} AS y, row_number() OVER (PARTITION BY station ORDER BY time DESC) AS k FROM target",
+          a="SELECT station, max(time) + INTERVAL 1 HOUR AS time, max(CASE WHEN k = 1 THEN y END) AS y1, max(CASE WHEN k = 24 THEN y END) AS y24, max(CASE WHEN k = 25 THEN y END) AS y25, "
+            "avg(CASE WHEN k <= 6 THEN y END) AS m6, stddev_samp(CASE WHEN k <= 24 THEN y END) AS s24, max(CASE WHEN k <= 12 THEN y END) AS x12 FROM r GROUP BY 1")
+    + "SELECT station, time, " + ", ".join(f"{v} AS {k}" for k, v in _SERVED.items()) + ", CAST(hour(time) AS DOUBLE) AS hour FROM a", " ".join(_SERVED),
+)
+def _(spark, d):
+    return forecasting.next_hour_features(target(spark, d), [*_SERVED, "hour"])
+
+
+@query(
+    "recursive_linear", "K1 K2",
+    s.cte("target", lagged=_LAGGED, m="SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM lagged WHERE rn > 24").replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", steps AS (SELECT station, max(time) AS time, 0 AS horizon, arg_max({Y}, time) AS forecast FROM target GROUP BY 1 UNION ALL "
+    "SELECT station, time + INTERVAL 1 HOUR, horizon + 1, greatest(0, a + b * forecast) FROM steps, m WHERE horizon < 24) "
+    "SELECT station, time, horizon, forecast FROM steps WHERE horizon > 0", "forecast",
+)
+def _(spark, d):
+    """24 recursive hours of a model that sees the previous hour only; SQL can repeat that recursion."""
+    history = cut_lineage(target(spark, d))
+    columns = [f"{Y}_lag_1h"]
+    model = training.fit_models(plan.pooled(history), columns, ["linear"], with_ridge=False)["linear"]
+    return forecasting.recursive_forecast(model, history, columns, 24)
