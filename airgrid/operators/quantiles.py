@@ -26,17 +26,20 @@ def to_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def quantiles_of_counts(
-    counts: DataFrame, probs: Sequence[float], by: Sequence[str], value: str = "value", n: str = "n"
+    counts: DataFrame, probs: Sequence[float], by: Sequence[str], value: str = "value", n: str = "n", few_groups: bool = False,
 ) -> DataFrame:
     """Quantiles from a (by..., value, n) table: one row per ``by`` and probability.
 
     Linear interpolation between the two neighbouring ranks, as pandas and SQL ``percentile_cont`` do.
+    ``few_groups`` says that the number of groups is a small constant of the query (its columns, not its
+    keys); then the per-group tables have at most 2 x probabilities rows per group and are broadcast.
     """
+    small = F.broadcast if few_groups else (lambda df: df)
     by = list(by)
     span = counts.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum(n).alias("total"))
     share = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
     bin_id = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
-    binned = counts.join(span, by).withColumn("bin", bin_id.cast("int")).drop("lo", "hi")
+    binned = counts.join(small(span), by).withColumn("bin", bin_id.cast("int")).drop("lo", "hi")
 
     # Small table: at most BINS rows per group, each with the wanted ranks that fall into it.
     running = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -56,7 +59,7 @@ def quantiles_of_counts(
     ).where(F.size("wanted") > 0)
 
     inside = W.partitionBy(*by, "bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = binned.join(hits, [*by, "bin"]).withColumn("last", F.col("before") + F.sum(n).over(inside))
+    ranked = binned.join(small(hits), [*by, "bin"]).withColumn("last", F.col("before") + F.sum(n).over(inside))
     at = F.filter(
         F.col("wanted"), lambda t: (t["rank"] >= F.col("last") - F.col(n)) & (t["rank"] < F.col("last"))
     )
@@ -71,7 +74,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """(keys, column, prob, quantile) for every column and probability, nulls ignored."""
     counts = to_long(df, columns, keys).groupBy(*keys, "column", "value").agg(F.count("*").alias("n"))
-    return quantiles_of_counts(counts, probs, [*keys, "column"])
+    return quantiles_of_counts(counts, probs, [*keys, "column"], few_groups=not keys)
 
 
 def quantile_row(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
