@@ -10,7 +10,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,14 +47,27 @@ def ridge(train: DataFrame, alpha: float = 0.5, label: str = TARGET, features: s
     )
 
 
-def preparation(columns: Sequence[str]) -> list[Estimator]:
-    """Mean imputation fitted on the training rows, assembling and scaling."""
+def preparation(columns: Sequence[str], categories: Sequence[str] = ()) -> list[Estimator]:
+    """Mean imputation fitted on the training rows, assembling and scaling.
+
+    ``categories`` (such as the station) are indexed and one-hot encoded as sparse vectors, which serves
+    any number of levels; for a few levels ``features.add_dummies`` makes readable columns instead.
+    """
     filled = [f"_f_{c}" for c in columns]
-    return [
+    scaled = "_scaled" if categories else "features"
+    stages: list = [
         Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_assembled", handleInvalid="keep"),
-        StandardScaler(inputCol="_assembled", outputCol="features", withMean=True, withStd=True),
+        StandardScaler(inputCol="_assembled", outputCol=scaled, withMean=True, withStd=True),
     ]
+    if categories:
+        index, hot = [f"_i_{c}" for c in categories], [f"_h_{c}" for c in categories]
+        stages += [
+            StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            OneHotEncoder(inputCols=index, outputCols=hot),
+            VectorAssembler(inputCols=[scaled, *hot], outputCol="features", handleInvalid="keep"),
+        ]
+    return stages
 
 
 def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -69,11 +82,11 @@ def predict(model: PipelineModel, df: DataFrame, columns: Sequence[str], keep: S
 
 def fit_models(
     train: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None, label: str = TARGET, with_ridge: bool = True,
-    parallelism: int = 4,
+    parallelism: int = 4, categories: Sequence[str] = (),
 ) -> dict[str, PipelineModel]:
     """Fit every model on the same prepared, cached training rows; models are fitted side by side, as
     small fits leave most of a cluster idle."""
-    front = Pipeline(stages=preparation(columns)).fit(as_double(train, columns))
+    front = Pipeline(stages=preparation(columns, categories)).fit(as_double(train, columns))
     prepared = front.transform(as_double(train, columns)).select(label, "features").cache()
     try:
         models = estimators(label, names=names)

@@ -177,3 +177,17 @@ def test_per_station_models(spark, history):
         frame, ["A", "B"], ["overall_aqi_lag_24h"], lambda: LinearRegression(labelCol="overall_aqi", featuresCol="features", predictionCol="raw_prediction")
     )
     assert set(models) == {"A", "B"} and isinstance(Pipeline(stages=[]), Pipeline)
+
+
+def test_encoded_stations_equal_dummy_columns(spark, history):
+    """One-hot vectors give the pooled model the same predictions as explicit 0/1 columns."""
+    past = features.pooled(history)
+    dummies = features.add_dummies(past, ["A", "B"])
+    numeric = ["overall_aqi_lag_1h", "overall_aqi_lag_24h"]
+    wide = training.fit_models(dummies, [*numeric, "station_B"], ["linear"], with_ridge=False)["linear"]
+    sparse = training.fit_models(past, numeric, ["linear"], with_ridge=False, categories=["station"])["linear"]
+    a = training.predict(wide, dummies, [*numeric, "station_B"], ["station", "time"]).orderBy("station", "time").collect()
+    b = training.predict(sparse, past, numeric, ["station", "time"]).orderBy("station", "time").collect()
+    assert [r.prediction for r in a] == pytest.approx([r.prediction for r in b], abs=1e-6)
+    made = forecasting.recursive_forecast(sparse, history, numeric, 3)
+    assert made.count() == 6 and made.where("forecast IS NULL").count() == 0
