@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import id_files, mixing, packing, shards, url_rules
+from airgrid.llm import cover_join, id_files, mixing, ngram_join, packing, shards, url_rules
 from airgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 # (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -61,6 +66,11 @@ def op3(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@register("op4_cover_tree_dedup")
+def op4(spark, sf_dir):
+    return cover_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @register("op7_histogram_shards")
 def op7(spark, sf_dir):
     placed = shards.shard(table(spark, sf_dir, "documents"))
