@@ -89,27 +89,29 @@ _UPSERTED = (
 )
 
 
-@query("stored_upsert", "A10 A12", s.cte("hourly", **_HALVES) + _UPSERTED, "pm25 pm10 no2")
+@query("stored_upsert", "A10 A12", s.cte("hourly", **_HALVES) + _UPSERTED.replace(" FROM old", ", n.pm25 / 2 AS pm1 FROM old"), "pm25 pm10 no2 pm1")
 def _(spark, d):
-    """The day-partitioned table after two rounds of the same update (the second changes nothing)."""
+    """The day-partitioned table after two rounds of the same update, which adds a column (the second changes nothing)."""
     old, new = halves(spark, d)
     out = place(spark, "table")
     writers.write_by_day(old, out)
-    writers.upsert_by_day(new, out, KEY)
-    writers.upsert_by_day(new, out, KEY)
-    return spark.read.parquet(out).select("station", "time", "pm25", "pm10", "no2")
+    update = new.withColumn("pm1", F.col("pm25") / 2)
+    writers.upsert_by_day(update, out, KEY)
+    writers.upsert_by_day(update, out, KEY)
+    return writers.stored(spark, out).select("station", "time", "pm25", "pm10", "no2", "pm1")
 
 
 @query(
     "stored_keep_last", "A13 A15",
-    s.cte("hourly", **_HALVES) + "SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.station = o.station AND n.time = o.time)",
-    "pm25 pm10 no2",
+    s.cte("hourly", **_HALVES) + "SELECT *, pm25 / 2 AS pm1 FROM new UNION ALL SELECT o.*, NULL FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.station = o.station AND n.time = o.time)",
+    "pm25 pm10 no2 pm1",
 )
 def _(spark, d):
+    """Whole rows replaced, by an update that adds a column."""
     old, new = halves(spark, d)
     out = place(spark, "table")
-    writers.replace_all(old, out)
-    return writers.upsert_keep_last(new, out, KEY)
+    writers.write_by_day(old, out)
+    return writers.upsert_keep_last(new.withColumn("pm1", F.col("pm25") / 2), out, KEY)
 
 
 @query(

@@ -14,6 +14,7 @@ from airgrid.queries import sqlbase as s
 from airgrid.queries.registry import query
 from airgrid.schema import fields
 from airgrid.session import shared_dir
+from airgrid.sources.writers import stored
 from airgrid.streaming import jobs
 
 EVENTS = fields(event_id=T.LongType(), ts=T.TimestampNTZType(), user_id=T.LongType(), event_type=T.StringType(), value=T.DoubleType(), props=T.StringType())
@@ -22,13 +23,36 @@ EVENTS = fields(event_id=T.LongType(), ts=T.TimestampNTZType(), user_id=T.LongTy
 def landed(spark, d):
     """The event files as a stream of readings. The pattern matches just that file or folder; a plain
     path would have to be a folder."""
-    rows = jobs.read_landed(spark, f"{d}/events.parque[t]", EVENTS, "parquet", time="ts")
+    return readings_of(jobs.read_landed(spark, f"{d}/events.parque[t]", EVENTS, "parquet", time="ts"))
+
+
+def readings_of(rows):
     return rows.select(
         "event_id", feeds.station_of(F.col("user_id")).alias("station"), F.col("ts").alias("time"),
         feeds.parameter_of(F.col("event_type")).alias("parameter"), "value",
     )
 
 
+PARTS = 3
+# The third of the time range a row lies in; every 40th event comes one part late.
+_PART = f"(epoch_us(ts) - lo) * {PARTS} // (hi - lo + 1)"
+
+
+def landed_in_parts(spark, d, late_every: int | None = None):
+    """The events as files that land one after the other, in order of time and cut inside an hour, read one per batch."""
+    events = spark.read.schema(EVENTS).parquet(f"{d}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    part = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {lo}) * {PARTS} div ({hi} - {lo} + 1)") if lo is not None else F.lit(0)
+    if late_every:
+        part = F.least(part + (F.col("event_id") % late_every == 0).cast("int"), F.lit(PARTS - 1))
+    folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    for k in range(PARTS):
+        events.where(part == k).write.mode("append").parquet(folder)
+    rows = jobs.read_landed(spark, folder, EVENTS, "parquet", time="ts", files_per_trigger=1)
+    return readings_of(rows)
+
+
 def out_dir(spark) -> str:
     return f"{shared_dir(spark)}/stream-out-{uuid.uuid4().hex}"
 
@@ -64,9 +88,9 @@ def _(spark, d):
 
 @query("stream_dedup", "N3 F7", s.cte("readings") + "SELECT station, parameter, count(*) AS n, sum(value) AS total FROM readings GROUP BY 1, 2", "total")
 def _(spark, d):
-    """Every file is polled twice; each reading must come out once."""
-    twice = landed(spark, d).unionByName(landed(spark, d))
-    kept = jobs.run_to_table(jobs.distinct_readings(twice, ["event_id"], late="40 days"), out_dir(spark))
+    """Every file is polled twice; each reading must come out once, with two hours of state."""
+    once = landed_in_parts(spark, d)
+    kept = jobs.run_to_table(jobs.distinct_readings(once.unionByName(once), ["event_id"], late="2 hours"), out_dir(spark))
     return kept.groupBy("station", "parameter").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
@@ -89,21 +113,15 @@ def _(spark, d):
 def _(spark, d):
     table = out_dir(spark)
     jobs.run_batches(jobs.latest_state(landed(spark, d)), jobs.latest_sink(table), mode="update")
-    return zone_free(spark.read.parquet(table), "time")
+    return zone_free(jobs.latest_table(spark, table), "time")
 
 
 @query("stream_upsert", "N6 A12", s.cte("hourly") + "SELECT station, time, pm25, pm10 FROM hourly", "pm25 pm10")
 def _(spark, d):
-    """Hourly means per batch merged into a day-partitioned table."""
+    """Hourly means kept as streaming state and merged into a day-partitioned table, over several batches."""
     table = out_dir(spark)
-    merge = jobs.upsert_sink(table)
-
-    def handle(batch, batch_id):
-        means = [F.avg(F.when(F.col("parameter") == p, F.col("value"))).alias(p) for p in ("pm25", "pm10")]
-        merge(batch.groupBy("station", F.date_trunc("hour", "time").alias("time")).agg(*means), batch_id)
-
-    jobs.run_batches(landed(spark, d), handle)
-    return spark.read.parquet(table).select("station", "time", "pm25", "pm10")
+    jobs.run_batches(jobs.hourly_wide_means(landed_in_parts(spark, d), ["pm25", "pm10"]), jobs.upsert_sink(table), mode="update")
+    return stored(spark, table).select("station", "time", "pm25", "pm10")
 
 
 @query(
@@ -118,18 +136,17 @@ def _(spark, d):
     return joined.groupBy("station", "parameter").agg(F.count("*").alias("n"), F.avg("humidity").alias("mean_humidity"))
 
 
-@query("stream_late_rows", "N7 S18")
+@query(
+    "stream_late_rows", "N7 S18",
+    f"WITH range AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), "
+    f"p AS (SELECT ts AS time, least({_PART} + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END, {PARTS - 1}) AS batch_id FROM events, range), "
+    "b AS (SELECT batch_id, max(time) AS newest FROM p GROUP BY 1), "
+    "s AS (SELECT batch_id, newest, max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM b) "
+    "SELECT CAST(p.batch_id AS BIGINT) AS batch_id, count(*) AS n, count(*) FILTER (time <= seen - INTERVAL 1 HOUR) AS n_late, "
+    "count(*) FILTER (time > seen - INTERVAL 1 HOUR AND time <= seen) AS n_overlap, max(newest) AS newest FROM p JOIN s ON p.batch_id = s.batch_id GROUP BY 1",
+)
 def _(spark, d):
-    """Per batch: rows in time, in the overlap, and too late, against the newest time seen before."""
+    """Per batch: all rows, those too late and those in the overlap, against the newest time seen before."""
     table = out_dir(spark)
-    from airgrid.sources.writers import stored
-
-    def handle(batch, batch_id):
-        seen = stored(batch.sparkSession, table)
-        newest = F.lit(None).cast("timestamp") if seen is None else seen.agg(F.max("newest")).scalar()
-        counts = jobs.late_rows(batch, newest).withColumn("batch_id", F.lit(batch_id))
-        top = batch.agg(F.max("time").alias("newest"))
-        counts.withColumn("newest", top.scalar()).write.mode("append").parquet(table)
-
-    jobs.run_batches(landed(spark, d), handle)
-    return zone_free(spark.read.parquet(table), "newest")
+    jobs.run_batches(landed_in_parts(spark, d, late_every=40), jobs.late_count_sink(table))
+    return zone_free(stored(spark, table), "newest").withColumn("batch_id", F.col("batch_id").cast("long"))

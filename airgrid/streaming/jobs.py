@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airgrid.operators.dedup import keep_last, latest_per_key
+from airgrid.operators.dedup import latest_per_key
 from airgrid.session import shared_dir
-from airgrid.sources.writers import upsert_by_day
+from airgrid.sources.writers import stored, upsert_by_day
 
 LATE = "1 hour"
 
@@ -42,6 +42,18 @@ def hourly_means(rows: DataFrame, keys: Sequence[str], value: str = "value", tim
     )
 
 
+def hourly_wide_means(
+    rows: DataFrame, parameters: Sequence[str], key: str = "station", value: str = "value", parameter: str = "parameter", time: str = "time", late: str | None = None,
+) -> DataFrame:
+    """(key, hour as ``time``, one mean per parameter) as streaming state, for update mode: an hour comes out again, complete,
+    whenever a batch adds to it. ``late`` drops hours from the state; without it the state is bounded by the calendar."""
+    source = rows.withWatermark(time, late) if late else rows
+    means = [F.avg(F.when(F.col(parameter) == p, F.col(value))).alias(p) for p in parameters]
+    if late:
+        return source.groupBy(key, F.window(time, "1 hour").alias("_hour")).agg(*means).select(key, F.col("_hour.start").alias(time), *parameters)
+    return source.groupBy(key, F.date_trunc("hour", time).alias(time)).agg(*means)
+
+
 def sliding_means(
     rows: DataFrame, keys: Sequence[str], value: str = "value", time: str = "time", width: str = "24 hours",
     slide: str = "1 hour", late: str = LATE,
@@ -108,26 +120,61 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mod
     query.awaitTermination()
 
 
-def upsert_sink(path: str, keys: Sequence[str] = ("time", "station"), time: str = "time") -> Callable[[DataFrame, int], None]:
-    """Batch handler that merges each batch into a day-partitioned table; replaying a batch changes nothing."""
+def upsert_sink(path: str, keys: Sequence[str] = ("time", "station"), time: str = "time", order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """Batch handler that merges each batch into a day-partitioned table; replaying a batch changes nothing.
+
+    Rows of one key in a batch are folded column by column as batches are: the last known value by ``order`` wins, without
+    an order the largest. Values must be final or complete so far; partial sums belong into streaming state.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn(time, F.col(time).cast("timestamp_ntz"))
-        unique = keep_last(rows, keys, [c for c in rows.columns if c not in keys])
-        upsert_by_day(unique, path, keys, time)
+        rest = [c for c in rows.columns if c not in keys and c not in order]
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(c) for c in rest]
+        upsert_by_day(rows.groupBy(*keys).agg(*last, *[F.max(c).alias(c) for c in order]).select(*rows.columns), path, keys, time)
 
     return handle
 
 
+VERSION = "version"
+
+
+def latest_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table written by ``latest_sink``."""
+    table = stored(spark, path)
+    if table is None:
+        return None
+    newest = table.agg(F.max(VERSION)).first()[0]
+    return table.where(F.col(VERSION) == newest).drop(VERSION)
+
+
 def latest_sink(path: str, key: str = "station", time: str = "time") -> Callable[[DataFrame, int], None]:
-    """Batch handler that keeps the newest row per station in a small table."""
-    from airgrid.session import cut_lineage
-    from airgrid.sources.writers import replace_all, stored
+    """Batch handler that keeps the newest row per station in a small table; equal times go to the larger row.
+
+    Each batch writes a version of its own and the older ones stay, so a failure in between loses nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = stored(spark, path)
+        newest = -1 if old is None else old.agg(F.max(VERSION)).first()[0]
+        rows = batch if old is None else old.where(F.col(VERSION) == newest).drop(VERSION).unionByName(batch)
+        tie = [c for c in batch.columns if c not in (key, time)]
+        latest_per_key(rows, key, time, tie).write.parquet(f"{path}/{VERSION}={newest + 1}")
+
+    return handle
+
+
+def late_count_sink(path: str, time: str = "time", late: str = LATE) -> Callable[[DataFrame, int], None]:
+    """Batch handler that counts rows in time, in the overlap and too late against the batches before; a replayed batch
+    replaces its own counts."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        old = stored(batch.sparkSession, path)
-        rows = batch if old is None else old.unionByName(batch)
-        replace_all(cut_lineage(latest_per_key(rows, key, time)), path)
+        spark = batch.sparkSession
+        seen = stored(spark, path)
+        before = None if seen is None else seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+        counts = late_rows(batch, F.lit(before).cast("timestamp"), time, late)
+        counts.withColumn("newest", batch.agg(F.max(time).alias("newest")).scalar()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return handle
 

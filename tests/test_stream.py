@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from airgrid.schema import fields
 from airgrid.session import shared_dir
+from airgrid.sources.writers import stored
 from airgrid.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,15 +71,43 @@ def test_upsert_sink_survives_a_replay(spark):
     land(spark, src, [("A", 0, 1.0)], [("A", 0, None), ("B", 1, 2.0)])
     for _ in range(2):  # a new checkpoint replays everything
         jobs.run_batches(opened(spark, src), jobs.upsert_sink(table))
-    rows = sorted((r.station, r.value) for r in spark.read.parquet(table).collect())
+    rows = sorted((r.station, r.value) for r in stored(spark, table).collect())
     assert rows == [("A", 1.0), ("B", 2.0)]
 
 
+def test_rows_of_one_key_are_folded_alike_in_one_batch_or_two(spark):
+    kinds = "station STRING, time TIMESTAMP_NTZ, pm25 DOUBLE, pm10 DOUBLE"
+    batches = [spark.createDataFrame(r, kinds) for r in ([("A", at(0), 1.0, None)], [("A", at(0), None, 2.0)])]
+    one, two = place(spark), place(spark)
+    jobs.upsert_sink(one)(batches[0].union(batches[1]), 0)
+    for i, b in enumerate(batches):
+        jobs.upsert_sink(two)(b, i)
+    for table in (one, two):
+        assert [tuple(r) for r in stored(spark, table).select("pm25", "pm10").collect()] == [(1.0, 2.0)]
+
+
+def test_hourly_upsert_does_not_depend_on_the_batches(spark):
+    kinds = fields(station=T.StringType(), time=T.TimestampNTZType(), parameter=T.StringType(), value=T.DoubleType())
+    readings = [(f"S{i % 2}", at(i * 0.13), "pm25" if i % 3 else "pm10", float(i)) for i in range(60)]
+    want: dict = {}
+    for s, t, p, v in readings:
+        want.setdefault((s, t.replace(minute=0, second=0, microsecond=0), p), []).append(v)
+    for parts in (1, 3, 10):
+        src, table = place(spark), place(spark)
+        for k in range(parts):
+            spark.createDataFrame(readings[60 * k // parts : 60 * (k + 1) // parts], kinds).coalesce(1).write.mode("append").json(src)
+        for _ in range(2):  # the second run replays everything
+            stream = jobs.read_landed(spark, src, kinds, "json", files_per_trigger=1)
+            jobs.run_batches(jobs.hourly_wide_means(stream, ["pm25", "pm10"]), jobs.upsert_sink(table), mode="update")
+        got = {(r.station, r.time, p): r[p] for r in stored(spark, table).collect() for p in ("pm25", "pm10") if r[p] is not None}
+        assert got == {k: sum(v) / len(v) for k, v in want.items()}, parts
+
+
 def test_latest_state(spark):
     src, table = place(spark), place(spark)
     land(spark, src, [("A", 0, 1.0), ("B", 5, 2.0)], [("A", 3, 3.0), ("B", 1, 4.0)])
     jobs.run_batches(jobs.latest_state(opened(spark, src)), jobs.latest_sink(table), mode="update")
-    assert sorted((r.station, r.value) for r in spark.read.parquet(table).collect()) == [("A", 3.0), ("B", 2.0)]
+    assert sorted((r.station, r.value) for r in jobs.latest_table(spark, table).collect()) == [("A", 3.0), ("B", 2.0)]
 
 
 def test_static_lookup(spark):
