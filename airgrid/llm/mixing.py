@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,3 +138,36 @@ def mix(
         "row", "doc_id", "size", "source_size", "target", "whole", "first_from", "first_to", "second_from", "second_to",
         (F.col("whole") * F.col("size") + F.col("first_to") - F.col("first_from") + F.col("second_to") - F.col("second_from")).alias("taken"), "shard_quota",
     )
+
+
+def cut_words(text: str, first: int, last: int) -> str:
+    """The text from the start of word ``first`` to the end of word ``last`` - 1, with the white space between them."""
+    ends = [m.span() for m in itertools.islice(re.finditer(WORD, text), last)]
+    return text[ends[first][0] : ends[-1][1]]
+
+
+def take(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``documents``: each document once per time it is taken.
+
+    Where a source's run of blocks ends inside a document, the row has the words taken only, and their number of characters
+    in ``n_chars`` if there is such a column. Documents without words are not in the mix.
+    """
+    text = options.get("text", "text")
+    none = F.lit(0).cast("long")
+    span = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b")) if isinstance(a, str) else F.struct(a.alias("a"), b.alias("b"))
+
+    @F.pandas_udf("string")
+    def cut(texts, first, last):
+        import pandas as pd
+
+        return pd.Series([None if t is None else cut_words(t, a, b) for t, a, b in zip(texts, first, last)], dtype=object)
+
+    spans = F.concat(
+        F.array_repeat(span(none, F.col("size")), F.col("whole").cast("int")),
+        F.filter(F.array(span("first_from", "first_to"), span("second_from", "second_to")), lambda s: s["b"] > s["a"]),
+    )
+    rows = mix(documents, **options).filter("size > 0").select("row", "size", F.explode(spans).alias("span"))
+    part = (F.col("span.a") > 0) | (F.col("span.b") < F.col("size"))
+    rows = rows.withColumn("cut", cut(F.when(part, F.col(f"row.`{text}`")), "span.a", "span.b"))
+    changed = {text: F.coalesce("cut", f"row.`{text}`"), "n_chars": F.coalesce(F.length("cut").cast("long"), "row.n_chars") if "n_chars" in documents.columns else None}
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import cover_join, id_files, mixing, ngram_join, packing, shards, url_rules
+from airgrid.llm import cover_join, id_files, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
 from airgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op1(spark, sf_dir):
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+@register("op2_permutation_index")
+def op2(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation_index.neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 # (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -71,6 +77,13 @@ def op4(spark, sf_dir):
     return cover_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@register("op6_toxicity")
+def op6(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @register("op7_histogram_shards")
 def op7(spark, sf_dir):
     placed = shards.shard(table(spark, sf_dir, "documents"))
