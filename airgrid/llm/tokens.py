@@ -39,6 +39,7 @@ class WordIds:
         self.spaced, self.kept = spaced, kept
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.letters = byte_letters()
         self.tokenizer.model._resize_cache(0)  # the library's own cache only costs time here
         self.merge = self.tokenizer.model.tokenize
@@ -59,11 +60,20 @@ class WordIds:
         if found is None:
             return self.whole(word[1:] if word[0] == "\x00" else word if word[0] == "\n" or not self.spaced else " " + word)
         letters, marks = found.groups()
+        if marks and body is word:  # the bare word is known more often than the word with this mark
+            return (self.new.get(letters) or self.missing(letters)) + self.mark(marks)
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(self.letters)
-        before = b"" if body is word or word[0] == "\x00" or not self.spaced else self.line
+        before = self.line if self.spaced and word[0] == "\n" else b""
         out = before + self.piece(self.space + letters if self.spaced and body is word else letters)
-        return out + self.piece(marks) if marks else out
+        return out + self.mark(marks) if marks else out
+
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.piece(marks)
+            if len(self.marks) > 10_000:
+                return self.marks.pop(marks)
+        return self.marks[marks]
 
     def missing(self, word: str) -> bytes:
         found = self.old.get(word)
@@ -80,16 +90,12 @@ class WordIds:
         if "\x00" in text or any(s in text for s in self.special):
             return self.whole(text)
         if self.spaced:
-            lines = text.split("\n")
-            words = lines[0].split(" ")
-            words[0] = "\x00" + words[0]
-            for line in lines[1:]:
-                more = line.split(" ")
-                more[0] = "\n" + more[0]
-                words += more
-            # Two white spaces in a row leave an empty word; any other kind of white space makes the counts differ.
-            if "" in words or words[0] == "\x00" or "\n" in words or len(words) != len(text.split()):
+            # A word takes the one white space before it along, so runs of white space and any other kind than these two are odd.
+            words = text.replace("\n", " \n")
+            if any(s in words for s in ("  ", "\n ")) or words[0] in " \n" or words[-1] in " \n" or not text.replace("\n", " ").isprintable():
                 return self.whole(text)
+            words = words.split(" ")
+            words[0] = "\x00" + words[0]
         else:
             try:
                 text.encode("latin-1")  # these letters have one lower case each and are already normalized

@@ -409,3 +409,14 @@ def test_toxicity(toxic):
     empty = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs, empty).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_kept_words_give_the_ids_of_whole_texts(texts, name, spaced):
+    from airgrid.llm.tokens import WordIds
+
+    kept = WordIds(tokenizer(name), spaced, kept=50)
+    odd = ["a  b", "x\n\ny", " a", "a ", "\na", "a\n", "a \nb", "a\n b", "a\tb", "été É́ naïve", "İ ß ẞ Σς", "a​b", "a　b", "\x00a b", "a\x85b", "hi!!! a.b c,.", "don't I'm 'tis", "$$$ x%%%", "́a b"]
+    for text in [*filter(None, texts), *odd]:
+        assert np.frombuffer(kept.ids(text), "<u4").tolist() == encoded(name, text, 0)[:-1], text
+    assert kept.ids(None) == kept.ids("") == b""
