@@ -79,7 +79,7 @@ def celsius_text(text: Column, unit: str = "auto") -> Column:
 
 
 def with_kmh(speed: Column) -> Column:
-    return F.concat(F.bround(speed, 1).cast("string"), F.lit(" km/h"))
+    return F.when(speed.isNotNull(), F.format_string("%.1f km/h", F.bround(speed, 1)))
 
 
 def with_percent(share: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airgrid.operators.quantiles import exact_quantiles, to_long
+from airgrid.operators.quantiles import quantiles_of_counts, value_counts_long
 from airgrid.operators.scalars import with_row
 
 
@@ -35,12 +35,15 @@ def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max per column."""
-    long = to_long(df, columns)
-    moments = long.groupBy("column").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    cuts = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    # One table of counts gives all figures, so the source is read once.
+    counts = value_counts_long(df, columns)
+    sums = counts.groupBy("column").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    off = F.col("value") - F.col("mean")
+    spread = counts.withColumnRenamed("n", "_n").join(F.broadcast(sums), "column").groupBy("column").agg(F.sum(off * off * F.col("_n")).alias("_squares"))
+    moments = sums.join(spread, "column").withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("_squares") / (F.col("n") - 1))))
+    cuts = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["column"], few_groups=True)
     pick = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     wide = cuts.groupBy("column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in pick.items()]

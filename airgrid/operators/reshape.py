@@ -50,7 +50,9 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 
 def station_dump_rows(df: DataFrame, dump: str = "dump") -> DataFrame:
-    """{station: {kind: {pollutant: [{time, value}]}}} -> (station, data_type, parameter, time, value)."""
+    """{station: {kind: {pollutant: [{time, value}]}}} -> (station, data_type, parameter, time, value).
+
+    The value may also stand under the pollutant's own name."""
     return (
         df.select(F.explode(dump).alias("station", "kinds"))
         .select("station", F.explode("kinds").alias("data_type", "pollutants"))
@@ -60,8 +62,8 @@ def station_dump_rows(df: DataFrame, dump: str = "dump") -> DataFrame:
             "station",
             "data_type",
             canonical_parameter(F.col("parameter")).alias("parameter"),
-            F.col("entry.time").try_cast("timestamp_ntz").alias("time"),
-            F.col("entry.value").try_cast("double").alias("value"),
+            F.try_element_at("entry", F.lit("time")).try_cast("timestamp_ntz").alias("time"),
+            F.coalesce(F.try_element_at("entry", F.lit("value")), F.try_element_at("entry", F.col("parameter"))).try_cast("double").alias("value"),
         )
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -10,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airgrid.functions import clock
+from airgrid.functions import clock, icons
 from airgrid.operators.grid import future_hours
 from airgrid.operators.lagging import last_rows
-from airgrid.plans.features import LAGS, ROLLS, TARGET, WEATHER_LAGGED
+from airgrid.plans.features import TARGET
 from airgrid.schema import WEATHER_NUMERIC
 from airgrid.session import cut_lineage
 
-HISTORY = 25  # the longest lag (24) plus one for the shifted difference
+ICON = "weather_icon"
 
 
 def future_weather(
@@ -37,45 +38,73 @@ def future_weather(
     )
 
 
+def rows_needed(columns: Sequence[str]) -> int:
+    """How many past rows the features look back on: the longest lag, window or shifted difference."""
+    needed = [1]
+    for c in columns:
+        if m := re.fullmatch(r".+_(lag|diff|rolling_[a-z]+)_(\d+)h", c):
+            needed.append(int(m[2]) + (m[1] == "diff"))
+    return max(needed)
+
+
 def _recent(array: Column, k: int) -> Column:
-    """k-th newest element."""
-    return F.element_at(array, -k)
+    """k-th newest element, null before the first."""
+    return F.try_element_at(array, F.lit(-k))
+
 
+def _rolled(history: Column, stat: str, width: int) -> Column:
+    part = F.slice(history, -width, width)
+    if stat in ("min", "max"):
+        return F.array_min(part) if stat == "min" else F.array_max(part)
+    total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+    if stat == "mean":
+        return total / width
+    square = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
+    return F.sqrt(F.greatest(square - total * total / width, F.lit(0.0)) / (width - 1))
 
-def serving_features(history: Column, step: Column, weather: Sequence[str], target: str = TARGET) -> dict[str, Column]:
-    """The training features of the next hour, read from the array of the newest known values.
 
-    ``history`` is oldest to newest; weather arrays hold 24 past hours and then the future ones.
+def serving_features(columns: Sequence[str], history: Column, step: Column, weather: Sequence[str], past: int, target: str = TARGET) -> dict[str, Column]:
+    """Those of ``columns`` that look back or ahead, for the hour ``step`` hours after the history.
+
+    ``history`` is oldest to newest, with nulls in front if it is short; weather arrays hold ``past`` past
+    hours and then the future ones.
     """
-    out: dict[str, Column] = {f"{target}_lag_{k}h": _recent(history, k) for k in LAGS}
-    for width in ROLLS:
-        part = F.slice(history, -width, width)
-        total = F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-        mean = total / width
-        square = F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
-        spread = F.greatest(square - total * total / width, F.lit(0.0)) / (width - 1)
-        out[f"{target}_rolling_mean_{width}h"] = mean
-        out[f"{target}_rolling_std_{width}h"] = F.sqrt(spread)
-        out[f"{target}_rolling_min_{width}h"] = F.array_min(part)
-        out[f"{target}_rolling_max_{width}h"] = F.array_max(part)
-    for k in LAGS:
-        if k > 1:
-            out[f"{target}_diff_{k}h"] = _recent(history, 1) - _recent(history, 1 + k)
-    for w in weather:
-        array = F.col(f"_w_{w}")
-        out[w] = array[step + 23]
-        if w in WEATHER_LAGGED:
-            out[f"{w}_lag_1h"], out[f"{w}_lag_24h"] = array[step + 22], array[step - 1]
+    at = lambda w, back: F.get(F.col(f"_w_{w}"), step + (past - 1 - back))
+    out: dict[str, Column] = {}
+    for c in columns:
+        name, _, tail = c.partition(f"{target}_")
+        if not name and (m := re.fullmatch(r"lag_(\d+)h", tail)):
+            out[c] = _recent(history, int(m[1]))
+        elif not name and (m := re.fullmatch(r"diff_(\d+)h", tail)):
+            out[c] = _recent(history, 1) - _recent(history, 1 + int(m[1]))
+        elif not name and (m := re.fullmatch(r"rolling_(mean|std|min|max)_(\d+)h", tail)):
+            out[c] = _rolled(history, m[1], int(m[2]))
+        elif (m := re.fullmatch(r"(.+)_lag_(\d+)h", c)) and m[1] in weather:
+            out[c] = at(m[1], int(m[2]))
+        elif c in weather:
+            out[c] = at(c, 0)
+        elif c in ("wind_direction_sin", "wind_direction_cos") and "wind_direction" in weather:
+            out[c] = clock.cyclic(at("wind_direction", 0), 360)[c.endswith("cos")]
+        elif c in ("temp_hour_interaction", "humidity_hour_interaction"):
+            source = "temperature" if c.startswith("temp") else "humidity"
+            if source in weather:
+                out[c] = at(source, 0) * F.hour(_hour(step))
+        elif c.startswith("weather_") and ICON in weather:
+            out[c] = (icons.icon_code(at(ICON, 0)) == c.removeprefix("weather_")).cast("int")
     return out
 
 
-def station_state(history: DataFrame, steps: int, weather: Sequence[str], forecast: DataFrame | None, target: str) -> DataFrame:
+def _hour(step: Column) -> Column:
+    return (F.col("_last") + F.make_interval(hours=step)).cast("timestamp_ntz")
+
+
+def station_state(history: DataFrame, steps: int, weather: Sequence[str], forecast: DataFrame | None, target: str, past: int) -> DataFrame:
     """One row per station: newest time, newest target values, past and future weather as arrays.
 
-    Only the newest 25 rows per station are gathered.
+    Only the newest ``past`` rows per station are gathered; a shorter series is filled with nulls in front.
     """
-    recent = last_rows(history.select("station", "time", target, *weather), HISTORY)
-    past = recent.groupBy("station").agg(
+    recent = last_rows(history.select("station", "time", target, *weather), past)
+    latest = recent.groupBy("station").agg(
         F.max("time").alias("_last"),
         F.array_sort(F.collect_list(F.struct("time", target, *weather))).alias("_rows"),
     )
@@ -83,23 +112,37 @@ def station_state(history: DataFrame, steps: int, weather: Sequence[str], foreca
         F.array_sort(F.collect_list(F.struct("horizon", *weather))).alias("_next")
     )
     rows, coming = F.col("_rows"), F.col("_next")
-    return past.join(ahead, "station").select(
-        "station", "_last", rows[target].alias("_history"),
-        *[F.concat(F.slice(rows[w], -24, 24), coming[w]).alias(f"_w_{w}") for w in weather],
+
+    def padded(values: Column, kind: str) -> Column:
+        return F.concat(F.array_repeat(F.lit(None).cast(kind), F.greatest(F.lit(past) - F.size(rows), F.lit(0))), values)
+
+    kinds = dict(history.dtypes)
+    return latest.join(ahead, "station").select(
+        "station", "_last", padded(rows[target], "double").alias("_history"),
+        *[F.concat(padded(rows[w], kinds[w]), coming[w]).alias(f"_w_{w}") for w in weather],
         F.array().cast("array<double>").alias("_made"),
     )
 
 
-def step_columns(columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str) -> dict[str, Column]:
-    """The model's columns of the hour ``_step`` hours after the history, in the model's order; a column
-    that cannot be known ahead is 0. They refer to the state only, so they are built once for all steps."""
-    t = (F.col("_last") + F.make_interval(hours=F.col("_step"))).cast("timestamp_ntz")
+def step_columns(
+    columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str, past: int,
+    history: Column | None = None, step: Column | None = None,
+) -> dict[str, Column]:
+    """The model's columns of the hour ``step`` hours after the history, in the model's order. They refer to
+    the state only, so they are built once for all steps. A column that cannot be known ahead is an error."""
+    history, step = F.col("_history") if history is None else history, F.col("_step") if step is None else step
+    t = _hour(step)
     made = clock.calendar(t) | clock.cyclic_calendar(t) | clock.period_flags(t)
-    made |= serving_features(F.col("_history"), F.col("_step"), weather, target)
-    if "wind_direction" in weather:
-        made["wind_direction_sin"], made["wind_direction_cos"] = clock.cyclic(made["wind_direction"], 360)
+    made |= serving_features(columns, history, step, weather, past, target)
     made |= {f"station_{s}": (F.col("station") == s).cast("int") for s in stations}
-    return {c: made[c].cast("double") if c in made else F.lit(0.0) for c in columns}
+    unknown = [c for c in columns if c not in made]
+    if unknown:
+        raise ValueError(f"not known ahead of time: {', '.join(unknown)}")
+    return {c: made[c].cast("double") for c in columns}
+
+
+def _weather_in(history: DataFrame, weather: Sequence[str]) -> list[str]:
+    return [w for w in [*weather, ICON] if w in history.columns]
 
 
 def next_hour_features(
@@ -107,11 +150,21 @@ def next_hour_features(
     forecast: DataFrame | None = None, target: str = TARGET,
 ) -> DataFrame:
     """What a model is served for the first hour after each station's history."""
-    weather = [w for w in weather if w in history.columns]
-    state = station_state(history, 1, weather, forecast, target).withColumn("_step", F.lit(1))
-    made = step_columns(columns, stations, weather, target)
-    time = (F.col("_last") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz")
-    return state.select("station", time.alias("time"), *[F.coalesce(v, F.lit(0.0)).alias(c) for c, v in made.items()])
+    weather, past = _weather_in(history, weather), rows_needed(columns)
+    state = station_state(history, 1, weather, forecast, target, past).withColumn("_step", F.lit(1))
+    made = step_columns(columns, stations, weather, target, past)
+    return state.select("station", _hour(F.lit(1)).alias("time"), *[v.alias(c) for c, v in made.items()])
+
+
+def _linear_terms(model: PipelineModel, columns: Sequence[str]) -> tuple[float, list[float], list[float]] | None:
+    """Intercept, coefficients on the unscaled columns, and imputed means of an imputer, scaler and linear model; else None."""
+    imputer, scaler, last = model.stages[0], model.stages[-2], model.stages[-1]
+    if len(model.stages) != 4 or not hasattr(last, "coefficients"):
+        return None
+    means = imputer.surrogateDF.first().asDict()
+    spread, centre = scaler.std.toArray(), scaler.mean.toArray()
+    weights = [float(w / d) if d else 0.0 for w, d in zip(last.coefficients.toArray(), spread)]
+    return float(last.intercept - sum(w * m for w, m in zip(weights, centre))), weights, [float(means[c]) for c in columns]
 
 
 def recursive_forecast(
@@ -120,35 +173,48 @@ def recursive_forecast(
 ) -> DataFrame:
     """Forecast ``steps`` hours for all stations: each step predicts from history and earlier predictions.
 
-    The state is one row per station with short arrays, so a step is a projection plus the model's
-    transform, without a shuffle. Lineage is cut every few steps in the shared folder. ``model`` is a
-    pipeline that starts with the imputer of ``training.preparation``; its means are read once.
+    The state is one row per station with short arrays. A linear model is folded over the steps in one
+    projection. For other models a step is a projection plus the model's transform, without a shuffle, and
+    lineage is cut every few steps in the shared folder. ``model`` is a pipeline that starts with the
+    imputer of ``training.preparation``; its means are read once.
     """
-    weather = [w for w in weather if w in history.columns]
+    weather, past = _weather_in(history, weather), rows_needed(columns)
+    start = station_state(history, steps, weather, forecast, target, past)
+    linear = _linear_terms(model, columns)
+    if linear:
+        intercept, weights, means = linear
+
+        def add(made: Column, step: Column) -> Column:
+            values = step_columns(columns, stations, weather, target, past, F.concat("_history", made), step)
+            terms = [F.coalesce(v, F.lit(m)) * w for v, m, w in zip(values.values(), means, weights)]
+            return F.concat(made, F.array(F.greatest(sum(terms, F.lit(intercept)), F.lit(0.0))))
+
+        state = start.withColumn("_made", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_made"), add))
+    else:
+        state = _stepwise(model, start, columns, steps, stations, weather, target, past, cut_every)
+    result = state.select("station", "_last", F.posexplode("_made").alias("_pos", "forecast"))
+    return result.select("station", _hour(F.col("_pos") + 1).alias("time"), (F.col("_pos") + 1).alias("horizon"), "forecast")
+
+
+def _stepwise(
+    model: PipelineModel, start: DataFrame, columns: Sequence[str], steps: int, stations: Sequence[str], weather: Sequence[str], target: str, past: int, cut_every: int,
+) -> DataFrame:
     imputer, rest = model.stages[0], PipelineModel(stages=model.stages[1:])
     means = imputer.surrogateDF.first().asDict()
-    made = step_columns(columns, stations, weather, target)
+    made = step_columns(columns, stations, weather, target, past)
     inputs = [F.coalesce(v, F.lit(float(means[c]))).alias(f"_f_{c}") for c, v in made.items()]
-
-    start = station_state(history, steps, weather, forecast, target).withColumn("_step", F.lit(1))
-    fixed = ["station", "_last", *[f"_w_{w}" for w in weather]]
     value = F.greatest(F.col("raw_prediction"), F.lit(0.0))
     moved = [
-        *[F.col(c) for c in fixed],
-        F.concat(F.slice(F.col("_history"), 1 - HISTORY, HISTORY - 1), F.array(value)).alias("_history"),
-        F.concat(F.col("_made"), F.array(value)).alias("_made"),
-        (F.col("_step") + 1).alias("_step"),
+        "station", "_last", *[f"_w_{w}" for w in weather],
+        F.concat(F.slice("_history", 2, past), F.array(value)).alias("_history"),
+        F.concat(F.col("_made"), F.array(value)).alias("_made"), (F.col("_step") + 1).alias("_step"),
     ]
-    state = cut_lineage(start)
+    state = cut_lineage(start.withColumn("_step", F.lit(1)))
     for step in range(1, steps + 1):
         state = rest.transform(state.select("*", *inputs)).select(*moved)
         if step % cut_every == 0 and step < steps:
             state = cut_lineage(state)
-    result = state.select("station", "_last", F.posexplode("_made").alias("_pos", "forecast"))
-    return result.select(
-        "station", (F.col("_last") + F.make_interval(hours=F.col("_pos") + 1)).cast("timestamp_ntz").alias("time"),
-        (F.col("_pos") + 1).alias("horizon"), "forecast",
-    )
+    return state
 
 
 def holdout(df: DataFrame, steps: int, key: str = "station", time: str = "time") -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,12 +109,23 @@ def compare(models: Mapping[str, PipelineModel], test: DataFrame, columns: Seque
     return reduce(DataFrame.unionByName, parts)
 
 
+def encoded_levels(model: PipelineModel) -> list[str]:
+    """Names ``<column>_<level>`` of the one-hot places that follow the numeric columns, in the model's order."""
+    out: list[str] = []
+    for stage in model.stages:
+        if isinstance(stage, StringIndexerModel):
+            for column, labels in zip(stage.getInputCols(), stage.labelsArray):
+                out += [f"{column}_{level}" for level in labels]  # the place for unknown levels is the one left out
+    return out
+
+
 def importances(model: PipelineModel, columns: Sequence[str], spark: SparkSession, top: int | None = None) -> DataFrame:
     """(feature, importance) of a tree model; linear models give absolute coefficients."""
     last = model.stages[-1]
     weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray())
+    names = [*columns, *encoded_levels(model)]
     frame = spark.createDataFrame(
-        [(c, float(w)) for c, w in zip(columns, weights)], "feature STRING, importance DOUBLE"
+        [(c, float(w)) for c, w in zip(names, weights, strict=True)], "feature STRING, importance DOUBLE"
     ).orderBy(F.desc("importance"), "feature")
     return frame.limit(top) if top else frame
 
@@ -188,12 +199,12 @@ def grouped_least_squares(df: DataFrame, features: Sequence[str], label: str, ke
     return gram(df, features, label, key).select(key, "n", solve("n", "s1", "s2").alias("m")).select(key, "n", "m.*")
 
 
-def apply_grouped(df: DataFrame, models: DataFrame, features: Sequence[str], key: str = "station") -> DataFrame:
-    """Score rows with their key's linear model as a plain expression."""
+def apply_grouped(df: DataFrame, models: DataFrame, features: Sequence[str], key: str = "station", least: float | None = 0.0) -> DataFrame:
+    """Score rows with their key's linear model as a plain expression, not below ``least``."""
     terms = [F.col("coefficients")[i] * F.col(f) for i, f in enumerate(features)]
     joined = df.join(models.select(key, "intercept", "coefficients"), key, "left")
     value = reduce(lambda a, b: a + b, terms, F.col("intercept"))
-    return joined.withColumn("prediction", F.greatest(value, F.lit(0.0))).drop("intercept", "coefficients")
+    return joined.withColumn("prediction", value if least is None else F.greatest(value, F.lit(least))).drop("intercept", "coefficients")
 
 
 def autoregression(df: DataFrame, column: str, order: int = 4, key: str = "station") -> tuple[DataFrame, DataFrame, list[str]]:

@@ -11,7 +11,7 @@ from airgrid.queries import sqlbase as s
 from airgrid.queries.gaps import target
 from airgrid.queries.merging import _HALVES, halves
 from airgrid.queries.registry import query
-from airgrid.schema import KEY, STATION_DUMP, fields
+from airgrid.schema import KEY, fields
 from airgrid.session import shared_dir
 from airgrid.sources import readers, writers
 from pyspark.sql import types as T
@@ -26,13 +26,15 @@ def place(spark, name: str) -> str:
     s.cte("readings") + "SELECT station, CASE WHEN parameter IN ('pm25', 'pm10') THEN 'stat' ELSE 'aqi' END AS data_type, parameter, date_trunc('second', time) AS time, value FROM readings",
 )
 def _(spark, d):
-    """Each reading as the nested JSON text a feed would land, parsed and flattened again."""
+    """Each reading landed as the nested JSON a feed would send, with both spellings of the value, read and flattened."""
     r = feeds.readings(spark, d)
     kind = F.when(F.col("parameter").isin("pm25", "pm10"), "stat").otherwise("aqi")
-    entry = F.struct(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("value"))
     loud = F.when(F.col("parameter") == "pm25", "PM2_5").otherwise(F.upper("parameter"))
-    text = F.to_json(F.create_map("station", F.create_map(kind, F.create_map(loud, F.array(entry)))))
-    return reshape.station_dump_rows(r.select(F.from_json(text, STATION_DUMP).alias("dump")))
+    spelled = F.when(F.col("event_id") % 2 == 0, "value").otherwise(loud)
+    entry = F.create_map(F.lit("time"), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), spelled, F.col("value").cast("string"))
+    out = place(spark, "dump")
+    r.select(F.to_json(F.create_map("station", F.create_map(kind, F.create_map(loud, F.array(entry))))).alias("value")).write.text(out)
+    return reshape.station_dump_rows(readers.read_station_dump(spark, out, lines=True))
 
 
 @query(
@@ -53,7 +55,9 @@ def _(spark, d):
         F.col("event_id").alias("location_id"), F.col("station").alias("location_name"), F.lit(True).alias("isMonitor"), F.lit(False).alias("isMobile"),
         F.struct(F.lit(21.0).alias("latitude"), F.lit(105.0).alias("longitude")).alias("coordinates"), F.array(result).alias("results"),
     )
-    flat = readers.flatten_measurements(records)
+    out = place(spark, "records")
+    records.write.json(out)
+    flat = readers.flatten_measurements(readers.read_measurement_records(spark, out))
     return flat.select(
         "location_id", "location_name", "parameter", "value", "unit", F.col("datetime_utc").cast("timestamp_ntz").alias("datetime_utc"),
         F.col("datetime_local").cast("timestamp_ntz").alias("datetime_local"), "latitude", "longitude",
@@ -72,7 +76,9 @@ def _(spark, d):
         F.col("humidity"), F.col("wind_speed"), F.col("wind_direction").alias("wind_deg"), F.array(F.struct(F.col("weather_icon").alias("icon"))).alias("weather"),
     )
     records = w.select(F.col("station").alias("location"), F.array(hour).alias("hourly"))
-    return readers.flatten_hourly_forecast(records).select("time", "station", "temperature", "wind_speed", "weather_icon")
+    out = place(spark, "hourly")
+    records.write.json(out)
+    return readers.flatten_hourly_forecast(readers.read_hourly_forecast(spark, out)).select("time", "station", "temperature", "wind_speed", "weather_icon")
 
 
 @query("csv_round_trip", "A1 A7", s.cte("readings") + "SELECT event_id, station, time, parameter, value FROM readings")

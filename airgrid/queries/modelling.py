@@ -3,7 +3,9 @@
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from airgrid.operators import evaluate, lagging, reshape
+from airgrid.functions.rows import clip
+from airgrid.operators import evaluate, lagging, reshape, season
+from airgrid.operators.outliers import clean_training_series, training_bounds
 from airgrid.plans import clusters, feeds, forecasting, training
 from airgrid.plans import features as plan
 from airgrid.queries import sqlbase as s
@@ -116,19 +118,20 @@ def _(spark, d):
 
 @query("autoregression", "J17 J19 B26 J11")
 def _(spark, d):
-    """AR(4) per station with training outliers smoothed, clipped to the training range, and guarded."""
-    from airgrid.functions.rows import clip
-    from airgrid.operators.outliers import clean_training_series
-
+    """AR(4) per station with training outliers smoothed, differenced where the unit-root test asks for it, kept within
+    [max(0, min - 2 sd), max + 3 sd] of the training values, and guarded."""
     series = cut_lineage(target(spark, d))
     split = lagging.split_per_key(series)
     train = split.where("is_train")
     cleaned = clean_training_series(train, train, Y)
-    _, models, names = training.autoregression(cleaned.select("station", "time", Y), Y, 4)
-    lagged = split.withColumns(lagging.lags(Y, range(1, 5)))
-    bounds = train.groupBy("station").agg(F.min(Y).alias("_lo"), F.max(Y).alias("_hi"))
-    scored = training.apply_grouped(lagged.where("NOT is_train"), models, names).join(bounds, "station")
-    clipped = scored.withColumn("prediction", clip(F.col("prediction"), F.col("_lo"), F.col("_hi")))
+    orders = season.differencing_order(season.unit_root(cleaned, Y)).select("station", "d")
+    before = F.lag(Y).over(lagging.series())
+    worked = F.when(F.col("d") == 1, F.col(Y) - before).otherwise(F.col(Y))
+    _, models, names = training.autoregression(cleaned.join(orders, "station").select("station", "time", worked.alias("_z")), "_z", 4)
+    framed = split.join(orders, "station").withColumns({"_z": worked, "_base": F.when(F.col("d") == 1, before).otherwise(0.0)})
+    lagged = framed.withColumns(lagging.lags("_z", range(1, 5)))
+    scored = training.apply_grouped(lagged.where("NOT is_train"), models, names, least=None).join(training_bounds(train, Y), "station")
+    clipped = scored.withColumn("prediction", clip(F.col("prediction") + F.col("_base"), F.col("_low"), F.col("_high")))
     quality = evaluate.metrics(clipped, Y, "prediction", ["station"]).select("station", "n", "mae", "r2")
     return quality.join(training.guard(clipped, train, Y, ["station"]), "station")
 

@@ -148,7 +148,7 @@ def _(spark, d):
 
 @query(
     "unit_format", "I15 I17 I18 I19 I20 I21 I26 B6",
-    "SELECT event_id, CASE WHEN round_even(value, 1) >= 1000 THEN NULL ELSE CAST(round_even(value, 1) AS VARCHAR) END || ' km/h' AS wind_text, "
+    "SELECT event_id, printf('%.1f km/h', round_even(value, 1)) AS wind_text, "
     f"CAST({s.K}::BIGINT AS VARCHAR) || '%' AS humidity_text, "
     f"round_even({s.K} + 250e0 - 273.15e0, 2) AS celsius, "
     "ts + INTERVAL 7 HOUR AS local_time, date_trunc('hour', ts + INTERVAL 7 HOUR) AS local_hour, "
@@ -166,7 +166,7 @@ def _(spark, d):
     local = clock.utc_to_local(F.col("ts"))
     return e.select(
         "event_id",
-        F.when(F.bround("value", 1) < 1000, textunits.with_kmh(F.col("value"))).alias("wind_text"),
+        textunits.with_kmh(F.col("value")).alias("wind_text"),
         textunits.with_percent(k).alias("humidity_text"),
         textunits.kelvin_to_celsius(k + 250).alias("celsius"),
         local.alias("local_time"),

@@ -39,9 +39,9 @@ FORECAST_CSV = fields(
 
 WEATHER_TEXT_CSV = fields(timestamp=_s, weather_icon=_s, wind_speed=_s, humidity=_s, temperature=_s, location=_s)
 
-# {station: {"stat"|"aqi": {pollutant: [{time, value}]}}}: one row, one map column.
+# {station: {"stat"|"aqi": {pollutant: [{time, value or the pollutant's name: number}]}}}: one map column.
 STATION_DUMP = T.MapType(
-    _s, T.MapType(_s, T.MapType(_s, T.ArrayType(fields(time=_s, value=_s))))
+    _s, T.MapType(_s, T.MapType(_s, T.ArrayType(T.MapType(_s, _s))))
 )
 
 MEASUREMENT_RECORD = fields(

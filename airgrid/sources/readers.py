@@ -24,9 +24,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: st
     return spark.read.schema(schema).options(header=True, mode="PERMISSIVE", **options).csv(path)
 
 
-def read_station_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Nested station files (one JSON object per file, keys are data) as one map column ``dump``."""
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", STATION_DUMP).alias("dump"))
+def read_station_dump(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested station files (keys are data) as one map column ``dump``: files of one object over many lines,
+    or ``lines=True`` for files with one object per line, which are read in parallel."""
+    return spark.read.text(path, wholetext=not lines).select(F.from_json("value", STATION_DUMP).alias("dump"))
 
 
 def read_measurement_records(spark: SparkSession, path: str) -> DataFrame:

@@ -77,7 +77,7 @@ def main() -> int:
     from airgrid.queries import REGISTRY
     from airgrid.session import build_session
 
-    spark = build_session(master="local[8]")
+    spark = build_session(master="local[8]", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.d)
     failed = 0

@@ -9,7 +9,8 @@ from conftest import column
 from pyspark.sql import functions as F
 
 from airgrid.operators import fill, grid, lagging, outliers, profile, season
-from airgrid.operators.quantiles import exact_mode, exact_quantiles, quantile_row
+from airgrid.operators import quantiles
+from airgrid.operators.quantiles import exact_mode, exact_quantiles, quantile_row, value_counts_long, wanted_rows
 
 GAPPY = [None, 1.0, None, None, 4.0, None, 6.0, None]
 
@@ -195,3 +196,19 @@ def test_unit_root_tells_noise_from_a_random_walk(series):
     e = rng.normal(size=500)
     rows = {r.station: r for r in season.unit_root(series({"noise": e.tolist(), "walk": np.cumsum(e).tolist()}), "v").collect()}
     assert rows["noise"].is_stationary and not rows["walk"].is_stationary
+
+
+def test_one_far_value_does_not_gather_the_others(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "LARGEST", 64)
+    n = 50_000
+    df = spark.range(n).select((F.col("id") / F.lit(float(n))).alias("v")).union(spark.createDataFrame([(1e9,), (float("inf"),), (-1e300,)], "v DOUBLE"))
+    counts = value_counts_long(df, ["v"])
+    kept = wanted_rows(counts, [0.5], ["column"], True)
+    assert kept.groupBy("path").count().agg(F.max("count")).first()[0] <= 64
+    got = exact_quantiles(df, ["v"], [0.0, 0.5, 1.0]).orderBy("prob").collect()
+    assert [r.quantile for r in got] == [-1e300, (n // 2) / n, float("inf")]
+
+
+def test_quantiles_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g STRING, v DOUBLE")
+    assert {r.g: r.quantile for r in exact_quantiles(df, ["v"], [0.5], ["g"]).collect()} == {None: 2.0, "a": 5.0}
