@@ -64,7 +64,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     ends = links.select(F.col(a).cast("long").alias("hi"), F.col(b).cast("long").alias("lo"))
     edges = cut_lineage(ends.mapInArrow(thin, "hi LONG, lo LONG"))
-    edges = cut_lineage(edges.repartition("lo").mapInArrow(thin, "hi LONG, lo LONG"))
+    edges = cut_lineage(edges.repartition("hi").mapInArrow(thin, "hi LONG, lo LONG"))
     while edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").limit(1).count() or edges.groupBy("hi").count().filter("count > 1").limit(1).count():
         edges = cut_lineage(star(edges))
     nodes = ends.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()

@@ -14,6 +14,7 @@ from airgrid.session import cut_lineage
 COUNTERS = 1 << 20  # size of the count table that every task gets (4 MB), whatever the corpus
 SLICE = 1 << 14
 GROUPS = 128  # of a set's hashes, for the suffix filter
+MANY = 0xFFFF  # a group's count from here on says no more than that
 SMALL_IDS = 2_000_000  # a list of ids goes to every executor up to this many (16 MB)
 MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -65,7 +66,7 @@ def read_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
                 s = shingles(text.as_py(), n, seed)
                 mark = xxhash.xxh3_128_digest(s.tobytes(), seed)
                 low, high = np.frombuffer(mark, "<i8")
-                rows.append((key, len(s), low, high, np.bincount((s >> np.uint64(57)).astype("int64"), minlength=GROUPS).astype("<u4").tobytes()))
+                rows.append((key, len(s), low, high, np.bincount((s >> np.uint64(57)).astype("int64"), minlength=GROUPS).clip(max=MANY).astype("<u2").tobytes()))
                 used.append(s)
             if rows:
                 counts += np.bincount((np.concatenate(used) & np.uint64(COUNTERS - 1)).astype("int64"), minlength=COUNTERS).astype("uint32")
@@ -156,6 +157,22 @@ def shared_only(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], names=names)
 
 
+def once(batches):
+    """Rows of (key, text), each key once per task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for key in batch.column(0).to_pylist():
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """The table, marked to be sent to all executors if it was counted and is small."""
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
 def fitting(bounds: Bounds) -> str:
     """Length and positional filter of rows a, b with a common gram, a not the larger set."""
     t = bounds.percent
@@ -168,23 +185,24 @@ def fitting(bounds: Bounds) -> str:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, seed: int, bounds: Bounds) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose sets are similar: a suffix filter by the classes' groups, then the texts."""
     percent = bounds.percent
+    ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    classes = cut_lineage(classes.join(few(ends), "cid", "left_semi"))
 
     def suffix(batches):
         for batch in batches:
             cols = [batch.column(i) for i in range(6)]
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, GROUPS).astype("int64") for c in cols[4:])
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, GROUPS).astype("int64") for c in cols[4:])
             most = np.minimum(x, y).sum(1)
-            keep = (100 + percent) * most >= percent * (x.sum(1) + y.sum(1))
+            keep = ((100 + percent) * most >= percent * (x.sum(1) + y.sum(1))) | (x == MANY).any(1) | (y == MANY).any(1)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("doc").alias(f"{s}_doc"), F.col("parts").alias(f"{s}_parts"))
     left = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_doc", "b_doc", "a_parts", "b_parts")
     left = cut_lineage(left.mapInArrow(suffix, "a LONG, b LONG, a_doc LONG, b_doc LONG"))
-    needed = cut_lineage(left.select(F.explode(F.array("a_doc", "b_doc")).alias("key")).distinct())
-    few = needed.count() <= SMALL_IDS
-    texts = cut_lineage(docs.join(F.broadcast(needed) if few else needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    needed = few(cut_lineage(left.select(F.explode(F.array("a_doc", "b_doc")).alias("key")).distinct()))
+    texts = cut_lineage(docs.join(needed, "key", "left_semi").mapInArrow(once, docs.select("key", "text").schema))
 
     def compare(batches):
         for batch in batches:
@@ -199,7 +217,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, seed
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: texts.select(F.col("key").alias(f"{s}_doc"), F.col("text").alias(f"{s}_text"))
-    return left.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_text", "b_text").mapInArrow(compare, "a LONG, b LONG")
+    return left.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_text", "b_text").mapInArrow(compare, "a LONG, b LONG").distinct()
 
 
 def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
@@ -216,21 +234,28 @@ def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, Da
     postings = post(docs, n, seed, bounds, counts)
     shared = cut_lineage(postings.repartition("gram").sortWithinPartitions("gram", "n", "cid").mapInArrow(shared_only, "gram LONG, cid LONG, n LONG, pos LONG"))
 
-    in_order = Window.partitionBy("gram").orderBy("n", "cid")
-    neighbours = shared.select(
-        F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"),
-        *[F.lag(c).over(in_order).alias(d) for c, d in (("cid", "a"), ("n", "a_n"), ("pos", "a_pos"))],
-    )
-    first = cut_lineage(neighbours.filter("a IS NOT NULL").filter(fitting(bounds)).select("a", "b").distinct())
+    # A set with few rare shingles of its own before a common one is at the centre of those that share it.
+    central = Window.partitionBy("gram").orderBy("pos", "n", "cid")
+    row = F.struct("n", "pos", "cid")
+    met = shared.select(row.alias("x"), F.first(row).over(central).alias("centre"), F.lag(row).over(central).alias("before"))
+    met = met.select("x", F.explode(F.array("centre", "before")).alias("y")).filter("x.cid <> y.cid")
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    sides = [F.col(f"{side}.{c}").alias(f"{to}_{c}") for side, to in (("x", "a"), ("y", "b")) for c in ("n", "pos", "cid")]
+    first = cut_lineage(met.select(*sides).filter(fitting(bounds)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct())
     links = cut_lineage(verified(first, classes, docs, n, seed, bounds))
     # What is connected already needs no other link. All other pairs of sets that share a prefix gram are still to be looked at.
-    labelled = shared.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_grams = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    left = cut_lineage(labelled.join(open_grams, "gram", "left_semi"))
+    connected = few(cut_lineage(components(links).withColumnRenamed("node", "cid")))
+    labelled = shared.join(connected, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    together = Window.partitionBy("gram")
+    ends = {"low": F.min("component").over(together), "high": F.max("component").over(together)}
+    left = cut_lineage(labelled.withColumns(ends).filter("low < high").drop("low", "high"))
     a = left.select("gram", *[F.col(c).alias(f"a_{c}") for c in ("cid", "n", "pos", "component")])
     b = left.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("cid", "n", "pos", "component")])
-    met = a.join(b, "gram").filter("a_component <> b_component AND (a_n < b_n OR a_n = b_n AND a_cid < b_cid)").filter(fitting(bounds))
-    second = met.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    met = a.join(b, "gram").filter("a_component <> b_component AND struct(a_n, a_pos, a_cid) < struct(b_n, b_pos, b_cid)").filter(fitting(bounds))
+    second = met.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+    # Either end may have been called a, as that depends on the gram if the sizes are equal.
+    tried = first.union(first.select("b", "a"))
+    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     return sets.select("doc_id", "n", "cid"), links.union(verified(cut_lineage(second), classes, docs, n, seed, bounds))
 
 
@@ -245,7 +270,8 @@ def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id:
     Equal sets are one class. All sets order their shingles in the same way, rarest first by counts over all documents that a
     table of fixed size holds (a shared counter changes the order, never the result). Only the shingles at the front are
     posted, joined, and the pairs filtered by size, position and counts per hash group; the rest is compared by the full
-    sets. First each posting meets its neighbour in size, which connects groups of copies with a pair per member; then all
+    sets. First each posting meets the set nearest to the centre of its gram and its neighbour in that order, which connects
+    groups of copies with two pairs per posting; then all
     postings whose grams still span several components meet, so no link between different components is missed while the
     pairs inside a group are never listed.
     """
