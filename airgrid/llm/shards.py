@@ -77,15 +77,17 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     return [found.get(g, (-1, 0)) for g in goals]  # a goal of no bytes is met before the first key
 
 
-def shard(documents: DataFrame, shards: int = 16, slices: int = 4, tolerance: float = 0.002, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(documents: DataFrame, shards: int = 16, slices: int | None = None, tolerance: float = 0.002, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, size, shard, slot`` for each row of ``documents``: near equal bytes in every shard.
 
     ``size``: UTF-8 bytes of the text plus 1; a null text counts as empty and stays null. Rows are ordered by a hash of their
     text, then by id: copies of a text are neighbours, and a group of copies too large for one shard is divided by id. Only
     rows that equal in text and id cannot be parted. ``slot`` counts from 0 without gaps, in that order. Null ids come first,
-    ties may take either slot. Each shard is made of ``slices`` ranges, which are the tasks of the one exchange. An empty table
-    gives an empty table; other columns are not read.
+    ties may take either slot. Each shard is made of ``slices`` ranges, which are the tasks of the one exchange; by default 4 to 32,
+    as many as the shuffle partitions ask for. An empty table gives an empty table; other columns are not read.
     """
+    if slices is None:
+        slices = min(32, max(4, -(-int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     # Ids that are null stand before all others; differences between ids have to fit into a long.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,10 @@ TERMS = 3000  # of a lexicon, the strongest
 STEMS = range(4, 9)  # lengths of word beginnings that may be terms
 EVIDENCE = 24.0  # least log-likelihood ratio of a term
 WINDOW = 12  # words of a context window
+MISSPELLED = 0.8  # weight of a misspelled term against the term itself
+FEATURES = 4
 KEPT_WORDS = 250_000
-OPENING, CLOSING, BOTH = "«“„‹‘(", "»”›’)", "\"”“"
+OPENING, CLOSING = "«“„‹‘\"", "»”›’“\""
 EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…*_~-"
 
 
@@ -103,6 +107,27 @@ class Lexicon:
         return best[2], best[0]
 
 
+def quotation_marks(word: str) -> tuple[bool, bool]:
+    """Whether a word opens and whether it closes a quotation."""
+    end = word.rstrip(".,;:!?")
+    return word[0] in OPENING, len(end) > 1 and end[-1] in CLOSING
+
+
+def quotations(special):
+    """(place, whether quoted, entry) of entries that begin with (opens, closes), in order of place.
+
+    A quotation ends with its closing mark, at the latest ``4 * WINDOW`` words on, so a stray mark does not reach over a text.
+    """
+    until = -1
+    for at, entry in special:
+        opens, closes = entry[:2]
+        if opens and not closes:
+            until = at + 4 * WINDOW
+        yield at, opens or closes or at <= until, entry
+        if closes:
+            until = -1
+
+
 @dataclass
 class Model:
     """``weights`` by term, words too common in clean texts to be misspellings, and the coefficients of ``features``."""
@@ -119,14 +144,13 @@ class Scorer:
         self.old: dict[str, tuple] = {}
 
     def word(self, word: str) -> tuple:
-        """(opens or closes a quotation, weight, misspelled) of a word with the marks around it, or () if it is nothing special."""
+        """(opens a quotation, closes one, weight, misspelled) of a word with the marks around it, or () if it is nothing special."""
         bare = word.strip(EDGES)
         hit = self.lexicon.match(bare) if bare else None
         if hit and hit[1] and bare in self.model.clean:
             hit = None
-        turn = (word[0] in OPENING or word[0] in BOTH) - (word[-1] in CLOSING or word[-1] in BOTH and len(word) > 1)
-        marked = word[0] in OPENING + BOTH or word[-1] in CLOSING + BOTH
-        return (turn, self.model.weights[hit[0]] if hit else 0.0, bool(hit and hit[1])) if hit or marked else ()
+        opens, closes = quotation_marks(word)
+        return (opens, closes, self.model.weights[hit[0]] if hit else 0.0, bool(hit and hit[1])) if hit or opens or closes else ()
 
     def missing(self, word: str) -> tuple:
         found = self.old.get(word)
@@ -138,21 +162,19 @@ class Scorer:
         return found
 
     def features(self, text: str | None) -> list[float]:
-        """1, then logs of the weights of plain, misspelled and quoted hits, and the share of the heaviest window."""
+        """1, then logs of the summed weights of meant and of quoted hits, and the share of the heaviest window.
+
+        A misspelled hit weighs a little less. It counts as a plain one, as a fit may see few misspellings."""
         words = text.lower().split() if text else []
         get, missing = self.new.get, self.missing
         special = [(i, f) for i, w in enumerate(words) if (f := get(w) if w in self.new else missing(w))]
-        sums, open_until, plain = [0.0, 0.0, 0.0], -1, []
-        for at, (turn, weight, misspelled) in special:
-            if turn > 0:
-                open_until = at + 4 * WINDOW  # a quotation without an end does not reach over the whole text
+        sums, plain = [0.0, 0.0], []
+        for at, quoted, (_, _, weight, misspelled) in quotations(special):
             if weight:
-                quoted = at <= open_until or turn < 0
-                sums[2 if quoted else 1 if misspelled else 0] += weight
+                weight *= MISSPELLED if misspelled else 1.0
+                sums[quoted] += weight
                 if not quoted:
                     plain.append((at, weight))
-            if turn < 0 or turn == 0 and not weight:
-                open_until = -1
         heaviest, first, inside = 0.0, 0, 0.0
         for at, weight in plain:
             inside += weight
@@ -168,6 +190,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def plain_words(text: str | None) -> set[str]:
+    """The words of a text that are not quoted, without the marks around them."""
+    marked = ((i, (*quotation_marks(w), w)) for i, w in enumerate((text or "").lower().split()))
+    return {bare for _, quoted, (_, _, w) in quotations(marked) if not quoted and (bare := w.strip(EDGES))}
+
+
 def terms_of(words: set[str]) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
@@ -217,7 +245,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learns lexicon and coefficients from at most ``rows`` labelled documents of each class, none of them held out.
 
-    Of documents that share their smallest five-word hash, as near copies do, one counts. A class without documents gives a
+    Terms are counted where they are not quoted. Of documents that share their smallest five-word hash, as near copies do, one counts. A class without documents gives a
     model without terms. Null labels and ids are left out; of several labels of one id the largest counts.
     """
     known = labels.select("doc_id", "toxic").filter("toxic IN (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -237,13 +265,13 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     all_pos, all_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not all_pos or not all_neg:
         sample.unpersist()
-        return Model({}, set(), np.array([3.0 if all_pos else -3.0, 0, 0, 0, 0]))
+        return Model({}, set(), np.array([3.0 if all_pos else -3.0, 0, 0, 0]))
 
     def count(batches):
         sums: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for t in terms_of({b for w in (text or "").lower().split() if (b := w.strip(EDGES))}):
+                for t in terms_of(plain_words(text)):
                     sums.setdefault(t, [0, 0])[toxic] += 1
             if len(sums) > 1_000_000:
                 yield count_rows(sums)
@@ -256,7 +284,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     weights = lexicon([(r.term, r.pos, r.neg) for r in candidates], all_pos, all_neg)
     clean = {r.term for r in counts.filter("neg >= 2 AND NOT endswith(term, '*')").orderBy(F.desc("neg"), "term").limit(20 * TERMS).select("term").collect()}
     counts.unpersist()
-    model = Model(weights, clean - set(weights), np.zeros(5))
+    model = Model(weights, clean - set(weights), np.zeros(FEATURES))
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -274,7 +302,15 @@ def count_rows(sums: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], names=["term", "neg", "pos"])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
+
+
+def known_scorer(name: str, sent) -> Scorer:
+    """The scorer of this Python worker, whose words are kept between batches and tasks."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(sent.value)
+    return _SCORERS[name]
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -283,17 +319,12 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     Only the text is looked at, all of it; null and empty texts get the score of a text without hits. Repeated rows are
     scored each, an empty table gives an empty table.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent, name = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def toxicity(texts):
-        if sent.id not in _SCORERS:  # words are kept between the batches and tasks of a Python worker
-            _SCORERS.clear()
-            _SCORERS[sent.id] = Scorer(sent.value)
-        scorer = _SCORERS[sent.id]
-        x = np.array([scorer.features(t) for t in texts]).reshape(-1, 5)
-        import pandas as pd
-
+        scorer = known_scorer(name, sent)
+        x = np.array([scorer.features(t) for t in texts]).reshape(-1, FEATURES)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ sent.value.coefficients, -30, 30))))
 
     value = toxicity(F.col("text"))
