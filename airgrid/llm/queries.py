@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import cover_join, id_files, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
+from airgrid.llm import cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
 from airgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op4(spark, sf_dir):
     return cover_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@register("op5_license_scan")
+def op5(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op6_toxicity")
 def op6(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")

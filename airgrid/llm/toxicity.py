@@ -21,7 +21,7 @@ MISSPELLED = 0.8  # weight of a misspelled term against the term itself
 FEATURES = 4
 KEPT_WORDS = 250_000
 OPENING, CLOSING = "«“„‹‘\"", "»”›’“\""
-EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…*_~-"
+EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…*_~-#$%&+=|/\\"
 
 
 def allowed(term: str) -> int:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airgrid.llm import cover_join, id_files, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
+from airgrid.llm import cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
 from airgrid.llm.queries import tokenizer
 
 DOCS = "doc_id LONG, text STRING, source STRING, size LONG, `rank` STRING"
@@ -423,3 +423,60 @@ def test_kept_words_give_the_ids_of_whole_texts(texts, name, spaced):
     for text in [*filter(None, texts), *odd]:
         assert np.frombuffer(kept.ids(text), "<u4").tolist() == encoded(name, text, 0)[:-1], text
     assert kept.ids(None) == kept.ids("") == b""
+
+
+def license_words(text):
+    return [w for x in (text or "").encode().lower().split() if (w := x.strip(license_scan.EDGES))]
+
+
+def license_shingles(words):
+    return [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def licensed(text, templates):
+    """Templates of which some stretch as long as a window holds enough; and those of which half a window does."""
+    found = license_shingles(license_words(text))
+    sure, possible = set(), set()
+    for name, t in templates.items():
+        s = set(license_shingles(license_words(t)))
+        if not s:
+            continue
+        step = license_scan.step(len(s))
+        for names, width in ((sure, step + 1), (possible, 2 * step)):
+            if any(len(s & set(found[i : i + width])) >= 0.75 * len(s) for i in range(len(found))):
+                names.add(name)
+    return sure, possible
+
+
+def test_license_scan(spark, texts):
+    rng = np.random.default_rng(12)
+    notices = list(license_scan.NOTICES.items())
+    rows = []
+    for i in range(120):
+        name, notice = notices[i % len(notices)]
+        body = notice.split()
+        for _ in range(i % 3 if len(body) > 25 else 0):  # a word changed takes five shingles away
+            body[int(rng.integers(len(body)))] = "changed"
+        around = words(rng, int(rng.integers(0, 300))).split()
+        at = int(rng.integers(len(around) + 1))
+        rows.append((i, " ".join(around[:at] + ["//"] + body + around[at:]), "x", "y"))
+    rows += [(500 + i, t, "x", "y") for i, t in enumerate(texts)] + [rows[3], rows[3], (None, rows[4][1], "x", "y"), (900, "MIT License.", "x", "y"), (901, words(rng, 30_000) + " " + notices[3][1], "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, license STRING, first_word STRING")
+    got: dict = {}
+    found = license_scan.scan(docs).collect()
+    for r in found:
+        got.setdefault(r.doc_id, set()).add(r.license)
+        assert 0.75 <= r.containment <= 1 and r.first_word < r.end_word
+    for key, text, *_ in rows:
+        sure, possible = licensed(text, license_scan.NOTICES) if key != 901 else ({notices[3][0]}, {notices[3][0]})
+        assert sure <= got.get(key, set()) <= possible, (key, sure, got.get(key), possible)
+    assert len(got) >= 100 and sum(r.doc_id == 3 for r in found) == 3 * sum(1 for r in set(found) if r.doc_id == 3)
+    assert [r.license for r in license_scan.scan(docs.filter("doc_id = 900"), {"short": "mit license", "empty": ""}).collect()] == ["short"]
+    assert license_scan.scan(docs.limit(0)).count() == 0 and license_scan.scan(docs, {}).count() == 0
+    place = next(r for r in found if r.doc_id == 901)
+    assert place.end_word == len(license_words(rows[-1][1]))
+
+
+def test_license_bands():
+    for n in (1, 2, 8, 30, 400):
+        assert 1 - (1 - license_scan.least_similarity(n)) ** license_scan.bands_needed([n]) >= 1 - license_scan.MISS
