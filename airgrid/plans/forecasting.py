@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from airgrid.functions import clock, icons
 from airgrid.operators.grid import future_hours
 from airgrid.operators.lagging import last_rows
 from airgrid.plans.features import TARGET
+from airgrid.plans.training import category_levels
 from airgrid.schema import WEATHER_NUMERIC
 from airgrid.session import cut_lineage
 
@@ -147,62 +150,100 @@ def _weather_in(history: DataFrame, weather: Sequence[str]) -> list[str]:
 
 def next_hour_features(
     history: DataFrame, columns: Sequence[str], stations: Sequence[str] = (), weather: Sequence[str] = tuple(WEATHER_NUMERIC),
-    forecast: DataFrame | None = None, target: str = TARGET,
+    forecast: DataFrame | None = None, target: str = TARGET, categories: Sequence[str] = (),
 ) -> DataFrame:
     """What a model is served for the first hour after each station's history."""
     weather, past = _weather_in(history, weather), rows_needed(columns)
     state = station_state(history, 1, weather, forecast, target, past).withColumn("_step", F.lit(1))
     made = step_columns(columns, stations, weather, target, past)
-    return state.select("station", _hour(F.lit(1)).alias("time"), *[v.alias(c) for c, v in made.items()])
+    sky = [weather_code(F.lit(1), past).alias("weather")] if "weather" in categories else []
+    return state.select("station", _hour(F.lit(1)).alias("time"), *[v.alias(c) for c, v in made.items()], *sky)
 
 
-def _linear_terms(model: PipelineModel, columns: Sequence[str]) -> tuple[float, list[float], list[float]] | None:
-    """Intercept, coefficients on the unscaled columns, and imputed means of an imputer, scaler and linear model; else None."""
-    imputer, scaler, last = model.stages[0], model.stages[-2], model.stages[-1]
-    if len(model.stages) != 4 or not hasattr(last, "coefficients"):
+def weather_code(step: Column, past: int) -> Column:
+    """The weather category of the hour ``step`` hours ahead."""
+    return icons.icon_code(F.get(F.col(f"_w_{ICON}"), step + (past - 1)))
+
+
+@dataclass(frozen=True)
+class LinearTerms:
+    """A linear model on unscaled columns: intercept, weights and imputed means, and a weight per category level."""
+
+    intercept: float
+    weights: list[float]
+    means: list[float]
+    levels: dict[str, dict[str, float]]
+
+
+def linear_terms(model: PipelineModel, columns: Sequence[str]) -> LinearTerms | None:
+    """The terms of a pipeline of ``training.preparation`` and a linear model; None for other models."""
+    last = model.stages[-1]
+    scaler = next((stage for stage in model.stages if isinstance(stage, StandardScalerModel)), None)
+    if scaler is None or not hasattr(last, "coefficients"):
         return None
-    means = imputer.surrogateDF.first().asDict()
-    spread, centre = scaler.std.toArray(), scaler.mean.toArray()
-    weights = [float(w / d) if d else 0.0 for w, d in zip(last.coefficients.toArray(), spread)]
-    return float(last.intercept - sum(w * m for w, m in zip(weights, centre))), weights, [float(means[c]) for c in columns]
+    means = model.stages[0].surrogateDF.first().asDict()
+    every, spread, centre = last.coefficients.toArray(), scaler.std.toArray(), scaler.mean.toArray()
+    weights = [float(w / d) if d else 0.0 for w, d in zip(every, spread)]
+    levels: dict[str, dict[str, float]] = {}
+    for (column, level), w in zip(category_levels(model), every[len(columns) :], strict=True):
+        levels.setdefault(column, {})[level] = float(w)
+    return LinearTerms(float(last.intercept - sum(w * m for w, m in zip(weights, centre))), weights, [float(means[c]) for c in columns], levels)
 
 
 def recursive_forecast(
     model: PipelineModel, history: DataFrame, columns: Sequence[str], steps: int = 24, stations: Sequence[str] = (),
     weather: Sequence[str] = tuple(WEATHER_NUMERIC), forecast: DataFrame | None = None, target: str = TARGET, cut_every: int = 6,
+    categories: Sequence[str] = (),
 ) -> DataFrame:
     """Forecast ``steps`` hours for all stations: each step predicts from history and earlier predictions.
 
     The state is one row per station with short arrays. A linear model is folded over the steps in one
     projection. For other models a step is a projection plus the model's transform, without a shuffle, and
     lineage is cut every few steps in the shared folder. ``model`` is a pipeline that starts with the
-    imputer of ``training.preparation``; its means are read once.
+    imputer of ``training.preparation``; its means are read once. ``categories`` may be ``station`` and
+    ``weather``.
     """
+    if set(categories) - {"station", "weather"}:
+        raise ValueError(f"not known ahead of time: {categories}")
     weather, past = _weather_in(history, weather), rows_needed(columns)
     start = station_state(history, steps, weather, forecast, target, past)
-    linear = _linear_terms(model, columns)
+    linear = linear_terms(model, columns)
     if linear:
-        intercept, weights, means = linear
-
-        def add(made: Column, step: Column) -> Column:
-            values = step_columns(columns, stations, weather, target, past, F.concat("_history", made), step)
-            terms = [F.coalesce(v, F.lit(m)) * w for v, m, w in zip(values.values(), means, weights)]
-            return F.concat(made, F.array(F.greatest(sum(terms, F.lit(intercept)), F.lit(0.0))))
-
-        state = start.withColumn("_made", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_made"), add))
+        state = _folded(linear, start, columns, steps, stations, weather, target, past)
     else:
-        state = _stepwise(model, start, columns, steps, stations, weather, target, past, cut_every)
+        state = _stepwise(model, start, columns, steps, stations, weather, target, past, cut_every, categories)
     result = state.select("station", "_last", F.posexplode("_made").alias("_pos", "forecast"))
     return result.select("station", _hour(F.col("_pos") + 1).alias("time"), (F.col("_pos") + 1).alias("horizon"), "forecast")
 
 
+def _folded(
+    model: LinearTerms, start: DataFrame, columns: Sequence[str], steps: int, stations: Sequence[str], weather: Sequence[str], target: str, past: int,
+) -> DataFrame:
+    effects = start.sparkSession.createDataFrame(list(model.levels.get("station", {}).items()), "station STRING, _effect DOUBLE")
+    sky = model.levels.get("weather", {})
+
+    def add(made: Column, step: Column) -> Column:
+        values = step_columns(columns, stations, weather, target, past, F.concat("_history", made), step)
+        terms = [F.coalesce(v, F.lit(m)) * w for v, m, w in zip(values.values(), model.means, model.weights)]
+        if sky:
+            terms.append(icons.lookup(sky, weather_code(step, past), F.lit(0.0)))
+        total = sum(terms, F.coalesce("_effect", F.lit(0.0)) + F.lit(model.intercept))
+        return F.concat(made, F.array(F.greatest(total, F.lit(0.0))))
+
+    joined = start.join(effects, "station", "left")
+    return joined.withColumn("_made", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_made"), add))
+
+
 def _stepwise(
     model: PipelineModel, start: DataFrame, columns: Sequence[str], steps: int, stations: Sequence[str], weather: Sequence[str], target: str, past: int, cut_every: int,
+    categories: Sequence[str],
 ) -> DataFrame:
     imputer, rest = model.stages[0], PipelineModel(stages=model.stages[1:])
     means = imputer.surrogateDF.first().asDict()
     made = step_columns(columns, stations, weather, target, past)
     inputs = [F.coalesce(v, F.lit(float(means[c]))).alias(f"_f_{c}") for c, v in made.items()]
+    if "weather" in categories:
+        inputs.append(weather_code(F.col("_step"), past).alias("weather"))
     value = F.greatest(F.col("raw_prediction"), F.lit(0.0))
     moved = [
         "station", "_last", *[f"_w_{w}" for w in weather],

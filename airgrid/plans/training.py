@@ -109,21 +109,18 @@ def compare(models: Mapping[str, PipelineModel], test: DataFrame, columns: Seque
     return reduce(DataFrame.unionByName, parts)
 
 
-def encoded_levels(model: PipelineModel) -> list[str]:
-    """Names ``<column>_<level>`` of the one-hot places that follow the numeric columns, in the model's order."""
-    out: list[str] = []
-    for stage in model.stages:
-        if isinstance(stage, StringIndexerModel):
-            for column, labels in zip(stage.getInputCols(), stage.labelsArray):
-                out += [f"{column}_{level}" for level in labels]  # the place for unknown levels is the one left out
-    return out
+def category_levels(model: PipelineModel) -> list[tuple[str, str]]:
+    """(column, level) of the one-hot places that follow the numeric columns, in the model's order; the place for
+    unknown levels is the one left out."""
+    indexers = [stage for stage in model.stages if isinstance(stage, StringIndexerModel)]
+    return [(column, level) for stage in indexers for column, labels in zip(stage.getInputCols(), stage.labelsArray) for level in labels]
 
 
 def importances(model: PipelineModel, columns: Sequence[str], spark: SparkSession, top: int | None = None) -> DataFrame:
     """(feature, importance) of a tree model; linear models give absolute coefficients."""
     last = model.stages[-1]
     weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray())
-    names = [*columns, *encoded_levels(model)]
+    names = [*columns, *(f"{c}_{level}" for c, level in category_levels(model))]
     frame = spark.createDataFrame(
         [(c, float(w)) for c, w in zip(names, weights, strict=True)], "feature STRING, importance DOUBLE"
     ).orderBy(F.desc("importance"), "feature")
@@ -132,7 +129,7 @@ def importances(model: PipelineModel, columns: Sequence[str], spark: SparkSessio
 
 def grid_search(
     df: DataFrame, columns: Sequence[str], make: Mapping[str, object] | object, grid: Mapping[str, Sequence], folds: int = 5,
-    label: str = TARGET, parallelism: int = 4,
+    label: str = TARGET, parallelism: int = 4, categories: Sequence[str] = (),
 ) -> list[dict]:
     """Mean RMSE of every parameter combination over expanding time folds, best first.
 
@@ -144,7 +141,7 @@ def grid_search(
         splits = []
         for i in range(1, folds + 1):
             train, test = folded.where(F.col("fold") < i), folded.where(F.col("fold") == i)
-            front = Pipeline(stages=preparation(columns)).fit(train)
+            front = Pipeline(stages=preparation(columns, categories)).fit(train)
             splits.append([front.transform(part).select(label, "features").cache() for part in (train, test)])
 
         def rmse(params: dict) -> dict:

@@ -314,9 +314,9 @@ def _(spark, d):
 
 @query(
     "widening_append", "A11 G1",
-    s.cte("hourly") + "SELECT station, time, CAST(round_even(pm25, 0) AS BIGINT) AS pm25_aqi, pm10 FROM hourly WHERE pm25 IS NOT NULL", "pm10",
+    s.cte("hourly") + "SELECT station, time, CAST(round_even(pm25, 0) AS BIGINT) AS pm25_aqi, pm10 FROM hourly", "pm10",
 )
 def _(spark, d):
     stored = spark.createDataFrame([], "station STRING, time TIMESTAMP_NTZ, pm25_aqi BIGINT").schema
-    incoming = feeds.hourly_wide(spark, d).where("pm25 IS NOT NULL").select("time", "station", F.col("pm25").alias("pm25_aqi"), "pm10")
+    incoming = feeds.hourly_wide(spark, d).select("time", "station", F.col("pm25").alias("pm25_aqi"), "pm10")
     return reshape.widen(stored, incoming)

@@ -1,8 +1,10 @@
 """Model fitting, tuning, clustering and model-based forecasts on the hourly target series."""
 
+from pyspark.ml import Pipeline
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from airgrid.functions import icons
 from airgrid.functions.rows import clip
 from airgrid.operators import evaluate, lagging, reshape, season
 from airgrid.operators.outliers import clean_training_series, training_bounds
@@ -22,13 +24,16 @@ def prepared(spark, d):
     return cut_lineage(plan.prepare(model_gaps(spark, d), [Y, *WEATHER_NUMERIC]))
 
 
+CATEGORIES = ["station", "weather"]
+
+
 def dataset(spark, d):
-    """(feature frame with ``is_train``, feature names, station names, filled history)."""
+    """(feature frame with ``is_train``, numeric feature names, filled history). Station and weather stay categories,
+    which the models encode as sparse vectors, so any number of stations will do."""
     history = prepared(spark, d)
-    stations = reshape.levels(history, "station")
-    built = plan.add_dummies(plan.pooled(history), stations, sorted({v[:2] for v in reshape.levels(history, "weather_icon")}))
+    built = plan.pooled(history).withColumn("weather", icons.icon_code(F.col("weather_icon")))
     frame = cut_lineage(lagging.split_per_key(built))
-    return frame, plan.feature_columns(frame), stations, history
+    return frame, plan.feature_columns(frame), history
 
 
 def _split(frame):
@@ -38,72 +43,70 @@ def _split(frame):
 @query("model_compare", "J1 J2 J3 J4 J5 J6 J7 J8 J12 H11 L1 L7 L11")
 def _(spark, d):
     """Every model at its usual settings, ranked by RMSE on the held-out last fifth of each station."""
-    frame, columns, _, _ = dataset(spark, d)
+    frame, columns, _ = dataset(spark, d)
     train, test = _split(frame)
-    models = training.fit_models(train, columns)
+    models = training.fit_models(train, columns, categories=CATEGORIES)
     return evaluate.rank_models(training.compare(models, test, columns).withColumn("run", F.lit(1)))
 
 
 @query("feature_importance", "J9 F3")
 def _(spark, d):
-    frame, columns, _, _ = dataset(spark, d)
-    models = training.fit_models(_split(frame)[0], columns, ["random_forest"], with_ridge=False)
+    frame, columns, _ = dataset(spark, d)
+    models = training.fit_models(_split(frame)[0], columns, ["random_forest"], with_ridge=False, categories=CATEGORIES)
     return training.importances(models["random_forest"], columns, spark, 15)
 
 
 @query("grid_search", "J10 L12")
 def _(spark, d):
     """A random forest tuned over expanding time folds."""
-    frame, columns, _, _ = dataset(spark, d)
+    frame, columns, _ = dataset(spark, d)
 
     def make(maxDepth, numTrees):
         return RandomForestRegressor(
             labelCol=Y, featuresCol="features", predictionCol="raw_prediction", maxDepth=maxDepth, numTrees=numTrees, seed=training.SEED
         )
 
-    results = training.grid_search(frame.where("is_train"), columns, make, {"maxDepth": [5, 10], "numTrees": [20, 50]})
+    results = training.grid_search(frame.where("is_train"), columns, make, {"maxDepth": [5, 10], "numTrees": [20, 50]}, categories=CATEGORIES)
     rows = [(r["params"]["maxDepth"], r["params"]["numTrees"], r["rmse"], i + 1) for i, r in enumerate(results)]
     return spark.createDataFrame(rows, "max_depth INT, num_trees INT, rmse DOUBLE, rank INT")
 
 
 @query("recursive_forecast", "K1 K2 K9 J12")
 def _(spark, d):
-    frame, columns, stations, history = dataset(spark, d)
-    model = training.fit_models(frame, columns, ["linear"], with_ridge=False)["linear"]
-    return forecasting.recursive_forecast(model, history, columns, 24, stations)
+    frame, columns, history = dataset(spark, d)
+    model = training.fit_models(frame, columns, ["linear"], with_ridge=False, categories=CATEGORIES)["linear"]
+    return forecasting.recursive_forecast(model, history, columns, 24, categories=CATEGORIES)
 
 
 @query("blended_forecast", "K1 K4 K5 K6 K11 K12")
 def _(spark, d):
     """Recursive and pattern forecasts blended, with intervals that grow with the horizon."""
-    frame, columns, stations, history = dataset(spark, d)
+    frame, columns, history = dataset(spark, d)
     train, test = _split(frame)
-    model = training.fit_models(train, columns, ["linear"], with_ridge=False)["linear"]
+    model = training.fit_models(train, columns, ["linear"], with_ridge=False, categories=CATEGORIES)["linear"]
     mae = training.compare({"linear": model}, test, columns).first()["mae"]
     made = forecasting.blend(
-        forecasting.recursive_forecast(model, history, columns, 24, stations), forecasting.pattern_forecast(history)
+        forecasting.recursive_forecast(model, history, columns, 24, categories=CATEGORIES), forecasting.pattern_forecast(history)
     )
     return forecasting.interval_growing(made, mae)
 
 
 @query("tree_intervals", "K8 J5")
 def _(spark, d):
-    frame, columns, _, _ = dataset(spark, d)
+    frame, columns, _ = dataset(spark, d)
     train, test = _split(frame)
     forest = RandomForestRegressor(
         numTrees=20, maxDepth=6, seed=training.SEED, labelCol=Y, featuresCol="features", predictionCol="raw_prediction"
     )
-    from pyspark.ml import Pipeline
-
-    model = Pipeline(stages=[*training.preparation(columns), forest]).fit(training.as_double(train, columns))
+    model = Pipeline(stages=[*training.preparation(columns, CATEGORIES), forest]).fit(training.as_double(train, columns))
     return forecasting.interval_from_trees(model, test, columns, ["station", "time"])
 
 
 @query("serving_frame", "K3 K9")
 def _(spark, d):
-    """Features of the next hour of every station in the model's column order."""
-    frame, columns, stations, history = dataset(spark, d)
-    return forecasting.next_hour_features(history, columns, stations)
+    """Features of the next hour of every station in the model's column order, and the weather carried into it."""
+    _, columns, history = dataset(spark, d)
+    return forecasting.next_hour_features(history, columns, categories=CATEGORIES)
 
 
 @query(
@@ -148,20 +151,12 @@ def _(spark, d):
 
 @query("station_models", "J11 L7")
 def _(spark, d):
-    """One boosted model per station."""
-    frame, columns, stations, _ = dataset(spark, d)
+    """One boosted model that splits on the station, scored per station, without a job per station."""
+    frame, columns, _ = dataset(spark, d)
     train, test = _split(frame)
-    own = [c for c in columns if not c.startswith("station_")]
-
-    def make():
-        return GBTRegressor(labelCol=Y, featuresCol="features", predictionCol="raw_prediction", maxIter=10, maxDepth=4, seed=training.SEED)
-
-    models = training.fit_per_station(train, stations, own, make)
-    parts = [
-        training.compare({"boosted": m}, test.where(F.col("station") == st), own).withColumn("station", F.lit(st))
-        for st, m in models.items()
-    ]
-    return reshape.union_by_name(*parts)
+    boosted = GBTRegressor(labelCol=Y, featuresCol="features", predictionCol="raw_prediction", maxIter=10, maxDepth=4, seed=training.SEED)
+    model = Pipeline(stages=[*training.preparation(columns, CATEGORIES), boosted]).fit(training.as_double(train, columns))
+    return training.compare({"boosted": model}, test, columns, keys=["station"])
 
 
 @query("prediction_guard", "J19",
@@ -200,9 +195,9 @@ def _(spark, d):
 
     from airgrid.session import shared_dir
 
-    frame, columns, _, _ = dataset(spark, d)
+    frame, columns, _ = dataset(spark, d)
     train, test = _split(frame)
-    model = training.fit_models(train, columns, ["linear"], with_ridge=False)["linear"]
+    model = training.fit_models(train, columns, ["linear"], with_ridge=False, categories=CATEGORIES)["linear"]
     place = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     training.save_model(model, place)
     before = training.predict(model, test, columns, ["station", "time"])
@@ -257,7 +252,6 @@ def _(spark, d):
     + "SELECT station, time, w AS wind_speed, (w - mu) / sd AS scaled FROM f, sc WHERE NOT is_train", "wind_speed scaled",
 )
 def _(spark, d):
-    from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     rows = lagging.split_per_key(cut_lineage(model_gaps(spark, d).select("station", "time", "wind_speed")))

@@ -18,6 +18,7 @@ HEADLINE = [
     "hourly_station_mean", "aqi_rounded", "score_then_average", "unit_parse", "describe", "hour_mode_icon", "latest_per_station",
     "interpolate_time", "winsorize_global", "tiered_impute", "keep_most_complete", "upsert_coalesce", "merge_sources", "rolling_prev",
     "extended_features", "decompose_24", "acf_48", "metrics", "pattern_forecast", "recursive_forecast", "stream_hourly",
+    "carry_raw_rows", "stored_upsert", "stored_keep_last", "stream_dedup", "stream_upsert", "station_models",
 ]
 
 

@@ -184,6 +184,14 @@ def test_pivot_takes_the_first_by_order(spark):
     assert r.pm25 == 10.0 and r.co == 5.0 and r.o3 is None
 
 
-def test_too_many_levels_are_refused(spark):
-    with pytest.raises(ValueError):
-        reshape.levels(spark.range(20).selectExpr("cast(id AS STRING) AS x"), "x", limit=10)
+def test_update_with_a_new_column_reads_only_its_days(spark):
+    out = folder(spark)
+    writers.write_by_day(spark.createDataFrame([(T0 + dt.timedelta(days=i), "A", 1.0, None, None) for i in range(5)], KIND), out)
+    landed = folder(spark)
+    spark.createDataFrame([(T0, "A", 5.0)], "time TIMESTAMP_NTZ, station STRING, pm1 DOUBLE").write.parquet(landed)
+    update = writers.with_day(spark.read.parquet(landed))
+    plan = writers.days_of(writers.stored(spark, out), update)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2024" in plan
+    writers.upsert_by_day(spark.read.parquet(landed), out)
+    got = {r.time: (r.pm25, r.pm1) for r in writers.stored(spark, out).collect()}
+    assert got[T0] == (1.0, 5.0) and len(got) == 5 and got[T0 + dt.timedelta(days=4)] == (1.0, None)

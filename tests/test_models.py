@@ -191,3 +191,40 @@ def test_encoded_stations_equal_dummy_columns(spark, history):
     assert [r.prediction for r in a] == pytest.approx([r.prediction for r in b], abs=1e-6)
     made = forecasting.recursive_forecast(sparse, history, numeric, 3)
     assert made.count() == 6 and made.where("forecast IS NULL").count() == 0
+
+
+def test_many_stations_need_no_column_each(spark, series):
+    history = series({f"S{i}": [float(i % 50 + h % 24) for h in range(30)] for i in range(1500)}, columns="overall_aqi DOUBLE")
+    frame = features.pooled(history)
+    columns = features.feature_columns(frame)
+    model = training.fit_models(frame, columns, ["linear"], with_ridge=False, categories=["station"])["linear"]
+    made = forecasting.recursive_forecast(model, history, columns, 2, categories=["station"])
+    assert made.count() == 3000 and made.where("forecast IS NULL").count() == 0
+    named = training.importances(model, columns, spark)
+    assert named.count() == len(columns) + 1500
+
+
+def test_unknown_columns_are_refused(spark, history):
+    for column in ("overall_aqi_hour_avg", "made_up"):
+        with pytest.raises(ValueError, match=column):
+            forecasting.next_hour_features(history, ["overall_aqi_lag_1h", column])
+
+
+def test_folded_steps_equal_single_steps_with_weather_and_long_lags(spark, history):
+    icons = F.element_at(F.array(*[F.lit(x) for x in ("01d", "04d", "10n")]), F.hour("time") % 3 + 1)
+    past = history.withColumn("weather_icon", icons)
+    frame = features.pooled(past).withColumns(lagging.lags("overall_aqi", [48]) | {"weather": F.substring("weather_icon", 1, 2)}).na.drop()
+    columns = [*features.feature_columns(frame)]
+    assert "overall_aqi_lag_48h" in columns
+    model = training.fit_models(frame, columns, ["linear"], with_ridge=False, categories=["station", "weather"])["linear"]
+    folded = forecasting.recursive_forecast(model, past, columns, 48, categories=["station", "weather"])
+    first = forecasting.next_hour_features(past, columns, categories=["weather"])
+    raw = {r.station: r.raw_prediction for r in model.transform(first).collect()}
+    got = {(r.station, r.horizon): r.forecast for r in folded.collect()}
+    assert len(got) == 96
+    for station, value in raw.items():
+        assert got[station, 1] == pytest.approx(max(value, 0.0), abs=1e-6)
+    start = forecasting.station_state(past, 48, ["temperature", "weather_icon"], None, "overall_aqi", forecasting.rows_needed(columns))
+    steps = forecasting._stepwise(model, start, columns, 3, (), ["temperature", "weather_icon"], "overall_aqi", forecasting.rows_needed(columns), 6, ["station", "weather"])
+    for r in steps.collect():
+        assert list(r._made) == pytest.approx([got[r.station, h] for h in (1, 2, 3)], abs=1e-6)
