@@ -12,7 +12,7 @@ from airgrid.plans import clusters, feeds, forecasting, training
 from airgrid.plans import features as plan
 from airgrid.queries import sqlbase as s
 from airgrid.queries.gaps import model_gaps, target
-from airgrid.queries.registry import query
+from airgrid.queries.registry import REGISTRY, query
 from airgrid.schema import WEATHER_NUMERIC
 from airgrid.session import cut_lineage
 
@@ -297,3 +297,23 @@ def _(spark, d):
     columns = [f"{Y}_lag_1h"]
     model = training.fit_models(plan.pooled(history), columns, ["linear"], with_ridge=False)["linear"]
     return forecasting.recursive_forecast(model, history, columns, 24)
+
+
+_HELD_OUT = (
+    s.cte("model_gaps", r="SELECT row_number() OVER (PARTITION BY station ORDER BY time) - 24 AS rn, count(*) OVER (PARTITION BY station) - 24 AS n FROM model_gaps",
+          held="SELECT * FROM r WHERE rn > 0 AND rn > floor(n * 0.8e0)")
+)
+
+
+@query("saved_model_equal", "J13", _HELD_OUT + "SELECT count(*) AS n, count(*) AS n_equal FROM held")
+def _(spark, d):
+    """A loaded model predicts what the saved one did, for every held-out row."""
+    same = F.abs(F.col("prediction") - F.col("reloaded")) <= 1e-9
+    return REGISTRY["saved_model"].run(spark, d).agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"))
+
+
+@query("tree_intervals_ordered", "K8", _HELD_OUT + "SELECT count(*) AS n, count(*) AS n_ordered FROM held")
+def _(spark, d):
+    """Lower bound, mean of the trees' range and upper bound are in order and not negative, for every held-out row."""
+    ordered = (F.col("lower_bound") >= 0) & (F.col("lower_bound") <= F.col("upper_bound"))
+    return REGISTRY["tree_intervals"].run(spark, d).agg(F.count("*").alias("n"), F.count_if(ordered).alias("n_ordered"))
