@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.llm.batches import small
+
 SHINGLE = 5
 LEAST = 0.75  # share of a template's shingles that a match has to hold
 MISS = 0.0002  # a window that holds a match is not retrieved with at most this probability
@@ -60,8 +62,10 @@ def window(shingles: int) -> int:
 
 
 def step(shingles: int) -> int:
-    """Windows of a class begin every so many shingles; classes are powers of two, so that few of them serve all templates."""
-    return 1 << max(0, (shingles - 1).bit_length())
+    """Windows of a class begin every so many shingles; there are four classes per doubling, so that few serve all templates."""
+    octave = math.log2(max(1, shingles))
+    size = math.ceil(2 ** (math.ceil(4 * octave - 1e-9) / 4) - 1e-9)
+    return max(size, shingles)
 
 
 def bands_needed(shingles: list[int]) -> int:
@@ -158,7 +162,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, doc_id:
 
     Words have their ASCII letters lower-cased and marks at their ends dropped. A place matches if it holds at least ``LEAST``
     of a template's distinct five-word shingles (a shorter template is one shingle and matches texts of just these words)
-    within a window of twice the template's length, rounded up to a power of two. Windows overlap by half, so no place is cut.
+    within a window of twice the template's length, rounded up to one of four lengths per doubling. Windows overlap by half, so no place is cut.
     Windows and templates meet through MinHash bands, so many that a matching window is missed with a probability of at most
     ``MISS``; the containment is then counted exactly, so no row is wrong. Texts of any length are read to the end, in
     segments that overlap. Null and empty texts have no rows, repeated rows are scanned each, null ids stay null, an empty
@@ -168,7 +172,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, doc_id:
 
     def find(batches):
         known = loaded(given)
-        for batch in batches:
+        for batch in small(batches):
             rows = [(key, *m) for key, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in known.matches(t.as_py())]
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
