@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.llm.batches import small
+
 FIT_ROWS = 6000  # labelled rows of either class that a fit uses, those with the smallest hash of their id
 TERMS = 3000  # of a lexicon, the strongest
 STEMS = range(4, 9)  # lengths of word beginnings that may be terms
@@ -19,7 +21,7 @@ EVIDENCE = 24.0  # least log-likelihood ratio of a term
 WINDOW = 12  # words of a context window
 MISSPELLED = 0.8  # weight of a misspelled term against the term itself
 FEATURES = 4
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 OPENING, CLOSING = "«“„‹‘\"", "»”›’“\""
 EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…*_~-#$%&+=|/\\"
 
@@ -253,7 +255,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     texts = documents.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").select("text", "toxic")
 
     def reduce_text(batches):
-        for batch in batches:
+        for batch in small(batches):
             keys = []
             for text in batch.column(0).to_pylist():
                 words = (text or "").lower().split()
@@ -269,11 +271,11 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def count(batches):
         sums: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in small(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for t in terms_of(plain_words(text)):
                     sums.setdefault(t, [0, 0])[toxic] += 1
-            if len(sums) > 1_000_000:
+            if len(sums) > 300_000:
                 yield count_rows(sums)
                 sums = {}
         yield count_rows(sums)
