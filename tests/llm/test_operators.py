@@ -480,3 +480,30 @@ def test_license_scan(spark, texts):
 def test_license_bands():
     for n in (1, 2, 8, 30, 400):
         assert 1 - (1 - license_scan.least_similarity(n)) ** license_scan.bands_needed([n]) >= 1 - license_scan.MISS
+
+
+def test_default_licenses_cover_the_usual_families(spark):
+    own = license_scan.standard()
+    bodies = {n: b.replace(license_scan.GAP, "Some Body and others") for n, b in own.items()}
+    several = bodies["BSD-2-Clause"] + "\n" + bodies["BSD-3-Clause"]
+    lines = {
+        "released under the GNU General Public License, version 2.": {"GPL-2.0 notice"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0 notice"},
+        "Published under the LGPLv3.": {"LGPL-3.0 notice"},
+        "is released under the terms of the GNU\n * Lesser General Public License v2.1 or": {"LGPL-2.1 notice"},
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0 notice"},
+        "This project is licensed under the MIT License": {"MIT notice"},
+        "the thing is licensed under the MITRE rules": set(),
+        "/* SPDX-License-Identifier: (MIT OR apache-2.0) AND 0BSD */ AND x": {"SPDX MIT", "SPDX Apache-2.0", "SPDX 0BSD"},
+        "# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note\nint x": {"SPDX GPL-2.0-only", "SPDX Linux-syscall-note"},
+    }
+    texts = [*bodies.values(), several, *("one two " + x for x in lines)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    got = [set() for _ in texts]
+    for r in license_scan.scan(rows).collect():
+        got[r.doc_id].add(r.license)
+    for found, name in zip(got, bodies):  # the text itself, and no other text or header of its family
+        others = {n for n in found & set(own) if n.endswith(" header") == name.endswith(" header")}
+        assert others == {name}, (name, found)
+    assert {"BSD-2-Clause", "BSD-3-Clause"} <= got[len(bodies)] and "BSD-4-Clause" not in got[len(bodies)]
+    assert got[len(bodies) + 1 :] == list(lines.values())
