@@ -212,10 +212,13 @@ def evidence(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
 
 
 def lexicon(counts: list[tuple[str, int, int]], all_pos: int, all_neg: int) -> dict[str, float]:
-    """The strongest terms with the logs of their odds; a term goes if a stem in it is as pure."""
+    """The strongest terms with the logs of their odds; a stem goes if a shorter one in it is kept.
+
+    Words that a kept stem covers stay beside it, as only whole words take misspellings; the stem is their evidence."""
     odds = lambda p, n: float(np.log((p + 0.5) / (all_pos + 1)) - np.log((n + 0.5) / (all_neg + 1)))
     scored = [(evidence(p, n, all_pos, all_neg), t, odds(p, n)) for t, p, n in counts]
-    strong = {t: w for e, t, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:TERMS] if e >= EVIDENCE and w > 1.5}
+    ranked = [(e, t, w) for e, t, w in sorted(scored, key=lambda x: (-x[0], x[1]))[:TERMS] if w > 1.5]
+    strong = {t: w for e, t, w in ranked if e >= EVIDENCE}
     stems = sorted((t for t in strong if t.endswith("*")), key=len)
     kept: dict[str, float] = {}
     for t in [*stems, *(t for t in strong if not t.endswith("*"))]:
@@ -229,6 +232,9 @@ def lexicon(counts: list[tuple[str, int, int]], all_pos: int, all_neg: int) -> d
         if len(words) == 1 and strong[words[0]] >= strong[s] - 0.1:
             kept[words[0]] = min(strong[words[0]], 5.0)
             del kept[s]
+    for _, t, w in ranked:
+        if not t.endswith("*") and any(t[:n] + "*" in kept for n in STEMS if len(t) >= n):
+            kept[t] = min(w, 5.0)
     return kept
 
 

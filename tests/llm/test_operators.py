@@ -507,3 +507,12 @@ def test_default_licenses_cover_the_usual_families(spark):
         assert others == {name}, (name, found)
     assert {"BSD-2-Clause", "BSD-3-Clause"} <= got[len(bodies)] and "BSD-4-Clause" not in got[len(bodies)]
     assert got[len(bodies) + 1 :] == list(lines.values())
+
+
+def test_misspellings_of_terms_with_inflections():
+    counts = [("idiot", 100, 0), ("idiots", 60, 0), ("idio*", 150, 0), ("idiot*", 150, 0), ("stupid", 80, 0), ("stupidity", 50, 0), ("stup*", 120, 0), ("stupidly", 4, 0), ("table", 3, 100)]
+    lexicon = toxicity.Lexicon(toxicity.lexicon(counts, 1000, 1000))
+    for word, term in {"1diot": "idiot", "iidiot": "idiot", "idots": "idiots", "sutpidity": None, "stpid": "stupid", "sstupidity": "stupidity", "5tupidly": "stupidly", "tablet": None}.items():
+        found = lexicon.match(word)
+        assert found == (term and (term, 1)), (word, found)
+    assert lexicon.match("idiot") == ("idiot", 0) and lexicon.match("idiotic") == ("idio*", 0)
