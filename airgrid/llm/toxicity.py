@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ MISSPELLED = 0.8  # weight of a misspelled term against the term itself
 FEATURES = 4
 KEPT_WORDS = 100_000
 OPENING, CLOSING = "«“„‹‘\"", "»”›’“\""
+PARTNERS = {"»": "«", "”": "“„", "“": "„“", "›": "‹", "’": "‘", '"': '"'}  # the marks that a closing mark ends
 EDGES = "\"'“”„«»‹›‘’()[]{}<>.,;:!?…*_~-#$%&+=|/\\"
 
 
@@ -109,25 +111,49 @@ class Lexicon:
         return best[2], best[0]
 
 
-def quotation_marks(word: str) -> tuple[bool, bool]:
-    """Whether a word opens and whether it closes a quotation."""
+def quotation_marks(word: str) -> tuple[str, str]:
+    """The mark that opens a quotation at a word and the one that closes it, or empty texts."""
     end = word.rstrip(".,;:!?")
-    return word[0] in OPENING, len(end) > 1 and end[-1] in CLOSING
+    return word[0] if word[0] in OPENING else "", end[-1] if len(end) > 1 and end[-1] in CLOSING else ""
 
 
-def quotations(special):
-    """(place, whether quoted, entry) of entries that begin with (opens, closes), in order of place.
+def paragraph_ends(text: str) -> list[int]:
+    """For each paragraph, the place behind its last word."""
+    return np.cumsum([len(p.split()) for p in re.split(r"\n\s*\n", text)]).tolist()
 
-    A quotation ends with its closing mark, at the latest ``4 * WINDOW`` words on, so a stray mark does not reach over a text.
+
+def quotations(special, text: str):
+    """(place, whether quoted, entry) of entries that begin with (opening mark, closing mark), in order of place.
+
+    Marks are paired over the whole text, so a quotation ends with its closing mark, however long it is; the latest open mark
+    of the closing mark's kind is its partner, or of any kind if there is none (but for ’, which may be an apostrophe). An
+    opening mark without a partner reaches to the end of its paragraph if the next one begins with such a mark again, else
+    over ``4 * WINDOW`` words of its paragraph, so a stray mark does not reach over a text.
     """
-    until = -1
-    for at, entry in special:
+    special = list(special)
+    inside = [0] * (len(special) + 1)  # quotations that begin, less those that end, before an entry
+    pending: dict[str, list[int]] = {}
+    for k, (_, entry) in enumerate(special):
         opens, closes = entry[:2]
         if opens and not closes:
-            until = at + 4 * WINDOW
-        yield at, opens or closes or at <= until, entry
-        if closes:
-            until = -1
+            pending.setdefault(opens, []).append(k)
+        elif closes and not opens:
+            fits = [p for mark, p in pending.items() if p and mark in PARTNERS[closes]] or [p for p in pending.values() if p and closes != "’"]
+            if fits:
+                inside[max(fits, key=lambda p: p[-1]).pop()] += 1
+                inside[k] -= 1
+    if any(pending.values()):
+        ends, openings = np.array(paragraph_ends(text)), {at: entry[0] for at, entry in special if entry[0]}
+        places = [at for at, _ in special]
+        for k, mark in ((k, mark) for mark, left in pending.items() for k in left):
+            end = int(ends[np.searchsorted(ends, places[k], side="right")])
+            last = end if openings.get(end) == mark else min(end, places[k] + 4 * WINDOW + 1)
+            inside[k] += 1
+            inside[int(np.searchsorted(places, last))] -= 1
+    depth = 0
+    for k, (at, entry) in enumerate(special):
+        depth += inside[k]
+        yield at, bool(entry[0] or entry[1] or depth > 0), entry
 
 
 @dataclass
@@ -146,7 +172,7 @@ class Scorer:
         self.old: dict[str, tuple] = {}
 
     def word(self, word: str) -> tuple:
-        """(opens a quotation, closes one, weight, misspelled) of a word with the marks around it, or () if it is nothing special."""
+        """(opening mark, closing mark, weight, misspelled) of a word with the marks around it, or () if it is nothing special."""
         bare = word.strip(EDGES)
         hit = self.lexicon.match(bare) if bare else None
         if hit and hit[1] and bare in self.model.clean:
@@ -171,7 +197,7 @@ class Scorer:
         get, missing = self.new.get, self.missing
         special = [(i, f) for i, w in enumerate(words) if (f := get(w) if w in self.new else missing(w))]
         sums, plain = [0.0, 0.0], []
-        for at, quoted, (_, _, weight, misspelled) in quotations(special):
+        for at, quoted, (_, _, weight, misspelled) in quotations(special, text or ""):
             if weight:
                 weight *= MISSPELLED if misspelled else 1.0
                 sums[quoted] += weight
@@ -195,7 +221,7 @@ def held_out(doc_id: Column) -> Column:
 def plain_words(text: str | None) -> set[str]:
     """The words of a text that are not quoted, without the marks around them."""
     marked = ((i, (*quotation_marks(w), w)) for i, w in enumerate((text or "").lower().split()))
-    return {bare for _, quoted, (_, _, w) in quotations(marked) if not quoted and (bare := w.strip(EDGES))}
+    return {bare for _, quoted, (_, _, w) in quotations(marked, text or "") if not quoted and (bare := w.strip(EDGES))}
 
 
 def terms_of(words: set[str]) -> set[str]:

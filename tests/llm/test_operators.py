@@ -516,3 +516,27 @@ def test_misspellings_of_terms_with_inflections():
         found = lexicon.match(word)
         assert found == (term and (term, 1)), (word, found)
     assert lexicon.match("idiot") == ("idiot", 0) and lexicon.match("idiotic") == ("idio*", 0)
+
+
+def test_quotations_end_with_their_marks():
+    filler = " ".join(f"w{i}" for i in range(70))
+    cases = {  # text: whether each "idiot" is quoted
+        f'he said "idiot {filler} idiot {filler} end" and idiot': [True, True, False],
+        f"“{filler} idiot\n\n{filler} idiot” idiot": [True, True, False],
+        f"«{filler} “idiot” {filler} idiot» idiot": [True, True, False],
+        f'"first {filler} idiot\n\n"second {filler} idiot" idiot': [True, True, False],
+        f'"stray idiot {filler} idiot': [True, False],
+        '"stray mark\n\nidiot "quoted idiot" idiot': [False, True, False],
+        "“the dogs’ idiot” idiot": [True, False],
+        '„du idiot" idiot': [True, False],
+        f'"{filler} "one" idiot" idiot': [True, False],
+        "idiot 5\" idiot": [False, False],
+    }
+    for text, want in cases.items():
+        marked = [(i, (*toxicity.quotation_marks(w), w)) for i, w in enumerate(text.split())]
+        assert [q for _, q, (_, _, w) in toxicity.quotations(marked, text) if w.strip(toxicity.EDGES) == "idiot"] == want, text
+    text = next(iter(cases))
+    assert "idiot" in toxicity.plain_words(text) and "w40" not in toxicity.plain_words(text)
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": 3.0}, set(), np.zeros(4)))
+    assert scorer.features(text)[1:3] == pytest.approx([np.log1p(3.0), np.log1p(6.0)])
+    assert scorer.features(None) == scorer.features("") == [1.0, 0.0, 0.0, 0.0]
