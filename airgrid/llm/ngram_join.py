@@ -16,6 +16,7 @@ COUNTERS = 1 << 20  # size of the count table that every task gets (4 MB), whate
 SLICE = 1 << 14
 GROUPS = 128  # of a set's hashes, for the suffix filter
 MANY = 0xFFFF  # a group's count from here on says no more than that
+BLOCK = 1000  # postings of a gram that meet in one task where all links are listed
 SMALL_IDS = 2_000_000  # a list of ids goes to every executor up to this many (16 MB)
 MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -221,8 +222,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, seed
     return left.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_text", "b_text").mapInArrow(compare, "a LONG, b LONG").distinct()
 
 
-def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
-    """(key, n, cid) of every document, and links between cids that connect whatever similar sets connect."""
+def prepared(docs: DataFrame, n: int, bounds: Bounds) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """The seed, a row per document, a row per class of equal sets, and the postings of grams that several classes share."""
     seed = 0
     while True:
         table = cut_lineage(read_sets(docs, n, seed))
@@ -234,7 +235,12 @@ def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, Da
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(table))
     postings = post(docs, n, seed, bounds, counts)
     shared = cut_lineage(postings.repartition("gram").sortWithinPartitions("gram", "n", "cid").mapInArrow(shared_only, "gram LONG, cid LONG, n LONG, pos LONG"))
+    return seed, sets, classes, shared
 
+
+def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
+    """(key, n, cid) of every document, and links between cids that connect whatever similar sets connect."""
+    seed, sets, classes, shared = prepared(docs, n, bounds)
     # A set with few rare shingles of its own before a common one is at the centre of those that share it.
     central = Window.partitionBy("gram").orderBy("pos", "n", "cid")
     row = F.struct("n", "pos", "cid")
@@ -290,6 +296,45 @@ def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id:
     return out.union(lone_rows(docs, words))
 
 
+def all_links(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
+    """(key, n, cid) of every document, and all links (a, b), a < b, between cids whose sets are similar.
+
+    All postings of a gram meet. Those of a gram with more than ``BLOCK`` are dealt into blocks by class, and each pair of
+    blocks is a key of its own, so a common gram does not land in one task.
+    """
+    seed, sets, classes, shared = prepared(docs, n, bounds)
+    common = shared.groupBy("gram").count().filter(F.col("count") > BLOCK).select("gram", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = shared.join(common, "gram", "left").fillna(1, ["blocks"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = cut_lineage(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    side = lambda to, i, j: dealt.select("gram", F.col("own").alias(i), F.col("other").alias(j), *[F.col(c).alias(f"{to}_{c}") for c in ("cid", "n", "pos")])
+    met = side("a", "i", "j").join(side("b", "j", "i"), ["gram", "i", "j"]).filter("struct(a_n, a_pos, a_cid) < struct(b_n, b_pos, b_cid)").filter("a_cid <> b_cid").filter(fitting(bounds))
+    # Either end may have been called a, as that depends on the gram if the sizes are equal.
+    pairs = met.select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
+    return sets.select("doc_id", "n", "cid"), cut_lineage(verified(cut_lineage(pairs), classes, docs, n, seed, bounds))
+
+
+def linked(documents: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links of the join, also those inside a component: ``doc_id, n_shingles, n_links`` of every row, and ``a, b``.
+
+    Sets and links are those of ``near_copies``. ``n_links`` is the number of other documents (distinct ids) that a document
+    links with. ``a`` and ``b`` are the smallest ids of two classes of different sets that link; documents of one class link with
+    each other and with all that their class links with, which is not listed by id. The pairs are listed, so the work grows
+    with the square of a group of different near copies; ``near_copies`` is the cheap form, without counts and pairs.
+    """
+    docs = documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
+    sets, found = all_links(docs.filter("key IS NOT NULL"), words, Bounds(percent))
+    classes = cut_lineage(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.countDistinct("doc_id").alias("size")))
+    ends = found.select("a", "b").union(found.select("b", "a")).toDF("cid", "partner")
+    sizes = classes.select(F.col("cid").alias("partner"), "size")
+    met = ends.join(sizes, "partner").groupBy("cid").agg(F.sum("size").alias("met"))
+    counts = classes.join(met, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("met", F.lit(0))).alias("links"))
+    rows = sets.join(counts, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    rows = rows.union(lone_rows(docs, words).select("doc_id", "n_shingles", F.lit(0).cast("long")))
+    name = lambda end: classes.select(F.col("cid").alias(end), F.col("least").alias(f"{end}_id"))
+    pairs = found.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return rows, pairs
+
+
 def lone_rows(docs: DataFrame, words: int) -> DataFrame:
     """Rows without a doc_id: only the size of their set."""
 

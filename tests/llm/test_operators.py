@@ -540,3 +540,22 @@ def test_quotations_end_with_their_marks():
     scorer = toxicity.Scorer(toxicity.Model({"idiot": 3.0}, set(), np.zeros(4)))
     assert scorer.features(text)[1:3] == pytest.approx([np.log1p(3.0), np.log1p(6.0)])
     assert scorer.features(None) == scorer.features("") == [1.0, 0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_all_links_of_the_ngram_join(docs, nothing, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = docs.collect()
+    sets = {r.doc_id: shingle_set(r.text) for r in rows if r.doc_id is not None}
+    alike = {(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    partners = Counter(x for pair in alike for x in pair)
+    least = {}
+    for key in sorted(sets):
+        least.setdefault(sets[key], key)
+    counts, pairs = ngram_join.linked(docs)
+    want = Counter((r.doc_id, len(shingle_set(r.text)), partners[r.doc_id] if r.doc_id is not None else 0) for r in rows)
+    assert Counter(map(tuple, counts.collect())) == want
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in alike if sets[a] != sets[b] and least[sets[a]] == a and least[sets[b]] == b}
+    assert any(partners[a] > 2 for a, _ in found)
+    assert all(df.count() == 0 for df in ngram_join.linked(nothing))
