@@ -559,3 +559,19 @@ def test_all_links_of_the_ngram_join(docs, nothing, block, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == {(a, b) for a, b in alike if sets[a] != sets[b] and least[sets[a]] == a and least[sets[b]] == b}
     assert any(partners[a] > 2 for a, _ in found)
     assert all(df.count() == 0 for df in ngram_join.linked(nothing))
+
+
+def test_permutation_index_recall_of_full_shards():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3 * permutation_index.SHARD, 64))
+    longest = float(np.linalg.norm(x, axis=1).max())
+    pivots = permutation_index.choose_pivots(x[: permutation_index.SAMPLE], 64, longest)
+    parts = [np.arange(i, len(x), 3) for i in range(3)]
+    shards = [permutation_index.Shard(64, **permutation_index.build_shard(p, x[p], pivots, longest, 21)) for p in parts]
+    assert all(permutation_index.LEAST < permutation_index.SHARE * len(s.vectors) for s in shards)
+    hits = 0
+    for q in range(0, len(x), 400):
+        order = permutation_index.nearest_pivots(np.append(x[q], 0.0)[None], pivots)[0]
+        ids, scores = (np.concatenate(c) for c in zip(*(s.search(x[q], order, 20) for s in shards)))
+        hits += len({*ids[np.argsort(-scores)[:20]]} & {*np.argsort(-(x @ x[q]))[:20]})
+    assert hits / 62 / 20 >= 0.9
