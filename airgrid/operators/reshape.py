@@ -68,10 +68,13 @@ def station_dump_rows(df: DataFrame, dump: str = "dump") -> DataFrame:
     )
 
 
-def levels(df: DataFrame, column: str) -> list[str]:
-    """Distinct values, for columns made of them. Where there are many, models take the column itself as a
-    category (``training.preparation``)."""
-    return sorted(row[0] for row in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+def levels(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
+    """Distinct values, for columns made of them; refuses columns with more than ``limit``. Where there are many, models take
+    the column itself as a category (``training.preparation``)."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{column} has more than {limit} levels; take it as a category (training.preparation)")
+    return sorted(row[0] for row in rows)
 
 
 def one_hot(

@@ -48,3 +48,12 @@ def test_city_weather_is_broadcast(spark):
 def test_latest_rows_are_aggregated_not_sorted(spark):
     text = plan(spark, "latest_per_station")
     assert "Window" not in text and "partial_max_by" in text
+
+
+def test_levels_refuse_columns_with_many_values(spark):
+    from airgrid.operators import reshape
+
+    ids = spark.range(1001).selectExpr("cast(id AS STRING) AS k")
+    with pytest.raises(ValueError, match="more than 1000 levels"):
+        reshape.levels(ids, "k")
+    assert len(reshape.levels(ids.limit(1000), "k")) == 1000
