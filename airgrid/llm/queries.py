@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, shards, toxicity, url_rules
+from airgrid.llm import cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, shards, spelling, toxicity, url_rules
 from airgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op9(spark, sf_dir):
 @register("op10_mix_sources")
 def op10(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
