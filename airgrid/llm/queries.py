@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import alignment, cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, shards, spelling, toxicity, url_rules
+from airgrid.llm import alignment, cover_join, id_files, license_scan, mixing, ngram_join, packing, permutation_index, repeats, shards, spelling, toxicity, url_rules
 from airgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,11 @@ def op11(spark, sf_dir):
     return alignment.cross_align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
+@register("op12_suffix_dedup")
+def op12(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
+
+
 @register("op13_spelling_variants")
 def op13(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
