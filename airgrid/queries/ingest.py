@@ -13,7 +13,7 @@ from airgrid.queries.merging import _HALVES, halves
 from airgrid.queries.registry import query
 from airgrid.schema import KEY, fields
 from airgrid.session import shared_dir
-from airgrid.sources import readers, writers
+from airgrid.sources import readers, snapshots, writers
 from pyspark.sql import types as T
 
 
@@ -130,7 +130,108 @@ def _(spark, d):
     out = place(spark, "table")
     writers.insert_new(old, out, KEY)
     writers.insert_new(new, out, KEY)
-    return spark.read.parquet(out)
+    return writers.stored(spark, out)
+
+
+# The second frame knows neither pm25 nor pm10 and adds no2 and a new column; the third knows pm10 only.
+_FRAMES = {
+    **_HALVES,
+    "wide": "SELECT station, time, no2, no2 / 2 AS pm1 FROM new",
+    "narrow": "SELECT station, time + INTERVAL 30 DAY AS time, pm10 FROM old",
+}
+_KNOWN = "station, time, pm25, pm10, no2, pm1"
+
+
+def frames(spark, d):
+    """An old table, a frame with other columns an hour later, and one with fewer columns on later days."""
+    old, new = halves(spark, d)
+    wide = new.select("station", "time", "no2", (F.col("no2") / 2).alias("pm1"))
+    narrow = old.select("station", (F.col("time") + F.expr("INTERVAL 30 DAYS")).alias("time"), "pm10")
+    return old.drop("no2"), wide, narrow
+
+
+def known(df):
+    return df.select("station", "time", "pm25", "pm10", "no2", "pm1")
+
+
+_LACKING = "CAST(NULL AS DOUBLE)"
+
+
+@query(
+    "snapshot_append", "A10 A11",
+    s.cte("hourly", **_FRAMES) + f"SELECT station, time, pm25, pm10, {_LACKING} AS no2, {_LACKING} AS pm1 FROM old UNION ALL SELECT station, time, {_LACKING}, {_LACKING}, no2, pm1 FROM wide "
+    f"UNION ALL SELECT station, time, {_LACKING}, pm10, {_LACKING}, {_LACKING} FROM narrow", "pm25 pm10 no2 pm1",
+)
+def _(spark, d):
+    """Appends to a table by day, of frames with more and with fewer columns."""
+    out = place(spark, "table")
+    for frame in frames(spark, d):
+        writers.write_by_day(frame, out)
+    return known(writers.stored(spark, out))
+
+
+@query(
+    "snapshot_insert", "A14 C5",
+    s.cte("hourly", **_FRAMES) + f"SELECT station, time, pm25, pm10, {_LACKING} AS no2, {_LACKING} AS pm1 FROM old UNION ALL "
+    f"SELECT station, time, {_LACKING}, {_LACKING}, no2, pm1 FROM wide w WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.station = w.station AND o.time = w.time) UNION ALL "
+    f"SELECT station, time, {_LACKING}, pm10, {_LACKING}, {_LACKING} FROM narrow n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.station = n.station AND o.time = n.time) "
+    "AND NOT EXISTS (SELECT 1 FROM wide o WHERE o.station = n.station AND o.time = n.time)", "pm25 pm10 no2 pm1",
+)
+def _(spark, d):
+    """New rows only, into a table by day; every frame twice."""
+    out = place(spark, "table")
+    old, *more = frames(spark, d)
+    writers.write_by_day(old, out)
+    for frame in (old, *more, *more):
+        writers.insert_new(frame, out, KEY)
+    return known(writers.stored(spark, out))
+
+
+@query(
+    "snapshot_upsert", "A10 A12",
+    s.cte("hourly", **_FRAMES) + "SELECT coalesce(o.station, w.station, n.station) AS station, coalesce(o.time, w.time, n.time) AS time, o.pm25, coalesce(n.pm10, o.pm10) AS pm10, w.no2, w.pm1 "
+    "FROM old o FULL JOIN wide w ON o.station = w.station AND o.time = w.time FULL JOIN narrow n ON n.station = coalesce(o.station, w.station) AND n.time = coalesce(o.time, w.time)",
+    "pm25 pm10 no2 pm1",
+)
+def _(spark, d):
+    """Values merged column by column; what a frame does not know stays."""
+    out = place(spark, "table")
+    for frame in frames(spark, d):
+        writers.upsert_by_day(frame, out, KEY)
+    return known(writers.stored(spark, out))
+
+
+@query(
+    "snapshot_keep_last", "A13 A15",
+    s.cte("hourly", **_FRAMES, u=f"SELECT 0 AS k, station, time, pm25, pm10, {_LACKING} AS no2, {_LACKING} AS pm1 FROM old UNION ALL SELECT 1, station, time, {_LACKING}, {_LACKING}, no2, pm1 FROM wide "
+          f"UNION ALL SELECT 2, station, time, {_LACKING}, pm10, {_LACKING}, {_LACKING} FROM narrow",
+          r="SELECT *, row_number() OVER (PARTITION BY station, time ORDER BY k DESC) AS rn FROM u") + f"SELECT {_KNOWN} FROM r WHERE rn = 1", "pm25 pm10 no2 pm1",
+)
+def _(spark, d):
+    """Whole rows replaced, then the folders of each day joined and the old snapshots dropped."""
+    out = place(spark, "table")
+    for frame in frames(spark, d):
+        writers.upsert_keep_last(frame, out, KEY)
+    snapshots.compact(spark, out)
+    snapshots.vacuum(spark, out, keep=1)
+    return known(writers.stored(spark, out))
+
+
+@query(
+    "snapshot_history", "A10 A15 A16",
+    s.cte("hourly", **_FRAMES, n="SELECT (SELECT count(*) FROM old) AS a, (SELECT count(*) FROM wide) AS b, (SELECT count(*) FROM narrow) AS c")
+    + "SELECT CAST(0 AS BIGINT) AS version, CAST(4 AS INTEGER) AS n_columns, a AS n_rows FROM n UNION ALL SELECT 1, 6, a + b FROM n UNION ALL SELECT 2, 6, a + b + c FROM n UNION ALL SELECT 3, 4, b FROM n",
+)
+def _(spark, d):
+    """Every snapshot of a table stays readable: three appends and a full refresh."""
+    out = place(spark, "table")
+    old, wide, narrow = frames(spark, d)
+    for frame in (old, wide, narrow):
+        writers.write_by_day(frame, out)
+    writers.write_by_day(wide, out, "overwrite")
+    counts = [writers.stored(spark, out, v).agg(F.lit(v).cast("long").alias("version"), F.count("*").alias("n_rows")) for v in snapshots.versions(spark, out)]
+    joined = snapshots.history(spark, out).select("version", "n_columns").join(reshape.union_by_name(*counts), "version")
+    return joined.select("version", "n_columns", "n_rows")
 
 
 @query(
@@ -154,7 +255,7 @@ def _(spark, d):
     out = place(spark, "table")
     writers.write_by_day(feeds.readings(spark, d), out)
     days = F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))
-    return writers.verify_load(spark.read.parquet(out).where(days))
+    return writers.verify_load(writers.stored(spark, out).where(days))
 
 
 @query(

@@ -1,48 +1,25 @@
-"""Sinks: partitioned tables, widening appends, upserts, refreshes and read-back checks."""
+"""Sinks: tables in snapshots, widening appends, upserts, refreshes and read-back checks."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from airgrid.operators.dedup import keep_first, keep_last
 from airgrid.operators.joins import merge_coalesce, only_new
 from airgrid.operators.profile import overview
-from airgrid.operators.reshape import widen
-from airgrid.session import cut_lineage
+from airgrid.sources import snapshots
 
-DAY = "date"
+DAY = snapshots.DAY
 CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def remember_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Keep a table's schema in a text file beside it, so that no reader has to look into every file."""
-    spark.createDataFrame([(schema.json(),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}.schema")
-
-
-def _found(load: Callable[[], DataFrame]) -> DataFrame | None:
-    try:
-        return load()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-
-
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None when nothing is there. Columns added over time are known from the schema kept beside
-    the table; where there is none, all files are looked at."""
-    kept = _found(lambda: spark.read.text(f"{path}.schema"))
-    if kept is not None:
-        schema = T.StructType.fromJson(json.loads(kept.first().value))
-        return _found(lambda: spark.read.schema(schema).parquet(path))
-    return _found(lambda: spark.read.option("mergeSchema", "true").parquet(path))
+def stored(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The table that the functions below keep at ``path``, as it is now or as of a snapshot; None when nothing is there."""
+    return snapshots.read(spark, path, version)
 
 
 def with_day(df: DataFrame, time: str = "time") -> DataFrame:
@@ -50,11 +27,8 @@ def with_day(df: DataFrame, time: str = "time") -> DataFrame:
 
 
 def write_by_day(df: DataFrame, path: str, mode: str = "append", time: str = "time") -> None:
-    """Time-keyed table partitioned by day. The rebalance hint joins small writes and splits a day that
-    is too large for one task, so file sizes follow the advisory partition size."""
-    rows = with_day(df, time)
-    rows.hint("rebalance", DAY).write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy(DAY).parquet(path)
-    remember_schema(df.sparkSession, path, rows.schema)
+    """Time-keyed table partitioned by day. Appended rows may know fewer or more columns than the table; "overwrite" is a full refresh."""
+    (snapshots.replace if mode == "overwrite" else snapshots.append)(df, path, time)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -79,62 +53,48 @@ def create_table(
 
 def append_widening(df: DataFrame, path: str) -> DataFrame:
     """Append rows whose columns may differ from the table's; new columns are added, missing are null."""
-    old = stored(df.sparkSession, path)
-    rows = df if old is None else widen(old.schema, df)
-    rows.write.mode("append").parquet(path)
-    if old is None or len(rows.schema) > len(old.schema):
-        remember_schema(df.sparkSession, path, rows.schema)
+    snapshots.append(df, path, None)
     return stored(df.sparkSession, path)
 
 
-def insert_new(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append only the rows whose key is not stored yet, one row per key (the smallest). A key with a null
-    never matches, so such rows are all new."""
-    old = stored(df.sparkSession, path)
-    fresh = df if old is None else only_new(df, old, keys)
-    rest = [c for c in df.columns if c not in keys]
-    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    single = keep_first(fresh.where(complete), keys, rest) if rest else fresh.where(complete).distinct()
-    single.unionByName(fresh.where(~complete)).write.mode("append").parquet(path)
+def insert_new(df: DataFrame, path: str, keys: Sequence[str], time: str | None = None) -> None:
+    """Append only the rows whose key is not stored yet, one row per key (the smallest). A key with a null never matches, so
+    such rows are all new. Columns are added as in ``append_widening``; a table by day stays one, a new one is by day of ``time``."""
 
+    def fresh_rows(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        fresh = rows if old is None else only_new(rows, old, keys)
+        rest = [c for c in rows.columns if c not in keys]
+        complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        single = keep_first(fresh.where(complete), keys, rest) if rest else fresh.where(complete).distinct()
+        return single.select(*rows.columns).unionByName(fresh.where(~complete))
 
-def days_of(old: DataFrame, updates: DataFrame) -> DataFrame:
-    """The stored rows of the days in ``updates``. The days, bounded by the calendar, become a filter on the
-    partition column, so the other days are not even listed."""
-    days = [r[0] for r in updates.select(DAY).distinct().collect()]
-    test = F.col(DAY).isin([x for x in days if x is not None])
-    return old.where(test | F.col(DAY).isNull() if None in days else test)
+    snapshots.insert(df, path, fresh_rows, keys, time)
 
 
 def upsert_by_day(updates: DataFrame, path: str, keys: Sequence[str] = ("time", "station"), time: str = "time") -> None:
     """Merge updates into a day-partitioned table; a null never overwrites a value, new columns are added.
 
-    Only the days that occur in the updates are read and rewritten. The merged rows are written to the
-    checkpoint folder before the days are replaced, so no plan reads files it overwrites.
+    Only the days that occur in the updates are read and rewritten. Rows with a null in the key match none and are added.
     """
-    old = stored(updates.sparkSession, path)
-    if old is None:
-        write_by_day(updates, path, "append", time)
-        return
-    fresh = widen(old.schema, with_day(updates, time))
-    affected = widen(fresh.schema, days_of(old, fresh))
-    merged = merge_coalesce(affected, fresh, [*keys, DAY])
-    write_by_day(cut_lineage(merged).drop(DAY), path, "overwrite", time)
+
+    def combine(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return rows if old is None else merge_coalesce(old, rows, keys)
+
+    snapshots.merge(updates, path, combine, keys, time)
 
 
 def upsert_keep_last(updates: DataFrame, path: str, keys: Sequence[str] = ("time", "station"), time: str = "time") -> DataFrame:
-    """Replace whole rows of a day-partitioned table: among equal keys (which include the time) the update
-    wins. Only the days in the updates are read and replaced, after the new rows were written elsewhere.
-    Returns the new table."""
-    spark = updates.sparkSession
-    old = stored(spark, path)
-    fresh = with_day(updates, time)
-    rows = fresh.withColumn("_rank", F.lit(1))
-    if old is not None:
-        fresh = widen(old.schema, fresh)
-        rows = widen(fresh.schema, days_of(old, fresh)).withColumn("_rank", F.lit(0)).unionByName(fresh.withColumn("_rank", F.lit(1)))
-    write_by_day(cut_lineage(keep_last(rows, keys, ["_rank"])).drop("_rank", DAY), path, "overwrite", time)
-    return stored(spark, path).drop(DAY)
+    """Replace whole rows of a day-partitioned table: among equal keys (which include the time) the update wins. Only the days in
+    the updates are read and replaced. Returns the new table."""
+
+    def combine(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        both = rows.withColumn("_rank", F.lit(1))
+        if old is not None:
+            both = old.withColumn("_rank", F.lit(0)).unionByName(both)
+        return keep_last(both, keys, ["_rank"]).drop("_rank")
+
+    snapshots.merge(updates, path, combine, keys, time)
+    return stored(updates.sparkSession, path).drop(DAY)
 
 
 def save_with_metadata(df: DataFrame, path: str, metadata_path: str, steps: Sequence[str], generated_on: str) -> None:

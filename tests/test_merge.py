@@ -12,7 +12,7 @@ from airgrid.operators import dedup, joins, reshape
 from airgrid.plans.merge import carry_raw, merge_sources
 from airgrid.schema import KEY, POLLUTANTS, STATION_DUMP, WEATHER_NUMERIC, WIDE_CSV
 from airgrid.session import shared_dir
-from airgrid.sources import readers, writers
+from airgrid.sources import readers, snapshots, writers
 
 T0 = dt.datetime(2024, 1, 1)
 KIND = "time TIMESTAMP_NTZ, station STRING, pm25 DOUBLE, pm10 DOUBLE, no2 DOUBLE"
@@ -128,12 +128,12 @@ def test_stored_upsert_rewrites_only_touched_days(spark):
     old = spark.createDataFrame([(T0, "A", 1.0, None, None), (T0 + dt.timedelta(days=1), "A", 2.0, None, None)], KIND)
     new = spark.createDataFrame([(T0, "A", None, 7.0, None), (T0 + dt.timedelta(days=2), "B", 3.0, None, None)], KIND)
     writers.write_by_day(old, out)
-    untouched = {f for f in spark.read.parquet(out).inputFiles() if "date=2024-01-02" in f}
+    untouched = {f for f in writers.stored(spark, out).inputFiles() if "date=2024-01-02" in f}
     for _ in range(2):
         writers.upsert_by_day(new, out)
-        got = rows(spark.read.parquet(out), "time", "station", "pm25", "pm10")
+        got = rows(writers.stored(spark, out), "time", "station", "pm25", "pm10")
         assert got == [(T0, "A", 1.0, 7.0), (T0 + dt.timedelta(days=1), "A", 2.0, None), (T0 + dt.timedelta(days=2), "B", 3.0, None)]
-    assert untouched and untouched <= set(spark.read.parquet(out).inputFiles())
+    assert untouched and untouched <= set(writers.stored(spark, out).inputFiles())
 
 
 def test_insert_new_and_keep_last(spark):
@@ -142,7 +142,7 @@ def test_insert_new_and_keep_last(spark):
     out = folder(spark)
     for frame in (a, b, b):
         writers.insert_new(frame, out, KEY)
-    assert rows(spark.read.parquet(out), "station", "pm25") == [("A", 1.0), ("B", 2.0)]
+    assert rows(writers.stored(spark, out), "station", "pm25") == [("A", 1.0), ("B", 2.0)]
     out = folder(spark)
     writers.upsert_keep_last(a, out)
     assert rows(writers.upsert_keep_last(b, out), "station", "pm25") == [("A", 9.0), ("B", 2.0)]
@@ -187,11 +187,12 @@ def test_pivot_takes_the_first_by_order(spark):
 def test_update_with_a_new_column_reads_only_its_days(spark):
     out = folder(spark)
     writers.write_by_day(spark.createDataFrame([(T0 + dt.timedelta(days=i), "A", 1.0, None, None) for i in range(5)], KIND), out)
-    landed = folder(spark)
-    spark.createDataFrame([(T0, "A", 5.0)], "time TIMESTAMP_NTZ, station STRING, pm1 DOUBLE").write.parquet(landed)
-    update = writers.with_day(spark.read.parquet(landed))
-    plan = writers.days_of(writers.stored(spark, out), update)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(date" in plan and "2024" in plan
-    writers.upsert_by_day(spark.read.parquet(landed), out)
-    got = {r.time: (r.pm25, r.pm1) for r in writers.stored(spark, out).collect()}
+    assert all("date=2024-01-01" in f for f in snapshots.read(spark, out, days=["2024-01-01"]).inputFiles())
+    before = set(writers.stored(spark, out).inputFiles())
+    writers.upsert_by_day(spark.createDataFrame([(T0, "A", 5.0)], "time TIMESTAMP_NTZ, station STRING, pm1 DOUBLE"), out)
+    table = writers.stored(spark, out)
+    assert len(before - set(table.inputFiles())) == 1
+    got = {r.time: (r.pm25, r.pm1) for r in table.collect()}
     assert got[T0] == (1.0, 5.0) and len(got) == 5 and got[T0 + dt.timedelta(days=4)] == (1.0, None)
+    plan = table.where("date = DATE '2024-01-03'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
