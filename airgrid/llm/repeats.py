@@ -10,6 +10,7 @@ stands for the bytes in the middle, so what is compared is the few bytes before
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.batches import small
-from airgrid.session import cut_lineage
+from airgrid.session import cut_lineage, shared_dir
 
 # Perfect difference sets: every difference modulo v comes from exactly one pair (fixed values).
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -68,10 +69,10 @@ class Cover:
         return (place + np.repeat(starts, room))[self.sampled[place % self.v]]
 
 
-def squeezed(*columns: np.ndarray) -> bytes:
+def squeezed(*columns: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
 
 def loosened(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
@@ -84,8 +85,8 @@ def loosened(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-# A chunk's documents: ids (null: the smallest), hashes of the texts and sizes as columns, the bytes of all texts.
-CHUNK = "chunk LONG, docs INT, bytes LONG, about BINARY, data BINARY"
+# A chunk's documents: ids, hashes of the texts (of 64 bits for the order, of 128 to find copies) and their sizes; the bytes of all texts.
+CHUNK = "chunk LONG, docs INT, bytes LONG, ids ARRAY<LONG>, marks ARRAY<LONG>, digests ARRAY<BINARY>, sizes ARRAY<LONG>, data BINARY"
 
 
 def chunked(documents: DataFrame, chunk_bytes: int, doc_id: str, text: str) -> DataFrame:
@@ -96,8 +97,10 @@ def chunked(documents: DataFrame, chunk_bytes: int, doc_id: str, text: str) -> D
 
         def close():
             data = np.frombuffer(b"".join(texts), "uint8")
-            about = squeezed(np.array([x or 0 for x in keys], "<i8"), np.array([x is not None for x in keys], "uint8"), np.array(hashes, "<i8"), np.array([len(t) for t in texts], "<i8"))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([chunk], [len(texts)], [len(data)], [about], [squeezed(data)]), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "docs", "bytes", "about", "data"])
+            digests = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            row = (chunk, len(texts), len(data), keys, hashes, digests, [len(t) for t in texts], squeezed(data, level=3))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names=[c.split(" ")[0] for c in CHUNK.split(", ")])
 
         for batch in small(batches):
             for key, mark, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -117,11 +120,28 @@ def chunked(documents: DataFrame, chunk_bytes: int, doc_id: str, text: str) -> D
 
 class Chunk:
     def __init__(self, row: dict):
-        self.id, self.docs = row["chunk"], row["docs"]
-        self.key, self.known, self.mark, size = loosened(row["about"], self.docs, "<i8", "uint8", "<i8", "<i8")
+        self.id = row["chunk"]
+        self.key = np.array([x or 0 for x in row["ids"]], "<i8")
+        self.known = np.array([x is not None for x in row["ids"]], "uint8")
+        self.mark = np.array(row["marks"], "<i8")
         self.data = loosened(row["data"], row["bytes"], "uint8")[0]
-        self.ends = np.cumsum(size)
-        self.starts = self.ends - size
+        self.ends = np.cumsum(np.array(row["sizes"], "int64"))
+        self.starts = self.ends - row["sizes"]
+        self.copy = np.zeros(len(self.key), bool)  # documents whose whole text is an earlier one's
+        for own in row["copies"] or []:
+            self.copy[own["copies"]] = True
+
+    def samples(self, cover: Cover) -> np.ndarray:
+        return cover.samples(self.starts[~self.copy], self.ends[~self.copy])
+
+
+def copies_of(chunks: DataFrame) -> DataFrame:
+    """``chunk, copies``: the places in their chunk of the documents whose text is that of an earlier document."""
+    place = F.posexplode(F.arrays_zip("ids", "marks", "digests"))
+    docs = chunks.select("chunk", place).select("chunk", "pos", F.col("col.digests").alias("digest"), F.struct(F.col("col.ids").isNotNull().alias("known"), F.col("col.ids").alias("id"), F.col("col.marks").alias("mark")).alias("own"))
+    first = docs.groupBy("digest").agg(F.min("own").alias("first"), F.max("own").alias("last")).filter("first <> last")
+    later = docs.join(first, "digest").filter(~F.col("own").eqNullSafe(F.col("first")))
+    return later.groupBy("chunk").agg(F.collect_list("pos").alias("copies"))
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -173,7 +193,7 @@ def name_samples(cover: Cover, bits: int):
     def run(batches):
         for row in rows_of(batches):
             c = Chunk(row)
-            at = cover.samples(c.starts, c.ends)
+            at = c.samples(cover)
             names, times = np.unique(cover.names(c.data, at, cover.named), return_counts=True)
             bucket = (names >> np.uint64(64 - bits)).astype("int64") if bits else np.zeros(len(names), "int64")
             out = []
@@ -235,7 +255,7 @@ def suffixes(cover: Cover, bits: int, buckets: int):
             names, is_hot = np.concatenate(names), np.concatenate(is_hot).astype(bool)
             order = np.argsort(names)
             names, is_hot = names[order], is_hot[order]
-            at = cover.samples(c.starts, c.ends)
+            at = c.samples(cover)
             rank = cover.names(c.data, at, cover.named)
             # What a bucket was sent: its own bits and the 40 behind them.
             kept = rank >> np.uint64(24 - bits) << np.uint64(24 - bits) if bits < 24 else rank
@@ -384,6 +404,8 @@ def cut_out(cover: Cover, keep: bool):
                 at, bits = loosened(r["found"], r["n"], "<i8", f"({width},)u1")
                 which, offset = np.nonzero(np.unpackbits(bits, axis=1))
                 begins[at[which] - offset] = True
+            for a, b in zip(c.starts[c.copy], c.ends[c.copy]):
+                begins[a : max(a, b - cover.length + 1)] = True
             sums = np.cumsum(begins, dtype="int32")
             gone = sums > 0
             gone[cover.length :] = sums[cover.length :] > sums[: -cover.length]
@@ -404,9 +426,21 @@ def schema(kinds: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{c} {said[t]}" for c, t in kinds.items())
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame, how: str) -> DataFrame:
-    own = replies.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in replies.columns if c != "chunk"])).alias("replies"))
-    return chunks.join(own, "chunk", how)
+def with_replies(chunks: DataFrame, how: str = "left", **replies: DataFrame) -> DataFrame:
+    """Chunks with the replies to each as a list of rows; the chunks, stored by bucket, are not shuffled."""
+    out = chunks
+    for name, rows in replies.items():
+        own = rows.groupBy("chunk").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "chunk"])).alias(name))
+        out = out.join(own.hint("merge"), "chunk", how if name != "copies" else "left")
+    return out
+
+
+def stored_by_bucket(chunks: DataFrame) -> DataFrame:
+    """The chunks as a table in the shared folder that is divided by chunk, so that later joins leave it where it is."""
+    spark, name = chunks.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def remove_repeats(documents: DataFrame, length: int = 100, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, keep: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,20 +452,23 @@ def remove_repeats(documents: DataFrame, length: int = 100, chunk_bytes: int = C
     their text; rows equal in id and text are one document and get the same result. An empty table gives an empty
     table; other columns are not read.
 
-    Texts are held in chunks of about ``chunk_bytes`` (a longer text is a chunk of its own), compressed and written once. A rank
+    Texts are held in chunks of about ``chunk_bytes`` (a longer text is a chunk of its own), compressed and written once, as a
+    table of the session's catalog that lies in the shared folder. Documents whose whole text is an earlier one's
+    (by 128 bits of hash) have no part in the sorting. A rank
     that more than ``hot`` samples share does not meet in one bucket: the passages over it do, each by itself (by 128 bits of name).
     All others are compared byte by byte.
     """
     cover = Cover(length)
-    chunks = cut_lineage(chunked(documents, chunk_bytes, doc_id, text))
+    chunks = stored_by_bucket(chunked(documents, chunk_bytes, doc_id, text))
+    copies = cut_lineage(copies_of(chunks))
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     share = 5 * int(cover.sampled.sum()) / cover.v  # bytes of names per byte of text
     bits = max(0, int(total * share / bucket_bytes).bit_length())
-    named = dealt(chunks.mapInArrow(name_samples(cover, bits), schema(NAMED)), "bucket")
+    named = dealt(with_replies(chunks, copies=copies).mapInArrow(name_samples(cover, bits), schema(NAMED)), "bucket")
     tied = cut_lineage(named.mapInArrow(tied_names(hot), schema(TIED)))
     samples = tied.agg(F.sum("n_samples")).first()[0] or 0
     buckets = 1 + samples * (length + cover.reach + 57) // bucket_bytes
-    asked = with_replies(chunks, tied.select("chunk", "bucket", "n", "tied"), "inner")
+    asked = with_replies(chunks, "inner", replies=tied.select("chunk", "bucket", "n", "tied"), copies=copies)
     dealt_out = asked.mapInArrow(suffixes(cover, bits, buckets), schema(SUFFIXES)).withColumn("bucket", F.col("bucket") * 2 + F.col("whole").cast("long"))
     later = cut_lineage(dealt(dealt_out, "bucket").mapInArrow(sort_bucket(cover), schema(LATER)))
-    return with_replies(chunks, later, "left").mapInArrow(cut_out(cover, keep), schema(CUT))
+    return with_replies(chunks, replies=later, copies=copies).mapInArrow(cut_out(cover, keep), schema(CUT))
