@@ -8,7 +8,6 @@ often a pair is linked beyond once.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -19,11 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.llm.batches import small
-from airgrid.llm.tokens import byte_letters
+from airgrid.llm.tokens import ByteIds, byte_letters
 from airgrid.session import cut_lineage
 
-# The pattern that byte-level files of this kind split a text with before they merge (a fixed value of the format).
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_DOCS = 1 << 16  # slots are 16-bit numbers
 BLOCK_LINKS = 1 << 22  # a block ends with the batch that brings it to so many postings
 CHUNK_TOKENS = 1 << 19
@@ -33,39 +30,24 @@ LONG_TEXT = 1 << 16
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """The bytes of each ordinary token of a byte-level file, by id. Merges have to be numbered in the order of their ranks."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
-    letters = {c: b for b, c in byte_letters().items()}
-    special = {t["content"] for t in said.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
-    merges = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
-    order = [ranks[bytes(letters[c] for c in a + b)] for a, b in merges]
-    if order != sorted(order) or sorted(ranks.values()) != list(range(len(ranks))):
-        raise ValueError(f"the ids of {path} do not follow its merges")
-    return ranks
-
-
 class Aligner:
     """Both tokenizers and the bytes of their tokens; kept by a Python worker between its tasks."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        import tiktoken
 
-        ranks = byte_ranks(path_a)
-        # The same merges as in the file, by a faster library; no special tokens, so their strings are plain text.
-        self.a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.a = ByteIds(path_a, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        bytes_a = [x for x, _ in sorted(ranks.items(), key=lambda r: r[1])]
+        letters = {c: b for b, c in byte_letters().items()}
+        own = self.a.tokenizer
+        self.bytes_a = [bytes(letters.get(c, 0) for c in own.id_to_token(i) or "") for i in range(own.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.len_a = np.array([len(x) for x in bytes_a])
+        self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
         # No token of B reaches over a space between two words, so a long text can be cut there.
         self.by_words = not any("▁" in p.lstrip("▁") for p in pieces)
-        ids_a, ids_b = [str(i) for i in range(len(bytes_a))], [str(i) for i in range(len(pieces))]
+        ids_a, ids_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(pieces))]
         self.spelled = np.array([x + s for s in ",|" for x in ids_a] + [x + s for s in ",;" for x in ids_b], "S")
         self.width = np.char.str_len(self.spelled)
 
@@ -74,8 +56,8 @@ class Aligner:
         out = []
         for part in self.parts(text) if text else ():
             own = b" " + part.encode()
-            a, b = self.a.encode_ordinary(" " + part), self.b.encode(part)
-            if self.a.decode_bytes(a) != own or b"".join([self.bytes_b[i] for i in b]) != own:
+            a, b = self.a.tokens(" " + part), self.b.encode(part)
+            if b"".join([self.bytes_a[i] for i in a]) != own or b"".join([self.bytes_b[i] for i in b]) != own:
                 return []
             out.append((array("I", a), array("I", b)))
         return out

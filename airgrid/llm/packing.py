@@ -56,16 +56,16 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int, doc
 
         encoder, part, ranks = word_ids(tokenizer, True), TaskContext.get().partitionId(), Counter()
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
-        tail = np.array([end_id], "<u4").tobytes()
+        kind = "<u2" if narrow else "<u4"
         for batch in small(batches):
             rows = []
             for key, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.ids(words.as_py()) + tail, "<u4")
+                ids = np.array([*encoder.tokens(words.as_py()), end_id], kind)
                 first = (len(ids) - 1) % capacity + 1
                 ends = [0, *range(first, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(ends, ends[1:])):
                     own = ids[a:b]
-                    rows.append((key, piece, a, b - a, part, ranks[b - a], (own.astype("<u2") if narrow else own).tobytes()))
+                    rows.append((key, piece, a, b - a, part, ranks[b - a], own.tobytes()))
                     ranks[b - a] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, TYPES)], names=NAMES)
 

@@ -414,17 +414,33 @@ def test_toxicity(toxic):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_kept_words_give_the_ids_of_whole_texts(texts, name, spaced):
+ODD = ["a  b", "x\n\ny", " a", "a ", "\na", "a\n", "a \nb", "a\n b", "a\tb", "été É́ naïve", "İ ß ẞ Σς", "a\u200bb", "a\u3000b", "\x00a b", "a\x85b", "hi!!! a.b c,.", "don't I'm 'tis", "$$$ x%%%", "\u0301a b"]
+
+
+def test_kept_words_give_the_ids_of_whole_texts(texts):
     from airgrid.llm.tokens import WordIds
 
-    kept = WordIds(tokenizer(name), spaced, kept=50)
-    odd = ["a  b", "x\n\ny", " a", "a ", "\na", "a\n", "a \nb", "a\n b", "a\tb", "été É́ naïve", "İ ß ẞ Σς", "a​b", "a　b", "\x00a b", "a\x85b", "hi!!! a.b c,.", "don't I'm 'tis", "$$$ x%%%", "́a b"]
-    for text in [*filter(None, texts), *odd]:
+    name = "word_bpe_49k.json"
+    kept = WordIds(tokenizer(name), kept=50)
+    for text in [*filter(None, texts), *ODD]:
         assert np.frombuffer(kept.ids(text), "<u4").tolist() == encoded(name, text, 0)[:-1], text
     assert kept.ids(None) == kept.ids("") == b""
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_merges_by_rank_give_the_ids_of_the_library(texts, special):
+    from airgrid.llm.tokens import ByteIds
+
+    own = ByteIds(tokenizer("byte_bpe_50k.json"), special)
+    rng = np.random.default_rng(6)
+    kinds = [range(32, 127), range(0, 0x250), range(0x370, 0x3000), range(0x3000, 0xD800), range(0x1F300, 0x1FB00), (9, 10, 13, 32, 0x85, 0xA0, 0x2003)]
+    mixed = ["".join(chr(int(c)) for k in rng.integers(0, len(kinds), 6) for c in rng.choice(list(kinds[k]), int(rng.integers(1, 12)))) for _ in range(2000)]
+    vocabulary = [own.tokenizer.decode([i]) for i in range(own.tokenizer.get_vocab_size())]
+    for text in [*filter(None, texts), *ODD, "<|endoftext|> x<|endoftext|>", *mixed, *vocabulary, "x" * 5000, "ab c" * 3000]:
+        assert own.tokens(text) == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert own.merge and own.ids(None) == own.ids("") == b""
+
+
 def license_words(text):
     return [w for x in (text or "").encode().lower().split() if (w := x.strip(license_scan.EDGES))]
 
