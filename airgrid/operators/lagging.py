@@ -57,6 +57,13 @@ def profile_means(column: str, key: str = "station", time: str = "time") -> dict
     }
 
 
+def running_profiles(column: str, key: str = "station", time: str = "time") -> dict[str, Column]:
+    """As ``profile_means``, over the earlier rows only, so that nothing of the current value is in them. A recursive forecast
+    carries the same sums on."""
+    before = lambda part: W.partitionBy(key, part).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
+    return {f"{column}_hour_avg": F.avg(column).over(before(F.hour(time))), f"{column}_dow_avg": F.avg(column).over(before(F.weekday(time)))}
+
+
 def direction(column: str, key: str = "station", time: str = "time") -> Column:
     return F.signum(F.col(column) - F.lag(column).over(series(key, time)))
 

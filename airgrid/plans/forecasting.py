@@ -22,6 +22,7 @@ from airgrid.schema import WEATHER_NUMERIC
 from airgrid.session import cut_lineage
 
 ICON = "weather_icon"
+RATIO = "pm25_pm10_ratio"
 
 
 def future_weather(
@@ -66,14 +67,54 @@ def _rolled(history: Column, stat: str, width: int) -> Column:
     return F.sqrt(F.greatest(square - total * total / width, F.lit(0.0)) / (width - 1))
 
 
-def serving_features(columns: Sequence[str], history: Column, step: Column, weather: Sequence[str], past: int, target: str = TARGET) -> dict[str, Column]:
+# Sums and counts of the target by hour of day and by weekday.
+PROFILE = {"_hour_sum": 24, "_hour_n": 24, "_dow_sum": 7, "_dow_n": 7}
+
+
+def profiled(columns: Sequence[str], target: str) -> bool:
+    return any(c in (f"{target}_hour_avg", f"{target}_dow_avg") for c in columns)
+
+
+def profile_state(history: DataFrame, target: str) -> DataFrame:
+    """One row per station: the accumulators of its hour and weekday means, from one combined aggregate."""
+    value, known = F.col(target), F.col(target).isNotNull()
+    parts = {"_hour": (F.hour("time"), 24), "_dow": (F.weekday("time"), 7)}
+    sums = {f"{n}_sum": [F.coalesce(F.sum(F.when(at == i, value)), F.lit(0.0)).cast("double") for i in range(size)] for n, (at, size) in parts.items()}
+    counts = {f"{n}_n": [F.count_if((at == i) & known).cast("double") for i in range(size)] for n, (at, size) in parts.items()}
+    return history.groupBy("station").agg(*[F.array(*v).alias(n) for n, v in (sums | counts).items()])
+
+
+def profile_means_at(profile: dict[str, Column], t: Column, target: str) -> dict[str, Column]:
+    out = {}
+    for name, at in (("hour", F.hour(t)), ("dow", F.weekday(t))):
+        n = F.get(profile[f"_{name}_n"], at)
+        out[f"{target}_{name}_avg"] = F.when(n > 0, F.get(profile[f"_{name}_sum"], at) / n)
+    return out
+
+
+def profile_with(profile: dict[str, Column], t: Column, value: Column) -> dict[str, Column]:
+    """The accumulators with one more value."""
+
+    def added(values: Column, at: Column, add: Column) -> Column:
+        return F.transform(values, lambda x, i: F.when(i == at, x + add).otherwise(x))
+
+    out = {}
+    for name, at in (("hour", F.hour(t)), ("dow", F.weekday(t))):
+        out[f"_{name}_sum"] = added(profile[f"_{name}_sum"], at, value)
+        out[f"_{name}_n"] = added(profile[f"_{name}_n"], at, F.lit(1.0))
+    return out
+
+
+def serving_features(
+    columns: Sequence[str], history: Column, step: Column, weather: Sequence[str], past: int, target: str = TARGET, profile: dict[str, Column] | None = None,
+) -> dict[str, Column]:
     """Those of ``columns`` that look back or ahead, for the hour ``step`` hours after the history.
 
     ``history`` is oldest to newest, with nulls in front if it is short; weather arrays hold ``past`` past
-    hours and then the future ones.
+    hours and then the future ones. ``profile`` are the accumulators of hour and weekday means up to that hour.
     """
     at = lambda w, back: F.get(F.col(f"_w_{w}"), step + (past - 1 - back))
-    out: dict[str, Column] = {}
+    out: dict[str, Column] = profile_means_at(profile, _hour(step), target) if profile else {}
     for c in columns:
         name, _, tail = c.partition(f"{target}_")
         if not name and (m := re.fullmatch(r"lag_(\d+)h", tail)):
@@ -92,6 +133,8 @@ def serving_features(columns: Sequence[str], history: Column, step: Column, weat
             source = "temperature" if c.startswith("temp") else "humidity"
             if source in weather:
                 out[c] = at(source, 0) * F.hour(_hour(step))
+        elif c == RATIO and {"pm25", "pm10"} <= set(weather):
+            out[c] = at("pm25", 0) / (at("pm10", 0) + 0.001)
         elif c.startswith("weather_") and ICON in weather:
             out[c] = (icons.icon_code(at(ICON, 0)) == c.removeprefix("weather_")).cast("int")
     return out
@@ -101,8 +144,8 @@ def _hour(step: Column) -> Column:
     return (F.col("_last") + F.make_interval(hours=step)).cast("timestamp_ntz")
 
 
-def station_state(history: DataFrame, steps: int, weather: Sequence[str], forecast: DataFrame | None, target: str, past: int) -> DataFrame:
-    """One row per station: newest time, newest target values, past and future weather as arrays.
+def station_state(history: DataFrame, steps: int, weather: Sequence[str], forecast: DataFrame | None, target: str, past: int, profile: bool = False) -> DataFrame:
+    """One row per station: newest time, newest target values, past and future weather as arrays, with ``profile`` the accumulators.
 
     Only the newest ``past`` rows per station are gathered; a shorter series is filled with nulls in front.
     """
@@ -120,23 +163,29 @@ def station_state(history: DataFrame, steps: int, weather: Sequence[str], foreca
         return F.concat(F.array_repeat(F.lit(None).cast(kind), F.greatest(F.lit(past) - F.size(rows), F.lit(0))), values)
 
     kinds = dict(history.dtypes)
-    return latest.join(ahead, "station").select(
+    both = latest.join(ahead, "station")
+    if profile:
+        both = both.join(profile_state(history, target), "station")
+    return both.select(
         "station", "_last", padded(rows[target], "double").alias("_history"),
         *[F.concat(padded(rows[w], kinds[w]), coming[w]).alias(f"_w_{w}") for w in weather],
+        *(PROFILE if profile else ()),
         F.array().cast("array<double>").alias("_made"),
     )
 
 
 def step_columns(
     columns: Sequence[str], stations: Sequence[str], weather: Sequence[str], target: str, past: int,
-    history: Column | None = None, step: Column | None = None,
+    history: Column | None = None, step: Column | None = None, profile: dict[str, Column] | None = None,
 ) -> dict[str, Column]:
     """The model's columns of the hour ``step`` hours after the history, in the model's order. They refer to
     the state only, so they are built once for all steps. A column that cannot be known ahead is an error."""
     history, step = F.col("_history") if history is None else history, F.col("_step") if step is None else step
     t = _hour(step)
     made = clock.calendar(t) | clock.cyclic_calendar(t) | clock.period_flags(t)
-    made |= serving_features(columns, history, step, weather, past, target)
+    if profile is None and profiled(columns, target):
+        profile = {c: F.col(c) for c in PROFILE}
+    made |= serving_features(columns, history, step, weather, past, target, profile)
     made |= {f"station_{s}": (F.col("station") == s).cast("int") for s in stations}
     unknown = [c for c in columns if c not in made]
     if unknown:
@@ -144,8 +193,10 @@ def step_columns(
     return {c: made[c].cast("double") for c in columns}
 
 
-def _weather_in(history: DataFrame, weather: Sequence[str]) -> list[str]:
-    return [w for w in [*weather, ICON] if w in history.columns]
+def _weather_in(history: DataFrame, weather: Sequence[str], columns: Sequence[str]) -> list[str]:
+    """What is carried or forecast besides the target; the ratio of two pollutants stays at their last values."""
+    extra = ["pm25", "pm10"] if RATIO in columns else []
+    return [w for w in dict.fromkeys([*weather, *extra, ICON]) if w in history.columns]
 
 
 def next_hour_features(
@@ -153,8 +204,8 @@ def next_hour_features(
     forecast: DataFrame | None = None, target: str = TARGET, categories: Sequence[str] = (),
 ) -> DataFrame:
     """What a model is served for the first hour after each station's history."""
-    weather, past = _weather_in(history, weather), rows_needed(columns)
-    state = station_state(history, 1, weather, forecast, target, past).withColumn("_step", F.lit(1))
+    weather, past = _weather_in(history, weather, columns), rows_needed(columns)
+    state = station_state(history, 1, weather, forecast, target, past, profiled(columns, target)).withColumn("_step", F.lit(1))
     made = step_columns(columns, stations, weather, target, past)
     sky = [weather_code(F.lit(1), past).alias("weather")] if "weather" in categories else []
     return state.select("station", _hour(F.lit(1)).alias("time"), *[v.alias(c) for c, v in made.items()], *sky)
@@ -205,8 +256,8 @@ def recursive_forecast(
     """
     if set(categories) - {"station", "weather"}:
         raise ValueError(f"not known ahead of time: {categories}")
-    weather, past = _weather_in(history, weather), rows_needed(columns)
-    start = station_state(history, steps, weather, forecast, target, past)
+    weather, past = _weather_in(history, weather, columns), rows_needed(columns)
+    start = station_state(history, steps, weather, forecast, target, past, profiled(columns, target))
     linear = linear_terms(model, columns)
     if linear:
         state = _folded(linear, start, columns, steps, stations, weather, target, past)
@@ -222,16 +273,28 @@ def _folded(
     effects = start.sparkSession.createDataFrame(list(model.levels.get("station", {}).items()), "station STRING, _effect DOUBLE")
     sky = model.levels.get("weather", {})
 
-    def add(made: Column, step: Column) -> Column:
-        values = step_columns(columns, stations, weather, target, past, F.concat("_history", made), step)
+    def value(made: Column, step: Column, profile: dict[str, Column] | None) -> Column:
+        values = step_columns(columns, stations, weather, target, past, F.concat("_history", made), step, profile)
         terms = [F.coalesce(v, F.lit(m)) * w for v, m, w in zip(values.values(), model.means, model.weights)]
         if sky:
             terms.append(icons.lookup(sky, weather_code(step, past), F.lit(0.0)))
         total = sum(terms, F.coalesce("_effect", F.lit(0.0)) + F.lit(model.intercept))
-        return F.concat(made, F.array(F.greatest(total, F.lit(0.0))))
+        return F.greatest(total, F.lit(0.0))
+
+    def add(made: Column, step: Column) -> Column:
+        return F.concat(made, F.array(value(made, step, None)))
+
+    def add_profiled(state: Column, step: Column) -> Column:
+        """With accumulators: the value is bound once, then added to the forecasts and to the means of its hour and weekday."""
+        profile = {c: state[c] for c in PROFILE}
+        once = F.array(value(state["_made"], step, profile))
+        return F.transform(once, lambda v: F.struct(F.concat(state["_made"], F.array(v)).alias("_made"), *[x.alias(c) for c, x in profile_with(profile, _hour(step), v).items()]))[0]
 
     joined = start.join(effects, "station", "left")
-    return joined.withColumn("_made", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("_made"), add))
+    every = F.sequence(F.lit(1), F.lit(steps))
+    if profiled(columns, target):
+        return joined.withColumn("_made", F.aggregate(every, F.struct("_made", *PROFILE), add_profiled)["_made"])
+    return joined.withColumn("_made", F.aggregate(every, F.col("_made"), add))
 
 
 def _stepwise(
@@ -250,6 +313,8 @@ def _stepwise(
         F.concat(F.slice("_history", 2, past), F.array(value)).alias("_history"),
         F.concat(F.col("_made"), F.array(value)).alias("_made"), (F.col("_step") + 1).alias("_step"),
     ]
+    if profiled(columns, target):
+        moved += [x.alias(c) for c, x in profile_with({c: F.col(c) for c in PROFILE}, _hour(F.col("_step")), value).items()]
     state = cut_lineage(start.withColumn("_step", F.lit(1)))
     for step in range(1, steps + 1):
         state = rest.transform(state.select("*", *inputs)).select(*moved)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airgrid.functions.clock import floor_to, utc_to_local
 from airgrid.functions.scales import score
@@ -18,38 +25,77 @@ from airgrid.session import cut_lineage
 from airgrid.schema import KEY, POLLUTANTS, WEATHER, WEATHER_NUMERIC
 
 
-def carry_raw(
-    df: DataFrame, columns: list[str], order: list[str], key: str = "station", time: str = "time", chunk: str = "minute",
-) -> DataFrame:
-    """Forward then backward fill of raw rows per key, without sorting a key's rows in one task.
+def carry_raw(df: DataFrame, columns: list[str], order: list[str], key: str = "station", time: str = "time", parts: int | None = None) -> DataFrame:
+    """Forward then backward fill of raw rows per key, as a segmented scan.
 
-    Rows are filled inside short time chunks; what a chunk passes on (its first and last known values)
-    is carried between chunks, which are few per key.
+    Rows are dealt into ``parts`` ranges of (key, time, order) of about equal size, so neither a busy key nor a busy minute lies in
+    one task; each range is filled forward in one pass over its sorted rows and written. What a range passes on, the first and
+    last known value of each of its keys, is carried over the ranges and added in a second pass. ``order`` makes
+    rows of one time unique. Rows without a key or a time have no place in a series: they stay as they are.
     """
-    cut = df.withColumn("_chunk", F.date_trunc(chunk, time))
-    ranked = F.struct(time, *order)
-    ends = cut.groupBy(key, "_chunk").agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), ranked)).alias(f"_first_{c}") for c in columns],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), ranked)).alias(f"_last_{c}") for c in columns],
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lost = F.col(key).isNull() | F.col(time).isNull()
+    sort = [F.col(c) for c in (key, time, *order)]
+    filled = {c: f"_filled_{c}" for c in columns}
+    # Rows without a place are spread by a hash, so that many of them fill several ranges too.
+    spread = F.when(lost, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(4 * n)) + 1).otherwise(0)
+    ranged = df.withColumn("_lost", spread).repartitionByRange(n, "_lost", *sort).sortWithinPartitions("_lost", *sort)
+    scanned = cut_lineage(ranged.mapInArrow(partial(_fill_forward, columns, key), _scanned_schema(df, columns)))
+    known = [F.when(F.col(f).isNotNull(), F.struct(time, *order)) for f in filled.values()]
+    ends = scanned.where("_lost = 0").groupBy(key, "_part").agg(
+        *[F.min_by(f, k).alias(f"_first_{c}") for (c, f), k in zip(filled.items(), known)],
+        *[F.max_by(f, k).alias(f"_last_{c}") for (c, f), k in zip(filled.items(), known)],
     )
-    back = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    ahead = W.partitionBy(key).orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(key).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, 0)
     passed = ends.select(
-        key, "_chunk",
+        key, "_part",
         *[F.last(f"_last_{c}", ignorenulls=True).over(back).alias(f"_in_{c}") for c in columns],
         *[F.last(f"_first_{c}", ignorenulls=True).over(ahead).alias(f"_out_{c}") for c in columns],
     )
-    inside = W.partitionBy(key, "_chunk").orderBy(time, *order).rowsBetween(W.unboundedPreceding, 0)
-    reverse = W.partitionBy(key, "_chunk").orderBy(F.desc(time), *[F.desc(o) for o in order]).rowsBetween(W.unboundedPreceding, 0)
-    joined = cut.join(passed, [key, "_chunk"])
-    filled = {
-        c: F.coalesce(
-            F.last(c, ignorenulls=True).over(inside), F.col(f"_in_{c}"),
-            F.last(c, ignorenulls=True).over(reverse), F.col(f"_out_{c}"),
-        )
-        for c in columns
-    }
-    return joined.withColumns(filled).select(*df.columns)
+    joined = scanned.join(passed, [key, "_part"], "left")
+    value = {c: F.when(F.col("_lost") == 0, F.coalesce(filled[c], f"_in_{c}", f"_out_{c}")).otherwise(F.col(c)) for c in columns}
+    return joined.withColumns(value).select(*[f"`{c}`" for c in df.columns])
+
+
+def _scanned_schema(df: DataFrame, columns: list[str]) -> T.StructType:
+    added = [T.StructField("_lost", T.LongType()), *[T.StructField(f"_filled_{c}", df.schema[c].dataType) for c in columns], T.StructField("_part", T.IntegerType())]
+    return T.StructType([*df.schema.fields, *added])
+
+
+def _fill_forward(columns: list[str], key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the last known value of the key in this task's sorted rows, batch by batch; holds one value per column between them."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    last_key, carried = None, {}
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        keys = batch.column(key)
+        lost = batch.column("_lost").to_numpy(zero_copy_only=False) > 0
+        new = np.ones(n, bool)
+        new[1:] = pc.fill_null(pc.not_equal(keys.slice(0, n - 1), keys.slice(1)), True).to_numpy(zero_copy_only=False)
+        new |= lost
+        goes_on = not lost[0] and last_key is not None and keys[0].as_py() == last_key
+        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        arrays = list(batch.columns)
+        for c in columns:
+            values = batch.column(c)
+            known = pc.is_valid(values).to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(known, np.arange(n), -1))
+            none = at < start
+            # The value carried from the batch before stands in front of the column.
+            front = carried.get(c) if goes_on else None
+            source = pa.concat_arrays([pa.array([front], values.type), values])
+            take = np.where(none, 0, at + 1)
+            arrays.append(source.take(pa.array(take, mask=none & ((start > 0) | lost))))
+        last_key = None if lost[-1] else keys[n - 1].as_py()
+        carried = {c: arrays[len(batch.columns) + i][n - 1].as_py() for i, c in enumerate(columns)}
+        arrays.append(pa.array(np.full(n, part), pa.int32()))
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[f"_filled_{c}" for c in columns], "_part"])
 
 
 def score_then_average(raw: DataFrame, time: str = "time", scale: str = "rounded") -> DataFrame:

@@ -8,7 +8,7 @@ from airgrid.functions import icons
 from airgrid.functions.rows import clip
 from airgrid.operators import evaluate, lagging, reshape, season
 from airgrid.operators.outliers import clean_training_series, training_bounds
-from airgrid.plans import clusters, feeds, forecasting, training
+from airgrid.plans import clusters, feeds, forecasting, station_models, training
 from airgrid.plans import features as plan
 from airgrid.queries import sqlbase as s
 from airgrid.queries.gaps import model_gaps, target
@@ -299,6 +299,139 @@ def _(spark, d):
     return forecasting.recursive_forecast(model, history, columns, 24)
 
 
+_STEPS = 48
+_PROFILES = ["hour_avg", "dow_avg"]
+
+
+def _sum_of(part: str) -> str:
+    """Sum and number of the forecasts so far that fall on the hour or weekday of the next one."""
+    same = f"[made[i] FOR i IN range(1, len(made) + 1) IF {part}(last + i * INTERVAL 1 HOUR) = {part}(last + (horizon + 1) * INTERVAL 1 HOUR)]"
+    return f"coalesce(list_sum({same}), 0)", f"len({same})"
+
+
+@query(
+    "recursive_profiles", "K2 K1 E6",
+    s.cte(
+        "target",
+        p=f"SELECT station, time, {Y} AS y, avg({Y}) OVER (PARTITION BY station, hour(time) ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x1, "
+          f"avg({Y}) OVER (PARTITION BY station, dayofweek(time) ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x2 FROM target",
+        k="SELECT * FROM p WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
+        c="SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, regr_sxx(y, x1) AS s11, regr_sxx(y, x2) AS s22, regr_sxy(x1, x2) AS s12, regr_sxy(y, x1) AS s1, regr_sxy(y, x2) AS s2 FROM k",
+        b="SELECT *, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM c",
+        m="SELECT b1, b2, my - b1 * m1 - b2 * m2 AS a FROM b",
+        h=f"SELECT station, hour(time) AS hour, sum({Y}) AS hs, count({Y}) AS hn FROM target GROUP BY 1, 2",
+        w=f"SELECT station, dayofweek(time) AS dow, sum({Y}) AS ws, count({Y}) AS wn FROM target GROUP BY 1, 2",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", steps AS (SELECT station, max(time) AS last, 0 AS horizon, CAST([] AS DOUBLE[]) AS made FROM target GROUP BY 1 UNION ALL "
+    "SELECT s.station, last, horizon + 1, list_append(made, greatest(0, a + "
+    f"b1 * (hs + {_sum_of('hour')[0]}) / (hn + {_sum_of('hour')[1]}) + b2 * (ws + {_sum_of('dayofweek')[0]}) / (wn + {_sum_of('dayofweek')[1]}))) "
+    "FROM steps s JOIN h ON h.station = s.station AND h.hour = hour(last + (horizon + 1) * INTERVAL 1 HOUR) "
+    f"JOIN w ON w.station = s.station AND w.dow = dayofweek(last + (horizon + 1) * INTERVAL 1 HOUR), m WHERE horizon < {_STEPS}) "
+    f"SELECT station, last + i * INTERVAL 1 HOUR AS time, CAST(i AS INTEGER) AS horizon, made[i] AS forecast FROM steps, range(1, {_STEPS} + 1) r(i) WHERE horizon = {_STEPS}",
+    "forecast",
+)
+def _(spark, d):
+    """48 recursive hours of a model that sees the means of the hour and the weekday, which take up every forecast made."""
+    history = cut_lineage(target(spark, d))
+    columns = [f"{Y}_{p}" for p in _PROFILES]
+    train = history.withColumns(lagging.running_profiles(Y)).na.drop("any", subset=[Y, *columns])
+    model = training.fit_models(train, columns, ["linear"], with_ridge=False)["linear"]
+    return forecasting.recursive_forecast(model, history, columns, _STEPS)
+
+
+@query("recursive_week", "K2 K9")
+def _(spark, d):
+    """168 recursive hours over lags, profiles, persisted weather and the persisted ratio of two pollutants."""
+    history = cut_lineage(plan.prepare(model_gaps(spark, d), [Y, *WEATHER_NUMERIC]).join(feeds.hourly_wide(spark, d).select("station", "time", "pm25", "pm10"), ["station", "time"], "left"))
+    ratio = {forecasting.RATIO: F.col("pm25") / (F.col("pm10") + 0.001)}
+    frame = cut_lineage(plan.pooled(history).withColumns(lagging.running_profiles(Y) | ratio))
+    columns = plan.feature_columns(frame)
+    model = training.fit_models(frame, columns, ["linear"], with_ridge=False, categories=["station"])["linear"]
+    return forecasting.recursive_forecast(model, history, columns, 168, categories=["station"])
+
+
+MANY_STATIONS = 1500
+# A station per user modulo so many; value by a feature that differs between the rows of a station.
+_MANY = f"SELECT 'U' || (user_id % {MANY_STATIONS}) AS station, ts AS time, value, CAST(hour(ts) AS DOUBLE) AS hour, CAST(dayofyear(ts) AS DOUBLE) AS day FROM events"
+_MANY_TRAIN = "SELECT * FROM many WHERE value IS NOT NULL AND dayofmonth(time) <= 20"
+
+
+def many_stations(spark, d):
+    """Readings of up to 1500 stations with two calendar features; the first 20 days of a month are for training."""
+    e = feeds.events(spark, d)
+    rows = e.select(
+        F.concat(F.lit("U"), (F.col("user_id") % MANY_STATIONS).cast("string")).alias("station"), F.col("ts").alias("time"), "value",
+        F.hour("ts").cast("double").alias("hour"), F.dayofyear("ts").cast("double").alias("day"),
+    )
+    return rows, rows.where((F.dayofmonth("time") <= 20) & F.col("value").isNotNull())
+
+
+def kept_models(spark, models):
+    """The models as they come back from their table, stored twice and beside others of the same stations."""
+    import uuid
+
+    from airgrid.session import shared_dir
+
+    path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    station_models.store(models.withColumns({"kind": F.lit("older"), "intercept": F.lit(0.0)}), path)
+    station_models.store(models.withColumn("intercept", F.lit(-1.0)), path)
+    station_models.store(models, path)
+    return station_models.load(spark, path)
+
+
+@query(
+    "stored_station_models", "J11 J3 J13",
+    "WITH many AS (" + _MANY + "), train AS (" + _MANY_TRAIN + "), m AS (SELECT station, count(*) AS n, regr_slope(value, hour) AS b, regr_intercept(value, hour) AS a, avg(value) AS mean FROM train GROUP BY 1) "
+    "SELECT many.station, time, many.value, n, greatest(0, coalesce(a + b * hour, mean)) AS prediction FROM many JOIN m ON m.station = many.station WHERE dayofmonth(time) > 20", "value prediction",
+)
+def _(spark, d):
+    """A linear model for each of up to 1500 stations, fitted in one job, stored by station, reloaded and applied."""
+    rows, train = many_stations(spark, d)
+    models = kept_models(spark, station_models.fit_linear(train, ["hour"], "value"))
+    scored = station_models.score(rows.where(F.dayofmonth("time") > 20), models, ["hour"], "linear")
+    counts = models.where("kind = 'linear'").select("station", "n")
+    return scored.join(counts, "station").select("station", "time", "value", "n", "prediction")
+
+
+def _round_sql(k: int, rate: float) -> dict[str, str]:
+    """One round of boosting on ``e{k}`` (row, station, hour, day, residual): the best split of each station, and the next residuals."""
+    sides = []
+    for i, f in enumerate(("hour", "day")):
+        sides.append(
+            f"SELECT station, {i} AS feature, {f} AS threshold, sum(sum(res)) OVER w AS ls, sum(count(*)) OVER w AS ln, lead({f}) OVER w AS following, "
+            f"sum(sum(res)) OVER (PARTITION BY station) AS ts, sum(count(*)) OVER (PARTITION BY station) AS tn FROM e{k} GROUP BY station, {f} WINDOW w AS (PARTITION BY station ORDER BY {f})"
+        )
+    return {
+        f"s{k}": " UNION ALL ".join(f"SELECT * FROM ({x})" for x in sides),
+        f"g{k}": f"SELECT *, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS gain FROM s{k} WHERE following IS NOT NULL",
+        f"b{k}": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY round(gain, 7) DESC, feature, threshold) AS rn FROM g{k} WHERE gain > 1e-12) WHERE rn = 1",
+        f"e{k + 1}": f"SELECT e.station, e.time, e.value, e.hour, e.day, e.is_train, e.made + d AS made, e.res - d AS res FROM (SELECT a.*, coalesce(CASE WHEN CASE feature WHEN 0 THEN a.hour ELSE a.day END <= threshold "
+                     f"THEN {rate}e0 * ls / ln ELSE {rate}e0 * (ts - ls) / (tn - ln) END, 0) AS d FROM x{k} a LEFT JOIN b{k} b ON a.station = b.station) e",
+    }
+
+
+def _boosted_sql(rounds: int, rate: float) -> str:
+    parts = {"many": _MANY, "train": _MANY_TRAIN, "start": "SELECT station, avg(value) AS mean, count(*) AS n FROM train GROUP BY 1",
+             "x0": "SELECT m.*, dayofmonth(time) <= 20 AND value IS NOT NULL AS is_train, mean AS made, value - mean AS res FROM many m JOIN start s ON m.station = s.station", "e0": "SELECT * FROM x0 WHERE is_train"}
+    for k in range(rounds):
+        made = _round_sql(k, rate)
+        parts |= {c: t for c, t in made.items() if c != f"e{k + 1}"}
+        parts |= {f"x{k + 1}": made[f"e{k + 1}"], f"e{k + 1}": f"SELECT * FROM x{k + 1} WHERE is_train"}
+    return "WITH " + ", ".join(f"{n} AS ({t})" for n, t in parts.items()) + f" SELECT station, time, value, greatest(0, made) AS prediction FROM x{rounds} WHERE NOT is_train AND dayofmonth(time) > 20"
+
+
+_ROUNDS, _RATE = 3, 0.5
+
+
+@query("boosted_station_models", "J6 J7 J11 J13", _boosted_sql(_ROUNDS, _RATE), "value prediction")
+def _(spark, d):
+    """Boosted stumps for each of up to 1500 stations in one job, stored as rows, reloaded and applied; SQL repeats every round."""
+    rows, train = many_stations(spark, d)
+    models = kept_models(spark, station_models.fit_boosted(train, ["hour", "day"], "value", _ROUNDS, _RATE))
+    scored = station_models.score(rows.where(F.dayofmonth("time") > 20), models, ["hour", "day"], "boosted")
+    return scored.where("prediction IS NOT NULL").select("station", "time", "value", "prediction")
+
+
 _HELD_OUT = (
     s.cte("model_gaps", r="SELECT row_number() OVER (PARTITION BY station ORDER BY time) - 24 AS rn, count(*) OVER (PARTITION BY station) - 24 AS n FROM model_gaps",
           held="SELECT * FROM r WHERE rn > 0 AND rn > floor(n * 0.8e0)")

@@ -72,19 +72,47 @@ def test_flag_duplicates_counts_null_keys_as_equal(spark):
     assert rows(dedup.flag_duplicates(df, ["k"]), "k", "is_duplicate") == [("a", False), ("b", True), ("b", True), (None, True), (None, True)]
 
 
-def test_carry_over_chunks_equals_plain_carry(spark):
+def plain_carry(data):
+    """Forward, then backward, per station in order of time; rows without station or time stay."""
+    out = {}
+    for s in {r[0] for r in data if r[0] is not None}:
+        mine = sorted((r for r in data if r[0] == s and r[2] is not None), key=lambda r: (r[2], r[1]))
+        first = next((r[3] for r in mine if r[3] is not None), None)
+        last = None
+        for _, i, _, v in mine:
+            last = v if v is not None else last
+            out[i] = last if last is not None else first
+    return out | {r[1]: r[3] for r in data if r[0] is None or r[2] is None}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_carry_over_ranges_equals_plain_carry(spark, parts):
     rng = random.Random(4)
-    data = [("A" if rng.random() < 0.7 else "B", i, T0 + dt.timedelta(seconds=17 * i), rng.random() if rng.random() < 0.2 else None) for i in range(400)]
-    df = spark.createDataFrame(data, "station STRING, i INT, time TIMESTAMP_NTZ, v DOUBLE")
-    for chunk in ("minute", "hour"):
-        got = dict(rows(carry_raw(df, ["v"], ["i"], chunk=chunk), "i", "v"))
-        for s in "AB":
-            mine = [r for r in data if r[0] == s]
-            first = next((r[3] for r in mine if r[3] is not None), None)
-            last = None
-            for _, i, _, v in mine:
-                last = v if v is not None else last
-                assert got[i] == (last if last is not None else first)
+    data = [(rng.choice("AAAB"), i, T0 + dt.timedelta(seconds=17 * (i // 3)), rng.random() if rng.random() < 0.05 else None) for i in range(700)]
+    data += [("C", 1000 + i, T0, None) for i in range(50)] + [("D", 2000 + i, T0, 1.0 if i == 49 else None) for i in range(50)]
+    data += [(None, 3000 + i, T0, 5.0 if i == 3 else None) for i in range(9)] + [("A", 4000 + i, None, 6.0 if i == 3 else None) for i in range(9)]
+    df = spark.createDataFrame(data, "station STRING, i INT, time TIMESTAMP_NTZ, v DOUBLE").withColumn("w x", F.lit("x")).repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = carry_raw(df, ["v"], ["i"], parts=parts)
+        assert out.columns == df.columns and dict(rows(out, "i", "v")) == plain_carry(data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert carry_raw(df.limit(0), ["v"], ["i"], parts=parts).count() == 0
+
+
+def test_a_busy_minute_is_spread_over_all_tasks(spark, monkeypatch):
+    from airgrid.plans import merge
+
+    written = []
+    monkeypatch.setattr(merge, "cut_lineage", lambda df, whole=merge.cut_lineage: written.append(whole(df)) or written[-1])
+    df = spark.range(20_000).select(F.lit("A").alias("station"), F.col("id").alias("i"), F.lit(T0).alias("time"), F.when(F.col("id") == 10, 1.5).alias("v"))
+    out = carry_raw(df, ["v"], ["i"], parts=8)
+    assert out.agg(F.min("v"), F.max("v"), F.count("v")).first() == (1.5, 1.5, 20_000)
+    sizes = [r["count"] for r in written[0].groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("Join")[0]  # no sort of raw rows by key is left
 
 
 def sources(spark):
