@@ -6,16 +6,17 @@ return streams also work on static frames, which is how the tests compare them.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airgrid.operators.dedup import latest_per_key
 from airgrid.session import shared_dir
-from airgrid.sources.writers import stored, upsert_by_day
+from airgrid.sources.writers import upsert_by_day
 
 LATE = "1 hour"
 
@@ -85,12 +86,6 @@ def reporting_sessions(rows: DataFrame, keys: Sequence[str], time: str = "time",
     )
 
 
-def latest_state(rows: DataFrame, key: str = "station", time: str = "time", columns: Sequence[str] = ("value",)) -> DataFrame:
-    """Newest row per station as streaming state: one combined row per station, whatever the traffic."""
-    newest = F.max(F.struct(time, *columns)).alias("r")
-    return rows.groupBy(key).agg(newest).select(key, "r.*")
-
-
 def with_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Stream joined with a static table; Spark broadcasts the table when it is small enough."""
     return rows.join(table, list(keys), "left")
@@ -110,14 +105,26 @@ def run_to_table(
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
-    """Process what has landed batch by batch with ``handle(batch, batch_id)``."""
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> list[dict]:
+    """Process what has landed batch by batch with ``handle(batch, batch_id)``; returns Spark's progress of each batch.
+
+    A batch is kept while it is handled, as each further read of it would run its state anew.
+    """
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     place = checkpoint or f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", place)
-        .trigger(availableNow=True).foreachBatch(handle).start()
+        .trigger(availableNow=True).foreachBatch(kept).start()
     )
     query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
 
 
 def upsert_sink(path: str, keys: Sequence[str] = ("time", "station"), time: str = "time", order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
@@ -136,33 +143,14 @@ def upsert_sink(path: str, keys: Sequence[str] = ("time", "station"), time: str
     return handle
 
 
-VERSION = "version"
-
-
-def latest_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a table written by ``latest_sink``."""
-    table = stored(spark, path)
-    if table is None:
-        return None
-    newest = table.agg(F.max(VERSION)).first()[0]
-    return table.where(F.col(VERSION) == newest).drop(VERSION)
-
-
-def latest_sink(path: str, key: str = "station", time: str = "time") -> Callable[[DataFrame, int], None]:
-    """Batch handler that keeps the newest row per station in a small table; equal times go to the larger row.
-
-    Each batch writes a version of its own and the older ones stay, so a failure in between loses nothing.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = stored(spark, path)
-        newest = -1 if old is None else old.agg(F.max(VERSION)).first()[0]
-        rows = batch if old is None else old.where(F.col(VERSION) == newest).drop(VERSION).unionByName(batch)
-        tie = [c for c in batch.columns if c not in (key, time)]
-        latest_per_key(rows, key, time, tie).write.parquet(f"{path}/{VERSION}={newest + 1}")
-
-    return handle
+def counted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The counts kept by ``late_count_sink``; None before the first batch."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+            return None
+        raise
 
 
 def late_count_sink(path: str, time: str = "time", late: str = LATE) -> Callable[[DataFrame, int], None]:
@@ -171,7 +159,7 @@ def late_count_sink(path: str, time: str = "time", late: str = LATE) -> Callable
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = stored(spark, path)
+        seen = counted(spark, path)
         before = None if seen is None else seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
         counts = late_rows(batch, F.lit(before).cast("timestamp"), time, late)
         counts.withColumn("newest", batch.agg(F.max(time).alias("newest")).scalar()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

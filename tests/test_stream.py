@@ -2,14 +2,17 @@
 
 import datetime as dt
 import uuid
+from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid.schema import fields
 from airgrid.session import shared_dir
+from airgrid.sources import snapshots
 from airgrid.sources.writers import stored
-from airgrid.streaming import jobs
+from airgrid.streaming import jobs, keyed
 
 T0 = dt.datetime(2024, 1, 1)
 KIND = fields(station=T.StringType(), time=T.TimestampNTZType(), value=T.DoubleType())
@@ -103,11 +106,79 @@ def test_hourly_upsert_does_not_depend_on_the_batches(spark):
         assert got == {k: sum(v) / len(v) for k, v in want.items()}, parts
 
 
+def latest(spark, table):
+    return sorted((r.station, r.value) for r in stored(spark, table).collect())
+
+
 def test_latest_state(spark):
+    src, table, place_of_state = place(spark), place(spark), place(spark)
+    land(spark, src, [("A", 0, 1.0), ("B", 5, 2.0), ("A", 0, None), (None, 1, 9.0)], [("A", 3, 3.0), ("B", 1, 4.0)], [("B", 5, 3.0), ("A", 2, 7.0)])
+    with keyed.keyed_state(spark):
+        run = partial(jobs.run_batches, keyed.latest_state(opened(spark, src)), keyed.latest_sink(table), "update")
+        progress = run(place_of_state)
+        assert [(r.station, r.value) for r in stored(spark, table).orderBy("station").collect()] == [(None, 9.0), ("A", 3.0), ("B", 3.0)]
+        assert progress[-1]["stateOperators"][0]["numRowsTotal"] == 3  # one row per station, whatever came
+        run(place_of_state)  # nothing new
+        run(None)  # all of it again
+        assert stored(spark, table).count() == 3
+        land(spark, src, [("A", 9, 0.0)])
+        run(place_of_state)
+    assert stored(spark, table).where("station = 'A'").first().value == 0.0
+
+
+def test_latest_survives_a_broken_write(spark, monkeypatch):
+    """What a broken batch leaves does not stop the restart, and goes; so do old versions."""
+    src, table, place_of_state = place(spark), place(spark), place(spark)
+    land(spark, src, [("A", 0, 1.0)], [("A", 1, 2.0)], [("B", 2, 3.0)], [("B", 3, 4.0)])
+    whole, calls = snapshots.publish, []
+
+    def broken(session, path, new):
+        calls.append(new.version)
+        if len(calls) == 2:
+            raise OSError("killed")
+        whole(session, path, new)
+
+    monkeypatch.setattr(snapshots, "publish", broken)
+    with keyed.keyed_state(spark):
+        run = partial(jobs.run_batches, keyed.latest_state(opened(spark, src)), keyed.latest_sink(table, keep=2), "update", place_of_state)
+        with pytest.raises(Exception, match="killed"):
+            run()
+        assert latest(spark, table) == [("A", 1.0)]
+        run()
+    assert latest(spark, table) == [("A", 2.0), ("B", 4.0)]
+    assert snapshots.versions(spark, table) == [2, 3] and len(snapshots._children(spark, f"{table}/data")) == 2
+
+
+def test_silent_stations_leave_the_state(spark):
     src, table = place(spark), place(spark)
-    land(spark, src, [("A", 0, 1.0), ("B", 5, 2.0)], [("A", 3, 3.0), ("B", 1, 4.0)])
-    jobs.run_batches(jobs.latest_state(opened(spark, src)), jobs.latest_sink(table), mode="update")
-    assert sorted((r.station, r.value) for r in jobs.latest_table(spark, table).collect()) == [("A", 3.0), ("B", 2.0)]
+    land(spark, src, [("A", 0, 1.0), ("B", 0, 2.0)], [("A", 30, 3.0)], [("A", 60, 4.0)], [("A", 61, 5.0)])
+    with keyed.keyed_state(spark):
+        progress = jobs.run_batches(keyed.latest_state(opened(spark, src), silent=dt.timedelta(hours=24)), keyed.latest_sink(table), "update")
+    rows = {r.station: (r.value, r.silent) for r in stored(spark, table).collect()}
+    assert rows == {"A": (5.0, False), "B": (2.0, True)}
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < progress[0]["stateOperators"][0]["numRowsTotal"] + 2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_closed_hours_leave_the_state_and_take_late_rows(spark, parts):
+    kinds = fields(station=T.StringType(), time=T.TimestampNTZType(), parameter=T.StringType(), value=T.DoubleType())
+    readings = [(f"S{i % 2}", at(i * 0.4), "pm25" if i % 3 else "pm10", float(i) if i % 11 else None) for i in range(120)]
+    readings += [("S0", at(0.2), "pm25", 1000.0), ("S1", at(5.0), "pm10", 2000.0), ("S1", at(5.1), "pm10", 1.0), (None, at(1), "pm25", 1.0), ("S1", None, "pm25", 1.0)]  # far too late
+    want: dict = {}
+    for s, t, p, v in readings:
+        if s and t and v is not None:
+            want.setdefault((s, t.replace(minute=0, second=0, microsecond=0), p), []).append(v)
+    n, src, table, state = len(readings), place(spark), place(spark), place(spark)
+    for k in range(parts):
+        spark.createDataFrame(readings[n * k // parts : n * (k + 1) // parts], kinds).coalesce(1).write.mode("append").json(src)
+    stream = jobs.read_landed(spark, src, kinds, "json", files_per_trigger=1)
+    with keyed.keyed_state(spark):
+        for checkpoint in (state, state, None):  # the last run replays everything
+            progress = jobs.run_batches(keyed.hourly_sums(stream, ["pm25", "pm10"]), keyed.hourly_sink(table), "update", checkpoint)
+            got = {(r.station, r.time, p): r[p] for r in keyed.hourly_table(spark, table, ["pm25", "pm10"]).collect() for p in ("pm25", "pm10") if r[p] is not None}
+            assert got == {k: sum(v) / len(v) for k, v in want.items()}
+    # 48 hours went through; at most the two or three open ones and a counter are left per station.
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2 * 4
 
 
 def test_static_lookup(spark):
