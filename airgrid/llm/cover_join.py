@@ -88,6 +88,12 @@ def dual_traversal(p: Tree, q: Tree, same: bool, least: float):
         todo += [(left[i], right[j]) for i, j in np.argwhere(close & ~ends)]
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is scaled by its largest component first, as the length of a large vector is no double."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return x @ y.T >= least
 
@@ -101,7 +107,7 @@ def join_blocks(least: float):
         trees = []
         for s in sides[: 1 if same else 2]:
             v = np.stack(s.vector.to_numpy()).astype("float64") if len(s) else np.zeros((0, 1))
-            trees.append(Tree(v / np.linalg.norm(v, axis=1, keepdims=True)))
+            trees.append(Tree(unit(v) if len(v) else v))
         p, q = trees[0], trees[-1]
         a, b = sides[0], sides[0 if same else 1]
         ids, weights = (a.rep.to_numpy(), b.rep.to_numpy()), (a.copies.to_numpy(), b.copies.to_numpy())
@@ -147,8 +153,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
     Two vectors with the same label (not null) and number of components link when their cosine, in double precision, is at
     least ``least``. ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id reachable,
     ``kept`` marks the row that bears it. Vectors that are null, zero or hold a null or a number that is not finite link with
-    nothing. Repeated rows link with each other; ids may not be null among linked rows; an empty table gives an empty table.
-    Very small or large vectors are fine as long as their length is a double.
+    nothing. Repeated rows link with each other, and rows of one id with different vectors are rows of their own. A row without an
+    id takes part; it is kept only where no linked row has an id, and ``component_id`` is null then. Vectors of any
+    length link by their direction. An empty table gives an empty table.
 
     Equal vectors are one class. Each large label has a top level of about ``CENTRES`` centres, which go to all tasks; the
     cells around them, with their exact covering radii, are cut into blocks. Pairs of cells that lie too far apart are pruned;
@@ -158,8 +165,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
     fit = rows.filter(usable("vector") & F.col("label").isNotNull()).withColumn("group", F.struct("label", F.size("vector").alias("n")))
     classes = cut_lineage(
-        fit.groupBy("group", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .withColumns({"group": F.to_json("group"), "hash": F.xxhash64("rep")})
+        # A class has a number of its own, as ids may repeat or be null.
+        fit.groupBy("group", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        .withColumns({"group": F.to_json("group"), "rep": F.monotonically_increasing_id(), "hash": F.xxhash64("vector")})
     )
     sizes = classes.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.filter(F.col("size") > BLOCK).orderBy(F.desc("size"), "group").limit(TOP_LABELS)
@@ -168,7 +176,6 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
     tops: dict[str, list] = {}
     for r in chosen:
         tops.setdefault(r.group, []).append(r.vector)
-    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     sent = classes.sparkSession.sparkContext.broadcast({g: unit(np.array(sorted(v))) for g, v in tops.items()})
 
     def place(batches):
@@ -208,9 +215,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
 
     counts = found.filter("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other IS NOT NULL").select("rep", "other"), "rep", "other").withColumnRenamed("node", "rep")
-    by_class = classes.select("group", "vector", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
+    named = classes.select("rep", "least").join(joined, "rep").groupBy("component").agg(F.min("least").alias("smallest"))
+    by_class = classes.select("group", "vector", "rep", "copies", "least").join(counts, "rep", "left").join(joined.join(named, "component"), "rep", "left")
     by_class = by_class.select(
-        "group", F.xxhash64("vector").alias("hash"), "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
+        "group", F.xxhash64("vector").alias("hash"), "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"),
     )
     # Rows find their class by its hash and vector; the rows that take no part find none.
     fitting = rows.withColumns({
@@ -218,4 +226,4 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
     })
     return fitting.join(by_class, ["group", "hash", "vector"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -22,6 +22,7 @@ from airgrid.session import cut_lineage, shared_dir
 MARK = 0x314B4C4253444956
 BLOCK_IDS = 1 << 20  # a block ends with the document that brings it to so many ids
 MANY_FILES = 100_000
+FILE_BLOCKS = 256  # blocks of a file, so that a reader can hold it whatever the size of a task
 # Lengths of the four codes of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype="uint8")
 
@@ -104,7 +105,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     order = ["doc_id", F.xxhash64("text")]
     blocks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(encode, "block BINARY")
     # The text writer puts out the bytes of a row as they are, and a line feed.
-    blocks.select(F.expr("CAST(substring(block, 1, length(block) - 1) AS STRING)").alias("value")).write.text(path)
+    blocks.select(F.expr("CAST(substring(block, 1, length(block) - 1) AS STRING)").alias("value")).write.option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 ROWS = "path STRING, doc_id LONG, in_file LONG, n_tokens LONG, ids BINARY"
@@ -138,8 +139,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     sums = cut_lineage(files.mapInArrow(totals, "path STRING, n LONG"))
-    # Names of part files ascend with the ranges.
-    offsets = sums.select("path", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Part files are numbered by range, and by file of the range; as texts the numbers would not ascend once they are longer.
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("long")
+    in_order = Window.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/-]*$"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("path", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))
     rows = files.mapInArrow(decode, ROWS).join(F.broadcast(offsets) if sums.count() <= MANY_FILES else offsets, "path")
     return rows.select("doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids")
 

@@ -103,7 +103,7 @@ def mix(
     nothing, an empty table gives an empty table. Ids may be null.
     """
     words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     rows = rows.withColumns({"size": words, "place": F.xxhash64("doc_id", "text", F.lit(seed))}).drop("text")
     # A null source is one like others.
     rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "chunk": F.pmod("place", F.lit(chunks))})

@@ -52,7 +52,12 @@ class Bounds:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
 
-TABLE = "doc_id LONG, n LONG, cid LONG, check LONG, parts BINARY, slice INT, part INT, counts BINARY"
+TABLE = "doc_id LONG, mark LONG, n LONG, cid LONG, check LONG, parts BINARY, slice INT, part INT, counts BINARY"
+
+
+def marked(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``key, text, mark``: a row is known by its id and a hash of its text, as ids may repeat with other texts."""
+    return documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
 def read_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -64,11 +69,11 @@ def read_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
         part, counts = TaskContext.get().partitionId(), np.zeros(COUNTERS, "uint32")
         for batch in small(batches):
             rows, used = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for key, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 s = shingles(text.as_py(), n, seed)
                 mark = xxhash.xxh3_128_digest(s.tobytes(), seed)
                 low, high = np.frombuffer(mark, "<i8")
-                rows.append((key, len(s), low, high, np.bincount((s >> np.uint64(57)).astype("int64"), minlength=GROUPS).clip(max=MANY).astype("<u2").tobytes()))
+                rows.append((key, own, len(s), low, high, np.bincount((s >> np.uint64(57)).astype("int64"), minlength=GROUPS).clip(max=MANY).astype("<u2").tobytes()))
                 used.append(s)
             if rows:
                 counts += np.bincount((np.concatenate(used) & np.uint64(COUNTERS - 1)).astype("int64"), minlength=COUNTERS).astype("uint32")
@@ -77,14 +82,14 @@ def read_sets(docs: DataFrame, n: int, seed: int) -> DataFrame:
                 yield batch_of([*cols, empty, empty, empty])
         slices = range(COUNTERS // SLICE)
         empty = [None] * len(slices)
-        yield batch_of([empty, empty, empty, empty, empty, list(slices), [part] * len(slices), [counts[i * SLICE : (i + 1) * SLICE].astype("<u4").tobytes() for i in slices]])
+        yield batch_of([empty, empty, empty, empty, empty, empty, list(slices), [part] * len(slices), [counts[i * SLICE : (i + 1) * SLICE].astype("<u4").tobytes() for i in slices]])
 
     return docs.mapInArrow(scan, TABLE)
 
 
 def batch_of(columns) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n", "cid", "check", "parts", "slice", "part", "counts"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "mark", "n", "cid", "check", "parts", "slice", "part", "counts"])
 
 
 def shingle_counts(table: DataFrame) -> np.ndarray:
@@ -160,11 +165,11 @@ def shared_only(batches):
 
 
 def once(batches):
-    """Rows of (key, text), each key once per task."""
-    seen: set[int] = set()
+    """Rows of (key, text, mark), each (key, mark) once per task."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         new = []
-        for key in batch.column(0).to_pylist():
+        for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             new.append(key not in seen)
             seen.add(key)
         yield batch.filter(pa.array(new, pa.bool_()))
@@ -192,19 +197,20 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, seed
 
     def suffix(batches):
         for batch in batches:
-            cols = [batch.column(i) for i in range(6)]
             if not len(batch):
                 continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, GROUPS).astype("int64") for c in cols[4:])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, GROUPS).astype("int64") for i in (6, 7))
             most = np.minimum(x, y).sum(1)
             keep = ((100 + percent) * most >= percent * (x.sum(1) + y.sum(1))) | (x == MANY).any(1) | (y == MANY).any(1)
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+            yield batch.select(list(range(6))).filter(pa.array(keep))
 
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("doc").alias(f"{s}_doc"), F.col("parts").alias(f"{s}_parts"))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_doc", "b_doc", "a_parts", "b_parts")
-    left = cut_lineage(left.mapInArrow(suffix, "a LONG, b LONG, a_doc LONG, b_doc LONG"))
-    needed = few(cut_lineage(left.select(F.explode(F.array("a_doc", "b_doc")).alias("key")).distinct()))
-    texts = cut_lineage(docs.join(needed, "key", "left_semi").mapInArrow(once, docs.select("key", "text").schema))
+    side = lambda s: classes.select(F.col("cid").alias(s), F.col("doc.doc_id").alias(f"{s}_doc"), F.col("doc.mark").alias(f"{s}_mark"), F.col("parts").alias(f"{s}_parts"))
+    ends = ["a", "b", "a_doc", "a_mark", "b_doc", "b_mark"]
+    left = pairs.join(side("a"), "a").join(side("b"), "b").select(*ends, "a_parts", "b_parts")
+    left = cut_lineage(left.mapInArrow(suffix, ", ".join(f"{c} LONG" for c in ends)))
+    rows = F.explode(F.array(*[F.struct(F.col(f"{s}_doc").alias("key"), F.col(f"{s}_mark").alias("mark")) for s in "ab"])).alias("row")
+    needed = few(cut_lineage(left.select(rows).select("row.*").distinct()))
+    texts = cut_lineage(docs.join(needed, ["key", "mark"], "left_semi").select("key", "text", "mark").mapInArrow(once, docs.select("key", "text", "mark").schema))
 
     def compare(batches):
         for batch in small(batches):
@@ -218,8 +224,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, seed
                 keep.append(100 * both >= percent * (len(known[x]) + len(known[y]) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: texts.select(F.col("key").alias(f"{s}_doc"), F.col("text").alias(f"{s}_text"))
-    return left.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_text", "b_text").mapInArrow(compare, "a LONG, b LONG").distinct()
+    side = lambda s: texts.select(F.col("key").alias(f"{s}_doc"), F.col("mark").alias(f"{s}_mark"), F.col("text").alias(f"{s}_text"))
+    return left.join(side("a"), ["a_doc", "a_mark"]).join(side("b"), ["b_doc", "b_mark"]).select("a", "b", "a_text", "b_text").mapInArrow(compare, "a LONG, b LONG").distinct()
 
 
 def prepared(docs: DataFrame, n: int, bounds: Bounds) -> tuple[int, DataFrame, DataFrame, DataFrame]:
@@ -228,7 +234,7 @@ def prepared(docs: DataFrame, n: int, bounds: Bounds) -> tuple[int, DataFrame, D
     while True:
         table = cut_lineage(read_sets(docs, n, seed))
         sets = table.filter("slice IS NULL")
-        classes = cut_lineage(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("parts").alias("parts"), F.min("check").alias("low"), F.max("check").alias("high")))
+        classes = cut_lineage(sets.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "mark")).alias("doc"), F.first("parts").alias("parts"), F.min("check").alias("low"), F.max("check").alias("high")))
         if not classes.filter("low <> high").limit(1).count():
             break
         seed += 1  # two sets share half a fingerprint: other hashes
@@ -263,7 +269,7 @@ def similar_sets(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, Da
     # Either end may have been called a, as that depends on the gram if the sizes are equal.
     tried = first.union(first.select("b", "a"))
     second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return sets.select("doc_id", "n", "cid"), links.union(verified(cut_lineage(second), classes, docs, n, seed, bounds))
+    return sets.select("doc_id", "mark", "n", "cid"), links.union(verified(cut_lineage(second), classes, docs, n, seed, bounds))
 
 
 def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,7 +277,8 @@ def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id:
 
     A document's set: distinct runs of ``words`` words (A-Z lower-cased, split at ASCII white space); with fewer words the
     whole sequence as one; none without words or text. Documents link when their sets' Jaccard similarity is at least
-    ``percent`` / 100. ``component_id`` is the smallest doc_id reachable. Repeated rows are kept and equal, a null doc_id
+    ``percent`` / 100. ``component_id`` is the smallest doc_id reachable. Repeated rows are kept and equal, rows of one id with
+    different texts are documents of their own, a null doc_id
     takes part only by its own row (it links with nothing), an empty table gives an empty table; other columns are not read.
 
     Equal sets are one class. All sets order their shingles in the same way, rarest first by counts over all documents that a
@@ -282,7 +289,13 @@ def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id:
     postings whose grams still span several components meet, so no link between different components is missed while the
     pairs inside a group are never listed.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
+    return grouped(documents, words, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(documents: DataFrame, words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, mark, n_shingles, component, component_id``: as ``near_copies``, with the hash of a row's text, by which rows of
+    one id are told apart, and a number for the component (null without words or id)."""
+    docs = marked(documents, doc_id, text)
     known = docs.filter("key IS NOT NULL")
     sets, links = similar_sets(known, words, Bounds(percent))
     found = components(cut_lineage(links)).withColumnRenamed("node", "cid")
@@ -290,10 +303,12 @@ def near_copies(documents: DataFrame, words: int = 5, percent: int = 75, doc_id:
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     members = sets.filter("n > 0").select("cid").distinct().join(found, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")).join(least, "component")
     # Classes, not rows, are joined to their components, so a large class costs one row here.
-    out = sets.join(members.select("cid", "component_id"), "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    out = sets.join(members.select("cid", "component", "component_id"), "cid", "left").select(
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
-    return out.union(lone_rows(docs, words))
+    none = F.lit(None).cast("long")
+    return out.union(lone_rows(docs, words).select("doc_id", none, "n_shingles", none, "component_id"))
 
 
 def all_links(docs: DataFrame, n: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +336,7 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 75, doc_id: str
     each other and with all that their class links with, which is not listed by id. The pairs are listed, so the work grows
     with the square of a group of different near copies; ``near_copies`` is the cheap form, without counts and pairs.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = marked(documents, doc_id, text)
     sets, found = all_links(docs.filter("key IS NOT NULL"), words, Bounds(percent))
     classes = cut_lineage(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.countDistinct("doc_id").alias("size")))
     ends = found.select("a", "b").union(found.select("b", "a")).toDF("cid", "partner")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from airgrid.llm.cover_join import usable
 from airgrid.session import cut_lineage
 
-PIVOTS, ORDERED = 128, 32  # pivots, and how many of them a vector is described by, nearest first
+PIVOTS, ORDERED = 256, 64  # pivots, and how many of them a vector is described by, nearest first
 SHARD = 8192  # rows of a shard, expected
 QUERIES = 2048  # queries of a block, expected
-SHARE, LEAST = 0.25, 1024  # a shard reranks this share of its distinct vectors, and no fewer than this
+SHARE, PER_RESULT = 0.12, 8  # a shard reranks this share of its distinct vectors, and so many more per wanted result
 SAMPLE = 4096  # rows that the pivots are chosen from
 
 
@@ -66,10 +66,11 @@ class Shard:
         self.files = list(zip(np.split(np.frombuffer(rows, "<i4"), cuts), np.split(np.frombuffer(ranks, "<i2"), cuts)))
         self.least_id = self.ids[self.starts]
 
-    def search(self, query: np.ndarray, pivots_in_order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best ids and scores among the vectors with the smallest footrule distance, ties to the smaller id."""
+    def search(self, query: np.ndarray, pivots_in_order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` best ids and scores among the vectors with the smallest footrule distance, ties to the smaller id; and
+        which of them are the query's own vector."""
         n = len(self.vectors)
-        budget = max(LEAST, int(np.ceil(SHARE * n)))
+        budget = int(np.ceil(SHARE * n)) + PER_RESULT * k
         if n > budget:
             # Places are 0 .. ORDERED - 1, and ORDERED for a pivot that is not named: the footrule distance is a constant
             # less twice this sum over the pivots that both name.
@@ -88,9 +89,10 @@ class Shard:
             level = np.partition(score, len(score) - k)[len(score) - k]
             some, score = some[score >= level], score[score >= level]
         ids = np.concatenate([self.ids[a:b] for a, b in zip(self.starts[some], self.ends[some])])
-        score = np.repeat(score, self.ends[some] - self.starts[some])
+        number = self.ends[some] - self.starts[some]
+        score, own = np.repeat(score, number), np.repeat((self.vectors[some] == query).all(axis=1), number)
         best = np.lexsort((ids, -score))[:k]
-        return ids[best], score[best]
+        return ids[best], score[best], own[best]
 
 
 INDEX = "size INT, shard INT, ids BINARY, number BINARY, vectors BINARY, lengths BINARY, rows BINARY, ranks BINARY"
@@ -102,7 +104,7 @@ class Index:
     def __init__(self, rows: DataFrame, copies: int):
         spark = rows.sparkSession
         lengths = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("squared")).collect()
-        sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).select("size", "vector").collect()
+        sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "mark").limit(SAMPLE).select("size", "vector").collect()
         self.pivots, self.longest = {}, {}
         for r in lengths:
             self.longest[r.size] = float(np.sqrt(r.squared))
@@ -117,7 +119,7 @@ class Index:
             return pd.DataFrame([{"size": size, "shard": int(pdf["shard"].iloc[0])} | parts])
 
         counts = spark.createDataFrame(list(self.shard_count.items()) or [(0, 1)], "size INT, shards INT")
-        dealt = rows.join(counts, "size").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+        dealt = rows.join(counts, "size").withColumn("shard", F.pmod(F.xxhash64("vec_id", "mark"), F.col("shards")).cast("int"))
         self.shards = cut_lineage(dealt.select("size", "shard", "vec_id", "vector").groupBy("size", "shard").applyInPandas(build, INDEX))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
@@ -127,14 +129,14 @@ class Index:
 
         def gather(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf.vector.to_numpy()).astype("<f8")
-            return pd.DataFrame([{"size": int(pdf["size"].iloc[0]), "block": int(pdf["block"].iloc[0]), "query_ids": pdf.vec_id.to_numpy().astype("<i8").tobytes(), "queries": x.tobytes()}])
+            return pd.DataFrame([{"size": int(pdf["size"].iloc[0]), "block": int(pdf["block"].iloc[0]), "query_ids": pdf.vec_id.to_numpy().astype("<i8").tobytes(), "marks": pdf.mark.to_numpy().astype("<i8").tobytes(), "queries": x.tobytes()}])
 
         def find(batches):
-            names = ["size", "query_ids", "queries", "ids", "number", "vectors", "lengths", "rows", "ranks"]
+            names = ["size", "query_ids", "marks", "queries", "ids", "number", "vectors", "lengths", "rows", "ranks"]
             for batch in batches:
                 for r in range(len(batch)):
                     row = {n: batch.column(i)[r].as_py() for i, n in enumerate(names)}
-                    size, ids, x = row.pop("size"), np.frombuffer(row.pop("query_ids"), "<i8"), np.frombuffer(row.pop("queries"), "<f8")
+                    size, ids, marks, x = row.pop("size"), *(np.frombuffer(row.pop(c), kind) for c, kind in (("query_ids", "<i8"), ("marks", "<i8"), ("queries", "<f8")))
                     shard = Shard(size, **row)
                     distinct, which = np.unique(x.reshape(-1, size), axis=0, return_inverse=True)
                     # A query has no lifted component: it is nearest to what it has the largest inner product with.
@@ -147,35 +149,38 @@ class Index:
                     query = np.repeat(ids, n)
                     vec = np.concatenate([f[0] for f in rows]) if rows else np.zeros(0, "int64")
                     score = np.concatenate([f[1] for f in rows]) if rows else np.zeros(0)
-                    other = query != vec
-                    yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(vec[other]), pa.array(score[other])], names=["query_id", "vec_id", "score"])
+                    own = np.concatenate([f[2] for f in rows]) if rows else np.zeros(0, bool)
+                    other = (query != vec) | ~own
+                    mark = np.repeat(marks, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(mark[other]), pa.array(vec[other]), pa.array(score[other])], names=["query_id", "mark", "vec_id", "score"])
 
         totals = spark.createDataFrame(list(self.shard_count.items()) or [(0, 1)], "size INT, shards INT")
         blocks = max(1, -(-queries.count() // QUERIES))
-        packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("size", "block").applyInPandas(gather, "size INT, block INT, query_ids BINARY, queries BINARY")
+        packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("size", "block").applyInPandas(gather, "size INT, block INT, query_ids BINARY, marks BINARY, queries BINARY")
         visits = packed.join(totals, "size").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(self.shards, ["size", "shard"])
-        tasks = visits.select("size", "query_ids", "queries", "ids", "number", "vectors", "lengths", "rows", "ranks", "shard", "block").repartition("size", "shard", "block").drop("shard", "block")
-        near = tasks.mapInArrow(find, "query_id LONG, vec_id LONG, score DOUBLE")
-        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        tasks = visits.select("size", "query_ids", "marks", "queries", "ids", "number", "vectors", "lengths", "rows", "ranks", "shard", "block").repartition("size", "shard", "block").drop("shard", "block")
+        near = tasks.mapInArrow(find, "query_id LONG, mark LONG, vec_id LONG, score DOUBLE")
+        best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
         return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of ``vectors`` with the largest inner product found for each query row.
 
-    The score is the inner product in double precision; the nearest comes first, ties to the smaller id, a query's own id does
-    not count. Vectors that are null, zero or hold a null or a number that is not finite, and rows without an id, take no
-    part; vectors meet only vectors with as many components. Repeated rows of an id count once. With fewer than ``k``
+    The score is the inner product in double precision; the nearest comes first, ties to the smaller id, a query's own row does
+    not count. Rows of one id with different vectors are rows of their own, as queries too, each with its ranks; rows that equal
+    in id and vector are one. Vectors that are null, zero or hold a null or a number that is not finite, and rows without an id, take no
+    part; vectors meet only vectors with as many components. With fewer than ``k``
     candidates all are returned; an empty table gives an empty table.
 
     The pivots come from ``SAMPLE`` rows chosen by a hash; every row is indexed, in shards of about ``SHARD`` rows. A shard
     ranks all its rows by the footrule distance of the ordered pivots, summed over the inverted files of the query's pivots,
-    and compares the nearest ``SHARE`` of them exactly. Equal vectors are compared once. Blocks of queries visit shards as
+    and compares the nearest ``SHARE`` of them, and ``PER_RESULT`` for each wanted result, exactly; shards of all sizes are handled alike. Equal vectors are compared once. Blocks of queries visit shards as
     tasks of their own, and a task returns at most k + 1 rows per query.
     """
     rows = lambda df: (
         df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-        .filter(F.col("vec_id").isNotNull() & usable("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
+        .filter(F.col("vec_id").isNotNull() & usable("vector")).distinct().withColumns({"size": F.size("vector"), "mark": F.xxhash64("vector")})
     )
     known = cut_lineage(rows(vectors))
     return Index(known, k + 1).search(cut_lineage(rows(queries)), k)

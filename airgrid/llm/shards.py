@@ -9,6 +9,7 @@ from airgrid.session import cut_lineage
 
 PROBES = 64  # candidate boundaries a round puts into the gap around each splitter that is not settled
 LONGEST = 1 << 61
+SLICE_BYTES = 64 << 20
 
 
 def order_value(text: Column) -> Column:
@@ -41,8 +42,10 @@ def histogram(keys: DataFrame, gaps: list[Gap]) -> list[tuple[int, int, int, tup
     return sorted((r.gap, r.stretch, r.bytes, tuple(r.low), tuple(r.high)) for r in rows.collect())
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
-    """The largest key of each part but the last, so that parts differ from equal bytes by at most ``tolerance`` of a part.
+def splitters(keys: DataFrame, parts: int, tolerance: float) -> tuple[list[tuple[int, int]], int]:
+    """The largest key of each part but the last, so that parts differ from equal bytes by at most ``tolerance`` of a part; and all bytes.
+
+    Equal texts (one place) stay together: the boundary goes to the nearer end of their group, unless it holds more bytes than a part.
 
     Each round counts the exact bytes between candidate boundaries over all rows in one aggregate and puts new candidates only
     around the goals that no boundary meets. A round leaves at most ``PROBES`` rows per open goal for the driver, whatever the
@@ -50,7 +53,7 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     """
     ends = keys.agg(F.min(F.struct("place", "doc_id")).alias("low"), F.max(F.struct("place", "doc_id")).alias("high"), F.sum("size").alias("bytes")).first()
     if ends.bytes is None:
-        return []
+        return [], 0
     goals = [round(ends.bytes * i / parts) for i in range(1, parts)]
     slack = max(1.0, tolerance * ends.bytes / parts)
     found: dict[int, tuple[int, int]] = {}
@@ -64,9 +67,10 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
                 inside = [g for g in open_goals if total < g <= total + size]
                 rest = []
                 for g in inside:
-                    if abs(total + size - g) <= slack or low == high and (total + size - g <= g - total or before is None):
+                    together = low == high or low[0] == high[0] and not gap.by_id and size <= ends.bytes / parts
+                    if abs(total + size - g) <= slack or together and (total + size - g <= g - total or before is None):
                         found[g] = high
-                    elif before is not None and (g - total <= slack or low == high):
+                    elif before is not None and (g - total <= slack or together):
                         found[g] = before
                     else:
                         rest.append(g)
@@ -74,20 +78,18 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
                     following.append(Gap(low, high, total, rest))
                 total, before = total + size, high
         gaps = following
-    return [found.get(g, (-1, 0)) for g in goals]  # a goal of no bytes is met before the first key
+    return sorted(found.get(g, (-1, 0)) for g in goals), ends.bytes  # a goal of no bytes is met before the first key
 
 
 def shard(documents: DataFrame, shards: int = 16, slices: int | None = None, tolerance: float = 0.002, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, size, shard, slot`` for each row of ``documents``: near equal bytes in every shard.
 
     ``size``: UTF-8 bytes of the text plus 1; a null text counts as empty and stays null. Rows are ordered by a hash of their
-    text, then by id: copies of a text are neighbours, and a group of copies too large for one shard is divided by id. Only
-    rows that equal in text and id cannot be parted. ``slot`` counts from 0 without gaps, in that order. Null ids come first,
-    ties may take either slot. Each shard is made of ``slices`` ranges, which are the tasks of the one exchange; by default 4 to 32,
-    as many as the shuffle partitions ask for. An empty table gives an empty table; other columns are not read.
+    text, then by id: copies of a text lie in one shard, and only a group of copies larger than a shard is divided, by id.
+    Rows that equal in text and id cannot be parted. ``slot`` counts from 0 without gaps, in no given order. Each shard is
+    exchanged in ``slices`` tasks, over which its rows are dealt evenly; by default as many as the shuffle partitions ask for, and
+    so many that a task has about ``SLICE_BYTES``. An empty table gives an empty table; other columns are not read.
     """
-    if slices is None:
-        slices = min(32, max(4, -(-int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     # Ids that are null stand before all others; differences between ids have to fit into a long.
@@ -95,9 +97,13 @@ def shard(documents: DataFrame, shards: int = 16, slices: int | None = None, tol
     key = {"place": order_value(F.col("text")), "id_key": id_key, "size": size}
     keyed = rows.withColumns(key)
     keys = cut_lineage(keyed.select("place", F.col("id_key").alias("doc_id"), "size"))
-    cuts = splitters(keys, shards * slices, tolerance)
+    cuts, total = splitters(keys, shards, tolerance)
+    if slices is None:
+        asked = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(4, -(-asked // shards), -(-total // (shards * SLICE_BYTES)))
     bounds = ", ".join(f"named_struct('place', {p}L, 'id_key', {d}L)" for p, d in cuts)
-    piece = F.expr(f"size(filter(array({bounds}), b -> b < named_struct('place', place, 'id_key', id_key)))" if cuts else "0")
+    shard_of = F.expr(f"size(filter(array({bounds}), b -> b < named_struct('place', place, 'id_key', id_key)))" if cuts else "0")
+    piece = shard_of * slices + F.pmod(F.xxhash64("place", "id_key"), F.lit(slices))
     in_order = Window.partitionBy("piece").orderBy("place", "id_key")
     placed = keyed.withColumn("piece", piece)
     before = (  # one row per slice

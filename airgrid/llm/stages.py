@@ -17,18 +17,30 @@ def listed(ids: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the model learned from ``labels`` does not call toxic."""
+    """Documents that the model learned from ``labels`` does not call toxic.
+
+    Null and empty texts have no terms and stay, as do rows without an id; repeated rows go or stay alike; without labels
+    nothing is known to be toxic and all stay. All columns are kept.
+    """
     scored = toxicity.score(documents, toxicity.fit(documents, labels))
     return scored.filter("predicted = 0").select("row.*")
 
 
 def without_near_copies(documents: DataFrame) -> DataFrame:
-    """One row of each group of near copies, that of the smallest doc_id; documents without words or id stay.
+    """One row of each group of near copies, that of the smallest doc_id (of one id: the smallest hash of the text); documents
+    without words or id stay. A repeated row is a copy too.
 
-    Only the ids that go are listed, so the texts are not shuffled while that list is small.
+    Only the rows that go are listed, by id and hash, so the texts are not shuffled while that list is small.
     """
-    found = cut_lineage(ngram_join.near_copies(documents))
-    gone = listed(cut_lineage(found.filter("doc_id <> component_id").select("doc_id").distinct()))
-    twice = listed(cut_lineage(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")))
-    stay = documents.join(gone, "doc_id", "left_anti")
-    return stay.join(twice, "doc_id", "left_anti").select(documents.columns).unionByName(stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns))
+    found = cut_lineage(ngram_join.grouped(documents).filter("component IS NOT NULL"))
+    row = F.struct("doc_id", "mark")
+    first = found.groupBy("component").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = cut_lineage(found.join(first.select("component", "first"), "component").groupBy("doc_id", "mark").agg(F.max(row == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("n")))
+    own = documents.withColumns({"_id": F.col("doc_id").cast("long"), "_mark": F.xxhash64("text")})
+    name = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    gone = listed(cut_lineage(name(several.filter("NOT stays"))))
+    twice = listed(cut_lineage(name(several.filter("stays AND n > 1"))))
+    stay = own.join(gone, ["_id", "_mark"], "left_anti")
+    once = stay.join(twice, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"])
+    names = [f"`{c}`" for c in documents.columns]
+    return stay.join(twice, ["_id", "_mark"], "left_anti").select(names).unionByName(once.select(names))

@@ -362,5 +362,5 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ sent.value.coefficients, -30, 30))))
 
     value = toxicity(F.col("text"))
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text").withColumn("score", value).drop("text")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "text").withColumn("score", value).drop("text")
     return rows.select("row", "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
