@@ -50,21 +50,25 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 
 def station_dump_rows(df: DataFrame, dump: str = "dump") -> DataFrame:
-    """{station: {kind: {pollutant: [{time, value}]}}} -> (station, data_type, parameter, time, value).
-
-    The value may also stand under the pollutant's own name."""
-    return (
+    """{station: {kind: {pollutant: [{time, value}]}}} -> (station, data_type, parameter, time, value)."""
+    return station_entry_rows(
         df.select(F.explode(dump).alias("station", "kinds"))
         .select("station", F.explode("kinds").alias("data_type", "pollutants"))
         .select("station", "data_type", F.explode("pollutants").alias("parameter", "series"))
         .select("station", "data_type", "parameter", F.explode("series").alias("entry"))
-        .select(
-            "station",
-            "data_type",
-            canonical_parameter(F.col("parameter")).alias("parameter"),
-            F.try_element_at("entry", F.lit("time")).try_cast("timestamp_ntz").alias("time"),
-            F.coalesce(F.try_element_at("entry", F.lit("value")), F.try_element_at("entry", F.col("parameter"))).try_cast("double").alias("value"),
-        )
+    )
+
+
+def station_entry_rows(entries: DataFrame) -> DataFrame:
+    """Entries (maps of texts) with their three keys -> (station, data_type, parameter, time, value).
+
+    The value may also stand under the pollutant's own name."""
+    return entries.select(
+        "station",
+        "data_type",
+        canonical_parameter(F.col("parameter")).alias("parameter"),
+        F.try_element_at("entry", F.lit("time")).try_cast("timestamp_ntz").alias("time"),
+        F.coalesce(F.try_element_at("entry", F.lit("value")), F.try_element_at("entry", F.col("parameter"))).try_cast("double").alias("value"),
     )
 
 

@@ -6,33 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airgrid.operators.reshape import one_hot
-
-
-def cluster(
-    df: DataFrame, numeric: Sequence[str], icon: str, icon_levels: Sequence[str], k: int = 3, seed: int = 0
-) -> tuple[DataFrame, PipelineModel]:
-    """K-means on the numbers and icon dummies, plus the first two principal components."""
-    coded = one_hot(df.na.drop("any", subset=list(numeric)), icon, icon_levels)
-    columns = [*numeric, *[f"{icon}_{v}" for v in icon_levels]]
-    model = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=columns, outputCol="_v"),
-            StandardScaler(inputCol="_v", outputCol="_centred", withMean=True, withStd=False),
-            KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster"),
-            PCA(k=2, inputCol="_centred", outputCol="_pc"),
-        ]
-    ).fit(coded)
-    out = model.transform(coded)
-    from pyspark.ml.functions import vector_to_array
-
-    pc = vector_to_array("_pc")
-    return out.withColumns({"pc1": pc[0], "pc2": pc[1]}).drop("_v", "_centred", "_pc"), model
+
+def cluster(df: DataFrame, numeric: Sequence[str], categories: Sequence[str], k: int = 3, seed: int = 0) -> tuple[DataFrame, PipelineModel]:
+    """K-means on the numbers and the levels of the categories, and the first two principal components (centred).
+
+    Levels are places of sparse vectors, every level one, so a row costs its numbers and one entry per category however many
+    levels there are; a null is a level of its own. The projection needs the covariance of all places, so their number is
+    bounded by its square fitting into the driver (some thousands). Rows with a null number are left out.
+    """
+    known = df.na.drop("any", subset=list(numeric))
+    index, hot = [f"_i_{c}" for c in categories], [f"_h_{c}" for c in categories]
+    coding = [
+        StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False),
+    ] if categories else []
+    model = Pipeline(stages=[
+        *coding, VectorAssembler(inputCols=[*numeric, *hot], outputCol="_v"),
+        KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster"), PCA(k=2, inputCol="_v", outputCol="_pc"),
+    ]).fit(known)
+    # MLlib projects without centring; the mean's own projection is taken off, which is one row.
+    out = model.transform(known).withColumn("_pc", vector_to_array("_pc"))
+    middle = out.agg(F.array(F.avg(F.col("_pc")[0]), F.avg(F.col("_pc")[1])).alias("m")).scalar()
+    axes = {f"pc{i + 1}": F.col("_pc")[i] - middle[i] for i in (0, 1)}
+    return out.withColumns(axes).select(*[F.col(f"`{c}`") for c in df.columns], "cluster", "pc1", "pc2"), model
 
 
 def profile(df: DataFrame, numeric: Sequence[str], key: str = "cluster") -> DataFrame:

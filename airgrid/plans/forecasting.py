@@ -95,13 +95,14 @@ def profile_means_at(profile: dict[str, Column], t: Column, target: str) -> dict
 def profile_with(profile: dict[str, Column], t: Column, value: Column) -> dict[str, Column]:
     """The accumulators with one more value."""
 
-    def added(values: Column, at: Column, add: Column) -> Column:
-        return F.transform(values, lambda x, i: F.when(i == at, x + add).otherwise(x))
+    def added(c: str, at: Column, add: Column) -> Column:
+        # One by one: a lambda here would meet its own variables again when Catalyst joins the projections of several steps.
+        return F.array(*[F.get(profile[c], F.lit(i)) + F.when(at == i, add).otherwise(F.lit(0.0)) for i in range(PROFILE[c])])
 
     out = {}
     for name, at in (("hour", F.hour(t)), ("dow", F.weekday(t))):
-        out[f"_{name}_sum"] = added(profile[f"_{name}_sum"], at, value)
-        out[f"_{name}_n"] = added(profile[f"_{name}_n"], at, F.lit(1.0))
+        out[f"_{name}_sum"] = added(f"_{name}_sum", at, value)
+        out[f"_{name}_n"] = added(f"_{name}_n", at, F.lit(1.0))
     return out
 
 

@@ -189,7 +189,22 @@ def _(spark, d):
     return season.acf(target(spark, d), Y, 48)
 
 
-@query("pacf_48", "E17")
+_ACF_LIST = (
+    s.cte("target", c=f"SELECT station, time, {Y} - avg({Y}) OVER (PARTITION BY station) AS c FROM target",
+          l="SELECT a.station, range AS lag, c, lag(c, CAST(range AS INTEGER)) OVER (PARTITION BY a.station, range ORDER BY time) AS cl FROM c a, range(49)",
+          r="SELECT station, lag, sum(c * cl) / sum(c * c) AS acf FROM l GROUP BY 1, 2",
+          rho="SELECT station, list(acf ORDER BY lag) AS r FROM r GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1)
+)
+
+
+@query(
+    "pacf_48", "E17",
+    # One order more in each round: the new coefficient, then the others corrected by it.
+    _ACF_LIST + ", steps AS (SELECT station, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, 1e0 AS p FROM rho UNION ALL "
+    "SELECT station, r, k + 1, list_append([phi[j] - q * phi[k + 1 - j] FOR j IN range(1, k + 1)], q), q FROM (SELECT *, "
+    "(r[k + 2] - coalesce(list_sum([phi[j] * r[k + 2 - j] FOR j IN range(1, k + 1)]), 0)) / (1 - coalesce(list_sum([phi[j] * r[j + 1] FOR j IN range(1, k + 1)]), 0)) AS q FROM steps WHERE k < 48)) "
+    "SELECT station, CAST(k AS INTEGER) AS lag, p AS pacf FROM steps", "pacf",
+)
 def _(spark, d):
     return season.pacf(target(spark, d), Y, 48)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airgrid.functions import icons
 from airgrid.functions.rows import clip
-from airgrid.operators import evaluate, lagging, reshape, season
+from airgrid.operators import evaluate, lagging, season
 from airgrid.operators.outliers import clean_training_series, training_bounds
 from airgrid.plans import clusters, feeds, forecasting, station_models, training
 from airgrid.plans import features as plan
@@ -149,6 +149,38 @@ def _(spark, d):
     return evaluate.metrics(scored, Y, "prediction", ["station"])
 
 
+_ANGLE = "epoch(time) % 86400 * (2 * pi() / 86400)"
+
+
+def _det(a: str, b: str, c: str) -> str:
+    """Determinant of the matrix of three rows of three."""
+    (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = (x.split() for x in (a, b, c))
+    return f"({a1} * ({b2} * {c3} - {b3} * {c2}) - {a2} * ({b1} * {c3} - {b3} * {c1}) + {a3} * ({b1} * {c2} - {b2} * {c1}))"
+
+
+_NORMAL = {
+    "f": f"SELECT station, time, {Y} AS y, epoch(time) / 86400e0 - 19000e0 AS x1, sin({_ANGLE}) AS x2, cos({_ANGLE}) AS x3 FROM target",
+    "g": "SELECT station, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, "
+         + ", ".join(f"regr_sxy(x{i}, x{j})" + (" + 1e-6" if i == j else "") + f" AS s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + ", "
+         + ", ".join(f"regr_sxy(y, x{i}) AS t{i}" for i in (1, 2, 3)) + " FROM f WHERE y IS NOT NULL GROUP BY 1",
+    "d": "SELECT *, " + _det("s11 s12 s13", "s21 s22 s23", "s31 s32 s33") + " AS det FROM g",
+    "b": "SELECT *, " + _det("t1 s12 s13", "t2 s22 s23", "t3 s32 s33") + " / det AS b1, " + _det("s11 t1 s13", "s21 t2 s23", "s31 t3 s33") + " / det AS b2, "
+         + _det("s11 s12 t1", "s21 s22 t2", "s31 s32 t3") + " / det AS b3 FROM d",
+}
+
+
+@query(
+    "seasonal_regression_daily", "J18 J11",
+    s.cte("target", **_NORMAL) + "SELECT f.station, time, n, greatest(0, my + b1 * (x1 - m1) + b2 * (x2 - m2) + b3 * (x3 - m3)) AS prediction FROM f JOIN b ON f.station = b.station", "prediction",
+)
+def _(spark, d):
+    """Trend and one daily wave per station; SQL solves the same normal equations."""
+    series = target(spark, d)
+    framed, models, names = training.seasonal_regression(series, Y, daily=1, weekly=0)
+    scored = training.apply_grouped(framed, models, names)
+    return scored.join(models.select("station", "n"), "station").select("station", "time", "n", "prediction")
+
+
 @query("station_models", "J11 L7")
 def _(spark, d):
     """One boosted model that splits on the station, scored per station, without a job per station."""
@@ -173,7 +205,7 @@ def _(spark, d):
 
 def _clustered(spark, d):
     wx = feeds.hourly_weather_station(spark, d)
-    return clusters.cluster(wx, ["temperature", "humidity", "wind_speed"], "weather_icon", reshape.levels(wx, "weather_icon"))
+    return clusters.cluster(wx, ["temperature", "humidity", "wind_speed"], ["weather_icon"])
 
 
 @query("kmeans_profile", "J14 J16 D24 D12")
@@ -188,6 +220,32 @@ def _(spark, d):
     return rows.select("station", "time", "cluster", "pc1", "pc2")
 
 
+_PAIR = (
+    s.cte("wx", k="SELECT station, time, temperature AS x, wind_speed AS y FROM wx WHERE temperature IS NOT NULL AND wind_speed IS NOT NULL",
+          c="SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS c, covar_samp(x, y) AS b, count(*) AS n FROM k",
+          e="SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1, (a + c) / 2 - sqrt((a - c) * (a - c) / 4 + b * b) AS l2 FROM c",
+          v="SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS w, l1 / (l1 + l2) AS share FROM e")
+)
+
+
+@query("pca_pair", "J15", _PAIR + "SELECT station, time, abs((x - mx) * u + (y - my) * w) AS pc1, abs((y - my) * u - (x - mx) * w) AS pc2, share FROM k, v", "pc1 pc2 share")
+def _(spark, d):
+    """Projection of two numbers without conditions, where SQL knows the axes; axes have no sign."""
+    wx = feeds.hourly_weather_station(spark, d)
+    rows, model = clusters.cluster(wx, ["temperature", "wind_speed"], [])
+    share = float(model.stages[-1].explainedVariance[0])
+    return rows.select("station", "time", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"), F.lit(share).alias("share"))
+
+
+@query("clusters_of_many", "J14 J15 J16")
+def _(spark, d):
+    """Clusters over numbers and two categories, one of them with up to 1500 levels."""
+    rows, _ = many_stations(spark, d)
+    daily = rows.groupBy("station", F.dayofweek("time").cast("string").alias("weekday")).agg(F.avg("value").alias("temperature"), F.avg("hour").alias("wind_speed"))
+    found, _ = clusters.cluster(daily, ["temperature", "wind_speed"], ["station", "weekday"])
+    return clusters.label_clusters(clusters.profile(found, ["temperature", "wind_speed"]))
+
+
 @query("saved_model", "J13")
 def _(spark, d):
     """A model saved, loaded again and applied; both predictions side by side."""

@@ -38,6 +38,19 @@ _scale_query("gapped", "I3 I6")
 _scale_query("continuous", "I4 I6")
 
 
+_O3 = ["rounded", "unconverted", "gapped", "continuous"]
+
+
+@query(
+    "aqi_o3", "I1 I2 I3 I4 I5",
+    "WITH v AS (SELECT event_id, round(value, 6) AS o3 FROM events) SELECT event_id, " + ", ".join(f"{s.score('o3', k, 'o3')} AS {k}" for k in _O3) + " FROM v", " ".join(_O3),
+)
+def _(spark, d):
+    """Every reading taken as ozone, which the feeds do not carry, on all four scales."""
+    values = feeds.events(spark, d).select("event_id", F.round("value", 6).alias("o3"))
+    return values.select("event_id", *[scales.score("o3", "o3", k).alias(k) for k in _O3])
+
+
 @query(
     "aqi_four_pollutants", "I6",
     s.cte("scored") + "SELECT station, time, greatest(pm25, pm10, no2, co) AS overall_aqi FROM scored",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from airgrid.functions.scales import BANDS, GAS_FACTORS, segments
 from airgrid.schema import POLLUTANTS, WEATHER_NUMERIC
 
 PARAMETER_CASE = (
@@ -30,16 +29,50 @@ def half_even_tenth(c: str) -> str:
     return f"((CAST(trunc({d}) AS BIGINT) + CASE WHEN {up} THEN 1 ELSE 0 END) / 10e0)"
 
 
+# Fixed values, written out here once more so that a wrong one in the engine shows: concentrations at the index values
+# 0, 50, 100, 150, 200, 300, 400 and 500.
+TOPS = {
+    "pm25": (0, 12, 35.4, 55.4, 150.4, 250.4, 350.4, 500.4),
+    "pm10": (0, 54, 154, 254, 354, 424, 504, 604),
+    "o3": (0, 54, 70, 85, 105, 200, 404, 504),
+    "co": (0, 4.4, 9.4, 12.4, 15.4, 30.4, 40.4, 50.4),
+    "so2": (0, 35, 75, 185, 304, 604, 804, 1004),
+    "no2": (0, 53, 100, 360, 649, 1249, 1649, 2049),
+}
+AT = (0, 50, 100, 150, 200, 300, 400, 500)
+# The gapped scale's ranges: first and last concentration, first and last index.
+GAPPED = {
+    "pm25": ((0, 12, 0, 50), (12.1, 35.4, 51, 100), (35.5, 55.4, 101, 150), (55.5, 150.4, 151, 200), (150.5, 250.4, 201, 300), (250.5, 350.4, 301, 400), (350.5, 500.4, 401, 500)),
+    "pm10": ((0, 54, 0, 50), (55, 154, 51, 100), (155, 254, 101, 150), (255, 354, 151, 200), (355, 424, 201, 300), (425, 504, 301, 400), (505, 604, 401, 500)),
+    "o3": ((0, 54, 0, 50), (55, 70, 51, 100), (71, 85, 101, 150), (86, 105, 151, 200), (106, 200, 201, 300), (201, 300, 301, 400), (301, 400, 401, 500)),
+    "co": ((0, 4.4, 0, 50), (4.5, 9.4, 51, 100), (9.5, 12.4, 101, 150), (12.5, 15.4, 151, 200), (15.5, 30.4, 201, 300), (30.5, 40.4, 301, 400), (40.5, 50.4, 401, 500)),
+    "so2": ((0, 35, 0, 50), (36, 75, 51, 100), (76, 185, 101, 150), (186, 304, 151, 200), (305, 604, 201, 300), (605, 804, 301, 400), (805, 1004, 401, 500)),
+    "no2": ((0, 53, 0, 50), (54, 100, 51, 100), (101, 360, 101, 150), (361, 649, 151, 200), (650, 1249, 201, 300), (1250, 1649, 301, 400), (1650, 2049, 401, 500)),
+}
+# The continuous scale ends in one piece from index 300 to 400, up to these concentrations, and goes on beyond.
+LAST = {"pm25": 400, "pm10": 599, "o3": 300, "co": 100, "so2": 1000, "no2": 1999}
+TO_PPM = {"co": "0.000872e0", "so2": "0.381e0", "no2": "0.531e0", "o3": "0.5094e0"}
+
+
+def pieces(pollutant: str, scale: str) -> list[tuple[float, float, float, float]]:
+    tops = TOPS[pollutant]
+    if scale == "gapped":
+        return list(GAPPED[pollutant])
+    if scale == "continuous":
+        return [*zip(tops[:5], tops[1:6], AT[:5], AT[1:6]), (tops[5], LAST[pollutant], 300, 400)]
+    return list(zip(tops, tops[1:], AT, AT[1:]))
+
+
 def score(pollutant: str, scale: str, c: str) -> str:
-    rows = segments(scale, pollutant)
+    rows = pieces(pollutant, scale)
 
     def line(row) -> str:
         lo, hi, a, b = row
         return f"{lit((b - a) / (hi - lo))} * (x - {lit(lo)}) + {lit(a)}"
 
     x = c
-    if scale == "rounded" and pollutant in GAS_FACTORS:
-        x = f"({c}) * {lit(GAS_FACTORS[pollutant])}"
+    if scale == "rounded" and pollutant in TO_PPM:
+        x = f"({c}) * {TO_PPM[pollutant]}"
     if scale == "gapped":
         x = half_even_tenth(c) if pollutant in ("pm25", "pm10", "co") else f"trunc({c})"
         whens = " ".join(f"WHEN x >= {lit(r[0])} AND x <= {lit(r[1])} THEN round_even({line(r)}, 0)" for r in rows)
@@ -54,13 +87,17 @@ def score(pollutant: str, scale: str, c: str) -> str:
 
 
 def category(c: str) -> str:
-    whens = " ".join(f"WHEN {c} <= {top} THEN '{name}'" for top, name, _ in BANDS[:-1])
-    return f"CASE WHEN {c} IS NULL THEN 'Unknown' {whens} ELSE '{BANDS[-1][1]}' END"
+    return (
+        f"CASE WHEN {c} IS NULL THEN 'Unknown' WHEN {c} <= 50 THEN 'Good' WHEN {c} <= 100 THEN 'Moderate' WHEN {c} <= 150 THEN 'Unhealthy for Sensitive Groups' "
+        f"WHEN {c} <= 200 THEN 'Unhealthy' WHEN {c} <= 300 THEN 'Very Unhealthy' ELSE 'Hazardous' END"
+    )
 
 
 def colour(c: str) -> str:
-    whens = " ".join(f"WHEN {c} <= {top} THEN '{paint}'" for top, _, paint in BANDS[:-1])
-    return f"CASE WHEN {c} IS NULL THEN 'gray' {whens} ELSE '{BANDS[-1][2]}' END"
+    return (
+        f"CASE WHEN {c} IS NULL THEN 'gray' WHEN {c} <= 50 THEN 'green' WHEN {c} <= 100 THEN 'yellow' WHEN {c} <= 150 THEN 'orange' "
+        f"WHEN {c} <= 200 THEN 'red' WHEN {c} <= 300 THEN 'purple' ELSE 'maroon' END"
+    )
 
 
 def mode(name: str, source: str, keys: str, column: str) -> str:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid.functions import clock, textunits
 from airgrid.operators.reshape import canonical_parameter, ensure_columns
+from airgrid.session import cut_lineage
 from airgrid.schema import HOURLY_FORECAST, MEASUREMENT_RECORD, STATION_DUMP
 
 # The flat columns of a measurement file, in order.
@@ -30,6 +34,76 @@ def read_station_dump(spark: SparkSession, path: str, lines: bool = False) -> Da
     return spark.read.text(path, wholetext=not lines).select(F.from_json("value", STATION_DUMP).alias("dump"))
 
 
+_KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*([\[{])')
+_ENTRY = pa.schema([("file", pa.string()), ("block", pa.int64()), ("station", pa.string()), ("data_type", pa.string()), ("parameter", pa.string()), ("entry", pa.string()), ("is_last", pa.bool_())])
+
+
+def _unescaped(text: str) -> str:
+    return json.loads(f'"{text}"') if "\\" in text else text
+
+
+def _quotes(piece: str) -> int:
+    """Quotation marks that begin or end a text."""
+    return piece.replace("\\\\", "").replace('\\"', "").count('"')
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of files, each up to a closing brace, as entries with the keys last seen in their block; and each block's last keys."""
+    now, keys, held = None, [None, None, None], ""
+
+    def end():
+        if held:
+            raise ValueError(f"a text with a brace lies across two blocks of {now[0]}; read it with larger spark.sql.files.maxPartitionBytes")
+        return (*now, *keys, None, True)
+
+    for batch in batches:
+        rows = []
+        for piece, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != now:
+                if now:
+                    rows.append(end())
+                now, keys, held = (file, block), [None, None, None], ""
+            piece = held + piece
+            held = ""
+            if _quotes(piece) % 2:  # the brace was part of a text
+                held = piece + "}"
+                continue
+            found = _KEY.findall(piece)
+            lists = [_unescaped(k) for k, opened in found if opened == "["]
+            maps = [_unescaped(k) for k, opened in found if opened == "{"]
+            # A station comes with its first kind; a kind or station without entries leaves nothing.
+            if lists:
+                if len(maps) > 1:
+                    keys[0] = maps[-2]
+                if maps:
+                    keys[1] = maps[-1]
+                keys[2] = lists[-1]
+            at = piece.rfind("{")
+            if at >= 0 and not _KEY.search(piece, max(at - 1, 0)) and '"' in piece[at:] and not (found and found[-1][1] == "{"):
+                rows.append((*now, *keys, piece[at:] + "}", False))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], names=_ENTRY.names)
+    if now:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(end(), _ENTRY.types)], names=_ENTRY.names)
+
+
+def read_station_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``station, data_type, parameter, entry``: the entries of station files, each one JSON object over any number of lines.
+
+    Files are cut at closing braces, so a large one is read by several tasks. A block knows the keys that stand in it; what
+    its first entries belong to is carried over from the blocks before, of which a file has few. An entry is a flat object
+    without lists. Braces inside texts are told apart by their quotation marks.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    names = ["station", "data_type", "parameter"]
+    kinds = "file STRING, block LONG, " + ", ".join(f"{n} STRING" for n in names) + ", entry STRING, is_last BOOLEAN"
+    rows = cut_lineage(pieces.mapInArrow(_entries, kinds))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.where("is_last").select("file", "block", *[F.last(n, ignorenulls=True).over(before).alias(f"_{n}") for n in names])
+    joined = rows.where("NOT is_last").join(carried, ["file", "block"])
+    return joined.select(*[F.coalesce(n, f"_{n}").alias(n) for n in names], F.from_json("entry", "MAP<STRING, STRING>").alias("entry"))
+
+
 def read_measurement_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MEASUREMENT_RECORD).json(path)
 

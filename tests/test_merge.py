@@ -198,6 +198,34 @@ def test_station_dump_files(spark, tmp_path):
     assert STATION_DUMP.simpleString().startswith("map<string,map")
 
 
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("block", [200, 100_000])
+def test_station_objects_are_read_by_ranges(spark, tmp_path, indent, block):
+    """However the file is cut, every entry is found under its keys."""
+    import json
+
+    rng = random.Random(5)
+    dump = {}
+    for i in range(12):
+        kinds = dump.setdefault(f"Tram {i} \"Đ\u1ed1ng\" \\ x", {})
+        for kind in ("stat", "aqi")[: rng.randrange(3)]:
+            kinds[kind] = {p: [{"time": f"2024-01-0{rng.randrange(1, 9)} 0{j % 10}:00:00", "value": str(rng.random())} for j in range(rng.choice([0, 1, 9]))] for p in ("PM2_5", "CO")[: rng.randrange(3)]}
+    dump["braces"] = {"stat": {"O3": [{"time": "{odd} }", "value": "1"}] if block > 1000 else []}}
+    for name, content in (("a", dump), ("b", dump), ("c", {})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(content, indent=indent, ensure_ascii=name == "b"))
+    want = sorted([(s, k, p, e["time"], e["value"]) for s, kinds in dump.items() for k, ps in kinds.items() for p, es in ps.items() for e in es] * 2)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(block))
+    try:
+        found = readers.read_station_entries(spark, str(tmp_path))
+        got = sorted((r.station, r.data_type, r.parameter, r.entry["time"], r.entry["value"]) for r in found.collect())
+        pieces = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and (pieces > 10 or block > 1000)
+
+
 def test_sql_text_and_file(spark, tmp_path):
     df = spark.range(5)
     assert readers.run_sql(spark, "SELECT count(*) n FROM v WHERE id > :low", {"v": df}, low=2).first().n == 2

@@ -165,12 +165,55 @@ def test_clusters_are_named_by_their_centres(spark, series):
     for i, (t, h, w) in enumerate([(35, 30, 5), (15, 90, 5), (22, 60, 40)]):
         rows += [("S", f"t{i}{j}", float(t + rng.normal()), float(h + rng.normal()), float(w + rng.normal()), "rain") for j in range(40)]
     df = spark.createDataFrame(rows, "station STRING, time STRING, temperature DOUBLE, humidity DOUBLE, wind_speed DOUBLE, weather_icon STRING")
-    out, _ = clusters.cluster(df, ["temperature", "humidity", "wind_speed"], "weather_icon", ["rain"])
+    out, _ = clusters.cluster(df, ["temperature", "humidity", "wind_speed"], ["weather_icon"])
     named = {r.cluster_label: r for r in clusters.label_clusters(clusters.profile(out, ["temperature", "humidity", "wind_speed"])).collect()}
     assert named["hot-dry"].temperature > 30 and named["windy"].wind_speed > 35 and named["cool-humid"].humidity > 80
     assert abs(out.agg(F.avg("pc1")).first()[0]) < 1e-9
 
 
+def test_clusters_over_many_levels(spark):
+    from airgrid.plans import clusters
+
+    df = spark.range(3000).select(F.concat(F.lit("c"), (F.col("id") % 1500).cast("string")).alias("sky"), (F.col("id") % 3 * 40 + F.rand(1)).alias("t"), F.when(F.col("id") > 5, F.rand(2)).alias("w"))
+    out, model = clusters.cluster(df, ["t", "w"], ["sky"])
+    assert out.count() == 2994 and out.columns == ["sky", "t", "w", "cluster", "pc1", "pc2"]
+    assert out.groupBy("cluster").agg(F.max("t") - F.min("t")).where("`(max(t) - min(t))` > 1").count() == 0
+    r = out.agg(F.avg("pc1"), F.avg("pc2"), F.var_samp("pc1"), F.corr("pc1", "t")).first()
+    assert abs(r[0]) < 1e-9 and abs(r[1]) < 1e-9 and abs(r[3]) > 0.999
+
+
+def test_station_models_as_rows(spark):
+    from airgrid.plans import station_models
+
+    rng = np.random.default_rng(1)
+    rows = [(f"S{i % 40}", float(x), float(i % 7), float(3 * x + i % 40) if i % 9 else None) for i, x in enumerate(rng.random(800))] + [("alone", 1.0, 2.0, 5.0), (None, 1.0, 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "station STRING, x DOUBLE, z DOUBLE, y DOUBLE")
+    path = f"{shared_dir(spark)}/models-{rng.integers(1 << 40)}"
+    station_models.store(station_models.fit_linear(df, ["x"], "y"), path)
+    station_models.store(station_models.fit_boosted(df.where("station IS NOT NULL"), ["x", "z"], "y", 30, 0.5), path)
+    station_models.store(station_models.fit_linear(df.where("station = 'S1'"), ["x"], "y"), path)
+    models = station_models.load(spark, path)
+    assert models.groupBy("kind").count().collect() and models.count() == 41 + 1 + 41
+    scored = station_models.score(df.where("y IS NOT NULL AND station LIKE 'S%'"), models, ["x"], "linear")
+    assert scored.agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1e-6
+    boosted = station_models.score(df.where("y IS NOT NULL AND station LIKE 'S%'"), station_models.load(spark, path, ["S1", "S2"]), ["x", "z"], "boosted")
+    r = boosted.agg(F.count("prediction"), F.avg(F.abs(F.col("prediction") - F.col("y"))), F.count_if(F.col("prediction").isNull())).first()
+    assert 30 <= r[0] <= 40 and r[1] < 0.2 and r[2] > 600
+    assert station_models.score(df, models, ["z"], "boosted").where("prediction IS NOT NULL").count() == 0  # other features, no model
+
+
+def test_running_profiles_in_steps_and_folded(spark, history):
+    """A tree that only hands on the profile follows the same accumulators as the folded linear model."""
+    columns = ["overall_aqi_hour_avg", "overall_aqi_dow_avg"]
+    train = history.withColumns(lagging.running_profiles("overall_aqi")).na.drop("any")
+    model = training.fit_models(train, columns, ["linear"], with_ridge=False)["linear"]
+    start = forecasting.station_state(history, 50, [], None, "overall_aqi", 1, True)
+    folded = {(r.station, r.horizon): r.forecast for r in forecasting.recursive_forecast(model, history, columns, 50).collect()}
+    stepped = forecasting._stepwise(model, start, columns, 50, (), [], "overall_aqi", 1, 10, ())
+    for r in stepped.collect():
+        assert [folded[r.station, i + 1] for i in range(50)] == pytest.approx(r._made)
+
+
 def test_per_station_models(spark, history):
     frame = features.pooled(history)
     models = training.fit_per_station(
