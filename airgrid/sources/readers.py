@@ -34,14 +34,11 @@ def read_station_dump(spark: SparkSession, path: str, lines: bool = False) -> Da
     return spark.read.text(path, wholetext=not lines).select(F.from_json("value", STATION_DUMP).alias("dump"))
 
 
-_KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*([\[{])')
+_TEXT = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+_KEY = re.compile(r'"_*"\s*:\s*([\[{])')
 _ENTRY = pa.schema([("file", pa.string()), ("block", pa.int64()), ("station", pa.string()), ("data_type", pa.string()), ("parameter", pa.string()), ("entry", pa.string()), ("is_last", pa.bool_())])
 
 
-def _unescaped(text: str) -> str:
-    return json.loads(f'"{text}"') if "\\" in text else text
-
-
 def _quotes(piece: str) -> int:
     """Quotation marks that begin or end a text."""
     return piece.replace("\\\\", "").replace('\\"', "").count('"')
@@ -68,9 +65,10 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _quotes(piece) % 2:  # the brace was part of a text
                 held = piece + "}"
                 continue
-            found = _KEY.findall(piece)
-            lists = [_unescaped(k) for k, opened in found if opened == "["]
-            maps = [_unescaped(k) for k, opened in found if opened == "{"]
+            bare = _TEXT.sub(lambda m: f'"{"_" * (len(m[0]) - 2)}"', piece)  # the piece with its texts blanked out
+            found = [(json.loads(piece[m.start() : bare.index('"', m.start() + 1) + 1]), m[1]) for m in _KEY.finditer(bare)]
+            lists = [k for k, opened in found if opened == "["]
+            maps = [k for k, opened in found if opened == "{"]
             # A station comes with its first kind; a kind or station without entries leaves nothing.
             if lists:
                 if len(maps) > 1:
@@ -78,8 +76,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if maps:
                     keys[1] = maps[-1]
                 keys[2] = lists[-1]
-            at = piece.rfind("{")
-            if at >= 0 and not _KEY.search(piece, max(at - 1, 0)) and '"' in piece[at:] and not (found and found[-1][1] == "{"):
+            at = bare.rfind("{")
+            if at >= 0 and '"' in bare[at:] and not _KEY.search(bare, at) and not (found and found[-1][1] == "{"):
                 rows.append((*now, *keys, piece[at:] + "}", False))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ENTRY.types)], names=_ENTRY.names)
