@@ -8,6 +8,7 @@ often a pair is linked beyond once.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -39,8 +40,10 @@ class Aligner:
         self.a = ByteIds(path_a, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = {c: b for b, c in byte_letters().items()}
-        own = self.a.tokenizer
-        self.bytes_a = [bytes(letters.get(c, 0) for c in own.id_to_token(i) or "") for i in range(own.get_vocab_size())]
+        with open(path_a, encoding="utf-8") as f:
+            said = json.load(f)
+        tokens = {i: t for t, i in said["model"]["vocab"].items()} | {t["id"]: t["content"] for t in said.get("added_tokens", [])}
+        self.bytes_a = [bytes(letters.get(c, 0) for c in tokens.get(i, "")) for i in range(max(tokens) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.len_a = np.array([len(x) for x in self.bytes_a])

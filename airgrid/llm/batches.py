@@ -13,3 +13,4 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps no batches

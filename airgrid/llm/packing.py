@@ -55,7 +55,7 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, capacity: int, doc
         from pyspark import TaskContext
 
         encoder, part, ranks = word_ids(tokenizer, True), TaskContext.get().partitionId(), Counter()
-        narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
+        narrow = encoder.vocabulary <= 1 << 16
         kind = "<u2" if narrow else "<u4"
         for batch in small(batches):
             rows = []

@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from array import array
+from functools import cached_property
 
 # Letters and marks whose class is the same in every Unicode version: each run of one kind is a single piece.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
@@ -31,10 +32,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def byte_ranks(path: str) -> dict[bytes, int] | None:
-    """The bytes of each ordinary token of a byte-level file, by id; None if its ids do not follow its merges."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+def byte_ranks(said: dict) -> dict[bytes, int] | None:
+    """The bytes of each ordinary token of a byte-level file (read as JSON), by id; None if its ids do not follow its merges."""
     letters = {c: b for b, c in byte_letters().items()}
     special = {t["content"] for t in said.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
@@ -50,17 +49,28 @@ class ByteIds:
     """
 
     def __init__(self, path: str, special: bool = True):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.ranks = byte_ranks(path)
-        self.merge = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary if self.ranks else None
+        self.path, self.plain = path, not special
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        added = {t["content"]: t["id"] for t in said.get("added_tokens", [])}
+        self.special = list(added) if special else []
+        self.vocabulary = len(said["model"]["vocab"] | added)
+        ranks = byte_ranks(said)
+        self.merge = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
         self.settled: set[str] = set()
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded where a text asks for it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = self.plain
+        return own
+
     def sure(self, text: str) -> bool:
         """Whether each letter has had its class since early Unicode versions and no special token occurs."""
         new = set(text) - self.settled
