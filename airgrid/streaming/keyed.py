@@ -5,6 +5,7 @@ Rows are combined in each task before they are shuffled, so a busy station sends
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from datetime import timedelta
@@ -24,15 +25,27 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 KEPT = 3  # snapshots that stay readable behind the newest
 
 
+_USERS = {"n": 0, "before": None}
+_LOCK = threading.Lock()
+
+
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """The state store this kind of state needs, for queries started inside; afterwards the setting is as before."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The state store this kind of state needs, for queries started inside; when the last user has left, the setting is as before.
+    Queries that other threads start meanwhile use that store too, which gives the same results."""
+    with _LOCK:
+        if not _USERS["n"]:
+            _USERS["before"] = spark.conf.get(PROVIDER, None)
+            spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        _USERS["n"] += 1
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        with _LOCK:
+            _USERS["n"] -= 1
+            if not _USERS["n"]:
+                before = _USERS["before"]
+                spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
 def _newest(key: str, order: Sequence[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
