@@ -116,13 +116,14 @@ def category_levels(model: PipelineModel) -> list[tuple[str, str]]:
     return [(column, level) for stage in indexers for column, labels in zip(stage.getInputCols(), stage.labelsArray) for level in labels]
 
 
-def importances(model: PipelineModel, columns: Sequence[str], spark: SparkSession, top: int | None = None) -> DataFrame:
-    """(feature, importance) of a tree model; linear models give absolute coefficients."""
+def importances(model: PipelineModel, columns: Sequence[str], spark: SparkSession, top: int | None = None, of: str | None = None) -> DataFrame:
+    """(feature, importance) of a tree model; linear models give absolute coefficients. ``of`` names the category whose levels
+    alone are wanted, as the station."""
     last = model.stages[-1]
     weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else np.abs(last.coefficients.toArray())
-    names = [*columns, *(f"{c}_{level}" for c, level in category_levels(model))]
+    names = [*((None, c) for c in columns), *((c, f"{c}_{level}") for c, level in category_levels(model))]
     frame = spark.createDataFrame(
-        [(c, float(w)) for c, w in zip(names, weights, strict=True)], "feature STRING, importance DOUBLE"
+        [(n, float(w)) for (c, n), w in zip(names, weights, strict=True) if of is None or c == of], "feature STRING, importance DOUBLE"
     ).orderBy(F.desc("importance"), "feature")
     return frame.limit(top) if top else frame
 
@@ -133,35 +134,76 @@ def grid_search(
 ) -> list[dict]:
     """Mean RMSE of every parameter combination over expanding time folds, best first.
 
-    ``make(**params)`` builds an estimator. Folds are cached once; combinations run in parallel as Spark
-    jobs of their own.
+    ``make(**params)`` builds an estimator. One frame with its fold column is cached; what a fold learns (means, scales, levels)
+    is fitted on its own past. Combinations run in parallel as Spark jobs of their own.
     """
     folded = expanding_folds(as_double(df, columns), folds).cache()
     try:
-        splits = []
-        for i in range(1, folds + 1):
-            train, test = folded.where(F.col("fold") < i), folded.where(F.col("fold") == i)
-            front = Pipeline(stages=preparation(columns, categories)).fit(train)
-            splits.append([front.transform(part).select(label, "features").cache() for part in (train, test)])
-
-        def rmse(params: dict) -> dict:
-            scores = []
-            for train, test in splits:
-                fitted = make(**params).fit(train)
-                scored = fitted.transform(test).select(label, F.greatest("raw_prediction", F.lit(0.0)).alias("prediction"))
-                scores.append(metrics(scored, label, "prediction").first()["rmse"])
-            return {"params": params, "rmse": float(np.mean(scores))}
-
+        splits = prepared_folds(folded, columns, folds, label, categories)
         combos = [dict(zip(grid, values)) for values in product(*grid.values())]
-        with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(rmse, combos))
+        return ranked_over_folds(splits, make, combos, label, parallelism)
+    finally:
+        folded.unpersist()
+
+
+def prepared_folds(folded: DataFrame, columns: Sequence[str], folds: int, label: str, categories: Sequence[str]) -> list[tuple[DataFrame, DataFrame]]:
+    """(training rows, test rows) per fold, as plans on the cached frame."""
+    splits = []
+    for i in range(1, folds + 1):
+        train, test = folded.where(F.col("fold") < i), folded.where(F.col("fold") == i)
+        front = Pipeline(stages=preparation(columns, categories)).fit(train)
+        splits.append(tuple(front.transform(part).select(label, "features") for part in (train, test)))
+    return splits
+
+
+def ranked_over_folds(splits: list[tuple[DataFrame, DataFrame]], make, combos: Sequence[dict], label: str, parallelism: int) -> list[dict]:
+    def rmse(params: dict) -> dict:
+        scores = []
         for train, test in splits:
-            train.unpersist(), test.unpersist()
-        return sorted(results, key=lambda r: r["rmse"])
+            scored = make(**params).fit(train).transform(test).select(label, F.greatest("raw_prediction", F.lit(0.0)).alias("prediction"))
+            scores.append(metrics(scored, label, "prediction").first()["rmse"])
+        return {"params": params, "rmse": float(np.mean(scores))}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return sorted(pool.map(rmse, combos), key=lambda r: r["rmse"])
+
+
+def boosted(rounds: int, label: str = TARGET, **params) -> GBTRegressor:
+    return GBTRegressor(maxIter=rounds, seed=SEED, labelCol=label, featuresCol="features", predictionCol="raw_prediction", **params)
+
+
+def tune_boosted(
+    df: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence], rounds: Sequence[int] = (10, 20, 40), folds: int = 5, label: str = TARGET,
+    parallelism: int = 4, categories: Sequence[str] = (),
+) -> list[dict]:
+    """Successive halving of boosted models: all combinations with few rounds over expanding time folds, the better half again
+    with more, and so on. Returns (stage, rounds, params, rmse, rank), the last stage's best first; one frame is cached."""
+    folded = expanding_folds(as_double(df, columns), folds).cache()
+    try:
+        splits = prepared_folds(folded, columns, folds, label, categories)
+        combos, out = [dict(zip(grid, values)) for values in product(*grid.values())], []
+        for stage, n in enumerate(rounds):
+            results = ranked_over_folds(splits, lambda n=n, **p: boosted(n, label, **p), combos, label, parallelism)
+            out = [{"stage": stage, "rounds": n, "rank": i + 1, **r} for i, r in enumerate(results)] + out
+            combos = [r["params"] for r in results[: max(1, len(results) // 2)]]
+        return out
     finally:
         folded.unpersist()
 
 
+def fit_boosted(df: DataFrame, columns: Sequence[str], params: Mapping, most: int = 100, held: float = 0.8, label: str = TARGET, categories: Sequence[str] = ()) -> tuple[PipelineModel, int]:
+    """A boosted model that stops when the newest rows (behind the ``held`` quantile of the time, at a whole hour) no longer gain; and its rounds."""
+    front = Pipeline(stages=preparation(columns, categories)).fit(as_double(df, columns))
+    hour = df.select(F.unix_micros(F.col("time").cast("timestamp")).alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    bound = F.timestamp_micros(F.lit(int(hour.lo + (hour.hi - hour.lo) * held))).cast("timestamp_ntz")
+    rows = front.transform(as_double(df, columns)).select(label, "features", (F.col("time") >= F.date_trunc("hour", bound)).alias("_held")).cache()
+    try:
+        model = boosted(most, label, validationIndicatorCol="_held", validationTol=0.005, **params).fit(rows)
+    finally:
+        rows.unpersist()
+    return PipelineModel(stages=[*front.stages, model]), model.getNumTrees
+
+
 def gram(df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:
     """Per key the sums that define a least-squares fit: one combined aggregate, no raw rows gathered."""
     names = [*features, label]

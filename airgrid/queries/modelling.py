@@ -71,6 +71,29 @@ def _(spark, d):
     return spark.createDataFrame(rows, "max_depth INT, num_trees INT, rmse DOUBLE, rank INT")
 
 
+@query("station_importance", "J9 J12")
+def _(spark, d):
+    """How much the single stations matter to a pooled forest."""
+    frame, columns, _ = dataset(spark, d)
+    models = training.fit_models(_split(frame)[0], columns, ["random_forest"], with_ridge=False, categories=CATEGORIES)
+    return training.importances(models["random_forest"], columns, spark, of="station")
+
+
+@query("tuned_boosting", "J10 J6 J7 L12")
+def _(spark, d):
+    """Boosted models halved over time folds; the best one, stopped early, against the usual settings on the held-out rows."""
+    frame, columns, _ = dataset(spark, d)
+    train, test = _split(frame)
+    results = training.tune_boosted(train, columns, {"maxDepth": [3, 5], "stepSize": [0.1, 0.3]}, (3, 6), folds=2, categories=CATEGORIES)
+    best, used = training.fit_boosted(train, columns, results[0]["params"], 20, categories=CATEGORIES)
+    base = Pipeline(stages=[*training.preparation(columns, CATEGORIES), training.boosted(20, maxDepth=5, stepSize=0.1)]).fit(training.as_double(train, columns))
+    both = training.compare({"tuned": best, "base": base}, test, columns).select("model", "rmse")
+    rows = [(f"stage {r['stage']}", r["rounds"], r["params"]["maxDepth"], r["params"]["stepSize"], r["rank"], r["rmse"]) for r in results]
+    final = {"tuned": (used, *results[0]["params"].values()), "base": (20, 5, 0.1)}
+    rows += [(r.model, *final[r.model], 1, r.rmse) for r in both.collect()]
+    return spark.createDataFrame(rows, "name STRING, rounds INT, max_depth INT, step_size DOUBLE, rank INT, rmse DOUBLE")
+
+
 @query("recursive_forecast", "K1 K2 K9 J12")
 def _(spark, d):
     frame, columns, history = dataset(spark, d)

@@ -19,6 +19,7 @@ HEADLINE = [
     "interpolate_time", "winsorize_global", "tiered_impute", "keep_most_complete", "upsert_coalesce", "merge_sources", "rolling_prev",
     "extended_features", "decompose_24", "acf_48", "metrics", "pattern_forecast", "recursive_forecast", "stream_hourly",
     "carry_raw_rows", "stored_upsert", "stored_keep_last", "stream_dedup", "stream_upsert", "station_models",
+    "snapshot_upsert", "boosted_station_models", "recursive_profiles", "landed_object_rows",
 ]
 
 
