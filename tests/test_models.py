@@ -139,6 +139,33 @@ def test_grid_search_orders_by_error(spark, history):
     assert [r["params"]["regParam"] for r in results] == [0.01, 100.0]
 
 
+def test_training_rows_are_packed_whatever_the_shuffle_setting(spark, history):
+    frame = features.pooled(history)
+    columns = ["overall_aqi_lag_1h", "hour_sin"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    made = []
+
+    def make(regParam):
+        class Seen(LinearRegression):
+            def _fit(self, rows):
+                made.append((rows.rdd.getNumPartitions(), rows.count()))
+                return super()._fit(rows)
+
+        return Seen(labelCol="overall_aqi", featuresCol="features", predictionCol="raw_prediction", regParam=regParam)
+
+    try:
+        training.grid_search(frame, columns, make, {"regParam": [1.0]}, folds=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    n = frame.count()
+    assert sorted(made) == [(1, n - 2 * (n // 3)), (1, n - n // 3)]
+    packed = training.packed(frame, training.ROWS_PER_TASK + 1)
+    assert packed.rdd.getNumPartitions() == 2 and packed.exceptAll(frame).count() == 0 and frame.exceptAll(packed).count() == 0
+
+
 def test_seasonal_regression_and_guard(spark, history):
     split = lagging.split_per_key(history)
     framed, models, names = training.seasonal_regression(split.where("is_train"), "overall_aqi")
