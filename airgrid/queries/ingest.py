@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airgrid.functions.clock import epoch_seconds, floor_to
@@ -43,31 +42,11 @@ def _(spark, d):
     s.cte("readings") + "SELECT station, CASE WHEN parameter IN ('pm25', 'pm10') THEN 'stat' ELSE 'aqi' END AS data_type, parameter, date_trunc('second', time) AS time, value FROM readings",
 )
 def _(spark, d):
-    """All readings landed as one JSON object over many lines, read back by ranges of the file."""
+    """All readings landed as one JSON object over many lines, in files that follow one another, read back by ranges of them."""
     r = feeds.readings(spark, d).withColumn("kind", F.when(F.col("parameter").isin("pm25", "pm10"), "stat").otherwise("aqi"))
-    levels = [["station"], ["station", "kind"], ["station", "kind", "parameter"]]
-    order = [*levels[-1], "time", "event_id"]
-
-    def edge(keys, last=False):
-        by = Window.partitionBy(*keys).orderBy(*[(F.desc if last else F.asc)(c) for c in order])
-        return F.row_number().over(by) == 1
-
-    def key(name, bracket):
-        return F.concat(F.lit('"'), F.col(name), F.lit(f'": {bracket}\n'))
-
-    first, final = [edge(k) for k in levels], [edge(k, True) for k in levels]
-    none = F.lit("")
-    at, end = edge([F.lit(0)]), edge([F.lit(0)], True)
-    start = F.concat(
-        F.when(at, "{\n").otherwise(",\n"),
-        F.when(first[0], key("station", "{")).otherwise(none), F.when(first[1], key("kind", "{")).otherwise(none), F.when(first[2], key("parameter", "[")).otherwise(none),
-    )
-    entry = F.concat(F.lit('  {\n    "time": "'), F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit('",\n    "value": "'), F.col("value").cast("string"), F.lit('"\n  }'))
-    close = F.concat(F.when(final[2], "\n]").otherwise(none), F.when(final[1], "}").otherwise(none), F.when(final[0], "}").otherwise(none), F.when(end, "}").otherwise(none))
     out = place(spark, "object")
-    lines = r.select(*order, F.concat(start, entry, close).alias("value_text"))
-    lines.coalesce(1).sortWithinPartitions(*order).select("value_text").write.text(out)
-    return reshape.station_entry_rows(readers.read_station_entries(spark, out))
+    writers.write_station_object(r, out, ["station", "kind", "parameter"], ["time", "event_id"])
+    return reshape.station_entry_rows(readers.read_station_entries(spark, out, joined=True))
 
 
 @query(

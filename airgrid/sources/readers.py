@@ -85,21 +85,23 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(end(), _ENTRY.types)], names=_ENTRY.names)
 
 
-def read_station_entries(spark: SparkSession, path: str) -> DataFrame:
+def read_station_entries(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
     """``station, data_type, parameter, entry``: the entries of station files, each one JSON object over any number of lines.
 
     Files are cut at closing braces, so a large one is read by several tasks. A block knows the keys that stand in it; what
     its first entries belong to is carried over from the blocks before, of which a file has few. An entry is a flat object
-    without lists. Braces inside texts are told apart by their quotation marks.
+    without lists. Braces inside texts are told apart by their quotation marks. With ``joined`` the files are one object in the
+    order of their names (``writers.write_station_object``), and keys are carried from file to file.
     """
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     names = ["station", "data_type", "parameter"]
     kinds = "file STRING, block LONG, " + ", ".join(f"{n} STRING" for n in names) + ", entry STRING, is_last BOOLEAN"
     rows = cut_lineage(pieces.mapInArrow(_entries, kinds))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    series = Window.orderBy("file", "block") if joined else Window.partitionBy("file").orderBy("block")  # a row per block
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.where("is_last").select("file", "block", *[F.last(n, ignorenulls=True).over(before).alias(f"_{n}") for n in names])
-    joined = rows.where("NOT is_last").join(carried, ["file", "block"])
-    return joined.select(*[F.coalesce(n, f"_{n}").alias(n) for n in names], F.from_json("entry", "MAP<STRING, STRING>").alias("entry"))
+    entries = rows.where("NOT is_last").join(F.broadcast(carried), ["file", "block"])
+    return entries.select(*[F.coalesce(n, f"_{n}").alias(n) for n in names], F.from_json("entry", "MAP<STRING, STRING>").alias("entry"))
 
 
 def read_measurement_records(spark: SparkSession, path: str) -> DataFrame:

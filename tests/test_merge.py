@@ -226,6 +226,35 @@ def test_station_objects_are_read_by_ranges(spark, tmp_path, indent, block):
     assert got == want and (pieces > 10 or block > 1000)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_station_object_is_written_in_ranges(spark, tmp_path, parts):
+    """One object over several files, with ties, a null value and a name to be escaped; no task sorts it all."""
+    import json
+    from pathlib import Path
+
+    rng = random.Random(3)
+    rows = [(f'S"{rng.randrange(3)}', rng.choice(["stat", "aqi"]), rng.choice(["pm25", "co"]), T0 + dt.timedelta(minutes=rng.randrange(90)), rng.randrange(3), float(rng.randrange(9))) for _ in range(400)]
+    rows += [("S9", "stat", "pm25", T0, 1, 4.0)] * 3 + [("S9", "stat", "pm25", T0, 2, None)]
+    df = spark.createDataFrame(rows, "station STRING, kind STRING, parameter STRING, time TIMESTAMP_NTZ, event_id INT, value DOUBLE").repartition(5)
+    out = str(tmp_path / "object")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        writers.write_station_object(df, out, ["station", "kind", "parameter"], ["time", "event_id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = sorted(Path(out).glob("part-*"))
+    assert len(files) == parts
+    text = lambda t, v: (t.strftime("%Y-%m-%d %H:%M:%S"), None if v is None else str(v))
+    want = sorted([(s, k, p, *text(t, v)) for s, k, p, t, _, v in rows], key=str)
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert sorted([(s, k, p, e["time"], e["value"]) for s, kinds in whole.items() for k, ps in kinds.items() for p, es in ps.items() for e in es], key=str) == want
+    found = readers.read_station_entries(spark, out, joined=True).collect()
+    assert sorted([(r.station, r.data_type, r.parameter, r.entry["time"], r.entry["value"]) for r in found], key=str) == want
+
+
 def test_sql_text_and_file(spark, tmp_path):
     df = spark.range(5)
     assert readers.run_sql(spark, "SELECT count(*) n FROM v WHERE id > :low", {"v": df}, low=2).first().n == 2
