@@ -39,18 +39,28 @@ PARTS = 3
 _PART = f"(epoch_us(ts) - lo) * {PARTS} // (hi - lo + 1)"
 
 
+FILE_ROWS = 1_000_000
+
+
 def landed_in_parts(spark, d, late_every: int | None = None):
-    """The events as files that land one after the other, in order of time and cut inside an hour, read one per batch."""
+    """The events as files that land part by part, in order of time and cut inside an hour; a batch reads one part.
+
+    Every part has as many files as the others (empty ones, where its rows are too few), so a batch is a part at any size.
+    """
     events = spark.read.schema(EVENTS).parquet(f"{d}/events.parquet")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    lo, hi, n = events.agg(F.min(at), F.max(at), F.count("*")).first()
     part = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {lo}) * {PARTS} div ({hi} - {lo} + 1)") if lo is not None else F.lit(0)
     if late_every:
         part = F.least(part + (F.col("event_id") % late_every == 0).cast("int"), F.lit(PARTS - 1))
     folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    files = max(1, -(-n // (PARTS * FILE_ROWS)))
+    none = events.where("false").coalesce(1)
     for k in range(PARTS):
-        events.where(part == k).write.mode("append").parquet(folder)
-    rows = jobs.read_landed(spark, folder, EVENTS, "parquet", time="ts", files_per_trigger=1)
+        events.where(part == k).repartition(files).write.mode("append").parquet(folder)
+        for _ in range(files * (k + 1) - len(spark.read.schema(EVENTS).parquet(folder).inputFiles())):
+            none.write.mode("append").parquet(folder)
+    rows = jobs.read_landed(spark, folder, EVENTS, "parquet", time="ts", files_per_trigger=files)
     return readings_of(rows)
 
 

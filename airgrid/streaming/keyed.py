@@ -189,22 +189,26 @@ class Hours(StatefulProcessor):
             for i, c in enumerate(self.sums):
                 own[i] += r[c]
         bound = None if newest is None else newest - self.behind
+        stored = {hour: values for (hour,), values in self.open.iterator()}
+        held = dict(stored)  # hours that open and close within a batch never reach the store
         for hour in sorted(incoming):
             add = incoming[hour]
-            if self.open.containsKey((hour,)):
-                total = [a + b for a, b in zip(self.open.getValue((hour,)), add)]
-                self.open.updateValue((hour,), tuple(total))
-                yield self.row(key, hour, 0, False, total)
+            if hour in held:
+                held[hour] = [a + b for a, b in zip(held[hour], add)]
+                yield self.row(key, hour, 0, False, held[hour])
             elif bound is not None and hour <= bound:
                 parts += 1
                 yield self.row(key, hour, parts, False, add)
             else:
-                self.open.updateValue((hour,), tuple(add))
+                held[hour] = add
                 yield self.row(key, hour, 0, True, add)
         newest = max([h for h in (newest, *incoming) if h is not None], default=None)
         if newest is not None:
-            for (hour,) in list(self.open.keys()):
-                if hour <= newest - self.behind:
+            for hour, values in held.items():
+                if hour > newest - self.behind:
+                    if hour in incoming:
+                        self.open.updateValue((hour,), tuple(values))
+                elif hour in stored:
                     self.open.removeKey((hour,))
             self.seen.update((newest, parts))
 

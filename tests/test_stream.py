@@ -181,6 +181,21 @@ def test_closed_hours_leave_the_state_and_take_late_rows(spark, parts):
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 2 * 4
 
 
+def test_a_batch_is_a_part_however_many_files(spark, monkeypatch):
+    """Events in several files; the middle third of the time has one row."""
+    from airgrid.queries import streams
+
+    d = place(spark)
+    hours = [i * 0.1 for i in range(100)] + [15.0] + [20 + i * 0.1 for i in range(100)]
+    rows = [(i, at(h), i, "error", float(i), "{}") for i, h in enumerate(hours)]
+    spark.createDataFrame(rows, streams.EVENTS).repartition(5).write.parquet(f"{d}/events.parquet")
+    for size in (1_000_000, 20):
+        monkeypatch.setattr(streams, "FILE_ROWS", size, raising=False)
+        seen = []
+        jobs.run_batches(streams.landed_in_parts(spark, d), lambda batch, i: seen.append(sorted(r.event_id for r in batch.select("event_id").collect())))
+        assert seen == [list(range(100)), [100], list(range(101, 201))]
+
+
 def test_static_lookup(spark):
     src = place(spark)
     land(spark, src, [("A", 0, 1.0), ("Z", 0, 1.0)])
