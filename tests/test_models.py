@@ -166,6 +166,19 @@ def test_training_rows_are_packed_whatever_the_shuffle_setting(spark, history):
     assert packed.rdd.getNumPartitions() == 2 and packed.exceptAll(frame).count() == 0 and frame.exceptAll(packed).count() == 0
 
 
+def test_single_fits_are_packed_too(spark, history):
+    frame = features.pooled(history).repartition(30, "time")
+    seen = []
+
+    class Seen(LinearRegression):
+        def _fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return super()._fit(rows)
+
+    training.fit_prepared(frame, ["hour_sin"], Seen(labelCol="overall_aqi", featuresCol="features", predictionCol="raw_prediction"))
+    assert seen == [(1, frame.count())]
+
+
 def test_seasonal_regression_and_guard(spark, history):
     split = lagging.split_per_key(history)
     framed, models, names = training.seasonal_regression(split.where("is_train"), "overall_aqi")
