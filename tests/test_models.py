@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from airgrid.operators import evaluate, lagging, reshape
@@ -179,6 +179,26 @@ def test_single_fits_are_packed_too(spark, history):
     assert seen == [(1, frame.count())]
 
 
+def test_fits_read_cached_vectors(spark, history, monkeypatch):
+    """A tree fit reads its rows several times; they are prepared once, and nothing stays cached."""
+    frame = features.pooled(history)
+    seen = []
+
+    class Seen(GBTRegressor):
+        def _fit(self, rows):
+            seen.append((rows.storageLevel.useMemory, sorted(rows.columns)))
+            return super()._fit(rows)
+
+    boosted = Seen(labelCol="overall_aqi", featuresCol="features", predictionCol="raw_prediction", maxIter=1, maxDepth=2)
+    monkeypatch.setattr(training, "boosted", lambda *rounds, **params: boosted)
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    training.tune_boosted(frame, ["hour_sin"], {"maxDepth": [2]}, (1,), folds=2)
+    training.grid_search(frame, ["hour_sin"], lambda maxDepth: boosted, {"maxDepth": [2]}, folds=2)
+    training.fit_prepared(frame, ["hour_sin"], boosted)
+    assert seen == [(True, ["features", "overall_aqi"])] * 5
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= held
+
+
 def test_seasonal_regression_and_guard(spark, history):
     split = lagging.split_per_key(history)
     framed, models, names = training.seasonal_regression(split.where("is_train"), "overall_aqi")
