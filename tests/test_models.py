@@ -199,6 +199,41 @@ def test_fits_read_cached_vectors(spark, history, monkeypatch):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= held
 
 
+def test_boosted_models_are_tuned_over_the_whole_grid(spark, history, monkeypatch):
+    """Every step and depth, 50, 100 and 200 rounds, five folds; the best may use as many rounds as it was ranked with, and the
+    other model has the usual 100."""
+    from airgrid.queries import modelling
+
+    frame = lagging.split_per_key(features.pooled(history))
+    asked = []
+
+    def ranked(splits, make, combos, label, parallelism):
+        asked.append((len(splits), {(m.getMaxIter(), m.getMaxDepth(), m.getStepSize()) for m in (make(**c) for c in combos)}))
+        return [{"params": c, "rmse": float(i)} for i, c in enumerate(combos)]
+
+    class Short(GBTRegressor):
+        def _fit(self, rows):
+            asked.append((self.getMaxIter(), self.getMaxDepth(), self.getStepSize()))
+            return GBTRegressor._fit(self.copy({self.maxIter: 1}), rows)
+
+    monkeypatch.setattr(training, "GBTRegressor", Short)
+    monkeypatch.setattr(training, "ranked_over_folds", ranked)
+    monkeypatch.setattr(modelling, "dataset", lambda spark, d: (frame, ["hour_sin"], history))
+    monkeypatch.setattr(modelling, "CATEGORIES", ["station"])
+    rows = modelling.REGISTRY["tuned_boosting"].run(spark, "").collect()
+    (folds, first), (_, second), (_, third), tuned, base = asked
+    assert folds == 5 and first == {(50, d, s) for d in (3, 5, 7) for s in (0.01, 0.05, 0.1)}
+    assert ({r for r, _, _ in second}, len(second)) == ({100}, 4) and ({r for r, _, _ in third}, len(third)) == ({200}, 2)
+    assert tuned == (200, 3, 0.01) and base == (100, 5, 0.1)
+    assert [r["name"] for r in rows] == ["stage 2"] * 2 + ["stage 1"] * 4 + ["stage 0"] * 9 + ["tuned", "base"]
+
+
+def test_small_steps_are_not_stopped_at_their_start(spark, series):
+    noisy = series({"A": seasonal(24 * 40, noise=25.0)}, columns="overall_aqi DOUBLE").withColumn("hour", F.hour("time"))
+    model, used = training.fit_boosted(noisy, ["hour"], {"maxDepth": 1, "stepSize": 0.01}, 12)
+    assert used == len(model.stages[-1].trees) == 12
+
+
 def test_seasonal_regression_and_guard(spark, history):
     split = lagging.split_per_key(history)
     framed, models, names = training.seasonal_regression(split.where("is_train"), "overall_aqi")
